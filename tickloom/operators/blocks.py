@@ -47,3 +47,32 @@ def over_blocks(
     for layer in columns(w):
         spread = spread.withColumns(layer)
     return spread.filter(F.col("_ahead") == 0).drop("_ahead", "_block", "_pos")
+
+
+def carry_forward(df: DataFrame, keys, bucket: str, order, value: str, out: str) -> DataFrame:
+    """Last non-null ``value`` at or before each row of the whole series.
+
+    Inside a bucket a running window carries it; across buckets only the last value of each
+    bucket travels, one row per series and bucket.
+    """
+    keys = list(keys)
+    order = [order] if isinstance(order, str) else list(order)
+    w = by((*keys, bucket), order)
+    df = df.withColumn(out, F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = df.groupBy(*keys, bucket).agg(
+        F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_end"))
+    inherited = F.last("_end", ignorenulls=True).over(by(keys, bucket).rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(*keys, bucket, inherited.alias("_inherited"))
+    return df.join(ends, [*keys, bucket], "left").withColumn(out, F.coalesce(out, "_inherited")).drop("_inherited")
+
+
+def over_series(df: DataFrame, columns, halo: int, keys=("symbol",), day: str = "trading_day", order="dt",
+                reset_daily: bool = False, block_rows: int = 65536) -> DataFrame:
+    """Rolling columns over the whole series, or restarted every trading day."""
+    if not reset_daily:
+        return over_blocks(df, keys, day, order, halo, columns, block_rows)
+    w = by((*keys, day), order)
+    df = df.withColumn("_pos", F.row_number().over(w) - 1)
+    for layer in columns(w):
+        df = df.withColumns(layer)
+    return df.drop("_pos")
