@@ -18,10 +18,15 @@ def local_ts(ts, tz: str, source_tz: str = "UTC") -> Column:
     return F.convert_timezone(F.lit(source_tz), F.lit(tz), col(ts).cast("timestamp_ntz"))
 
 
+def wall_seconds(ts) -> Column:
+    """Whole seconds since 1970 of a naive timestamp, whatever the session time zone."""
+    t = col(ts)
+    return F.unix_date(F.to_date(t)).cast("bigint") * 86400 + F.hour(t) * 3600 + F.minute(t) * 60 + F.floor(F.second(t))
+
+
 def utc_epoch(wall, tz: str) -> Column:
-    """Epoch seconds of a wall-clock time in ``tz`` (session time zone must be UTC)."""
-    utc = F.convert_timezone(F.lit(tz), F.lit("UTC"), col(wall).cast("timestamp_ntz"))
-    return F.unix_seconds(utc.cast("timestamp"))
+    """Epoch seconds of a wall-clock time in ``tz``."""
+    return wall_seconds(F.convert_timezone(F.lit(tz), F.lit("UTC"), col(wall).cast("timestamp_ntz")))
 
 
 def nonexistent_local(wall, tz: str) -> Column:

@@ -169,7 +169,7 @@ def validate_bars(bars: DataFrame, max_gap_minutes: int, keys=("symbol",), day:
     Gaps inside a day come from a per-day `lag`; gaps between days from the table of daily
     first and last times, so no window spans a whole series of bars.
     """
-    minutes = lambda a, b: (F.unix_micros(b.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))) / 6e7
+    minutes = lambda a, b: (cal.wall_seconds(b) - cal.wall_seconds(a)) / 60
     inside = bars.withColumn("_gap", minutes(F.lag("dt").over(by((*keys, day))), F.col("dt")))
     null_ohlc = F.greatest(*[F.col(c).isNull().cast("int") for c in ("open", "high", "low", "close")])
     daily = inside.groupBy(*keys, day).agg(

@@ -264,7 +264,7 @@ def range_percentile_prior(bars: DataFrame, n: int = 20, keys=DAY_KEYS) -> DataF
     daily = daily.select(*keys, hist.alias("_hist"))
     r = running(by(keys))
     df = bars.withColumn("running_range", F.max("high").over(r) - F.min("low").over(r)).join(daily, list(keys), "left")
-    share = F.size(F.filter("_hist", lambda x: x <= F.col("running_range"))) / F.size("_hist")
+    share = F.size(F.filter("_hist", lambda x: x <= F.col("running_range"))) / F.nullif(F.size("_hist"), F.lit(0))
     return df.withColumn("session_range_percentile", F.when(F.size("_hist") > 0, share).otherwise(0.5)).drop("_hist")
 
 
@@ -541,8 +541,8 @@ def sequence_windows(bars: DataFrame, n: int = 20, min_bars: int = 5, keys=DAY_K
         base = F.col("_win")[0][c]
         return F.transform("_win", lambda e: F.when(base == 0, 0.0).otherwise((e[c] - base) / base))
     cols = {f"seq_{c}": pad(returns(c)) for c in ("open", "high", "low", "close")}
-    df = df.withColumn("_vm", F.aggregate("_win", F.lit(0.0), lambda a, e: a + e["volume"]) / F.size("_win"))
-    df = df.withColumn("_vs", F.sqrt(F.aggregate("_win", F.lit(0.0), lambda a, e: a + F.pow(e["volume"] - F.col("_vm"), 2)) / F.size("_win")))
+    df = df.withColumn("_vm", F.aggregate("_win", F.lit(0.0), lambda a, e: a + e["volume"]) / F.nullif(F.size("_win"), F.lit(0)))
+    df = df.withColumn("_vs", F.sqrt(F.aggregate("_win", F.lit(0.0), lambda a, e: a + F.pow(e["volume"] - F.col("_vm"), 2)) / F.nullif(F.size("_win"), F.lit(0))))
     cols["seq_volume"] = pad(F.transform("_win", lambda e: F.when(F.col("_vs") < 1e-6, 0.0).otherwise((e["volume"] - F.col("_vm")) / F.col("_vs"))))
     return df.withColumns(cols).drop("_win", "_vm", "_vs")
 
