@@ -30,23 +30,28 @@ def with_position(df: DataFrame, keys, bucket: str, order, out: str = "_pos") ->
 
 def over_blocks(
     df: DataFrame, keys, bucket: str, order, halo: int, columns: Callable[[WindowSpec], list[dict[str, Column]]],
-    block_rows: int = 65536,
+    block_rows: int = 65536, ahead: int = 0,
 ) -> DataFrame:
     """Evaluate window columns block by block.
 
     ``columns(w)`` returns layers of column dicts (a later layer may read an earlier one);
-    the frames of all layers together must not reach further back than ``halo`` rows.
+    the frames of all layers together must not reach further back than ``halo`` rows nor
+    further forward than ``ahead`` rows.
     """
     keys = list(keys)
-    size = max(block_rows, halo + 1)
+    size = max(block_rows, halo + 1, ahead + 1)
     placed = with_position(df, keys, bucket, order).withColumn("_block", F.floor(F.col("_pos") / size))
-    reach = F.col("_pos") % size >= size - halo
-    copies = F.when(reach & F.lit(halo > 0), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    spread = placed.withColumn("_ahead", F.explode(copies)).withColumn("_block", F.col("_block") + F.col("_ahead"))
+    at = F.col("_pos") % size
+    shifts = [F.array(F.lit(0))]
+    if halo:
+        shifts.append(F.when(at >= size - halo, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
+    if ahead:
+        shifts.append(F.when((at < ahead) & (F.col("_block") > 0), F.array(F.lit(-1))).otherwise(F.array().cast("array<int>")))
+    spread = placed.withColumn("_copy", F.explode(F.concat(*shifts))).withColumn("_block", F.col("_block") + F.col("_copy"))
     w = by((*keys, "_block"), "_pos")
     for layer in columns(w):
         spread = spread.withColumns(layer)
-    return spread.filter(F.col("_ahead") == 0).drop("_ahead", "_block", "_pos")
+    return spread.filter(F.col("_copy") == 0).drop("_copy", "_block", "_pos")
 
 
 def carry_forward(df: DataFrame, keys, bucket: str, order, value: str, out: str) -> DataFrame:
@@ -67,10 +72,10 @@ def carry_forward(df: DataFrame, keys, bucket: str, order, value: str, out: str)
 
 
 def over_series(df: DataFrame, columns, halo: int, keys=("symbol",), day: str = "trading_day", order="dt",
-                reset_daily: bool = False, block_rows: int = 65536) -> DataFrame:
+                reset_daily: bool = False, block_rows: int = 65536, ahead: int = 0) -> DataFrame:
     """Rolling columns over the whole series, or restarted every trading day."""
     if not reset_daily:
-        return over_blocks(df, keys, day, order, halo, columns, block_rows)
+        return over_blocks(df, keys, day, order, halo, columns, block_rows, ahead)
     w = by((*keys, day), order)
     df = df.withColumn("_pos", F.row_number().over(w) - 1)
     for layer in columns(w):

@@ -4,3 +4,4 @@ from tickloom.plans import bars_calendar  # noqa: F401
 from tickloom.plans import joins_sets  # noqa: F401
 from tickloom.plans import intraday  # noqa: F401
 from tickloom.plans import daily  # noqa: F401
+from tickloom.plans import levels  # noqa: F401
