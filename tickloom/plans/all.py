@@ -5,3 +5,5 @@ from tickloom.plans import joins_sets  # noqa: F401
 from tickloom.plans import intraday  # noqa: F401
 from tickloom.plans import daily  # noqa: F401
 from tickloom.plans import levels  # noqa: F401
+from tickloom.plans import options  # noqa: F401
+from tickloom.plans import evaluation  # noqa: F401
