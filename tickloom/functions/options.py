@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from tickloom.functions.binding import bind
 from tickloom.functions.calendar import col
 
 SQRT_2PI = 2.5066282746310002
@@ -38,11 +39,6 @@ def norm_cdf(x) -> Column:
     return F.when(x > 0, 1.0 - c).otherwise(c)
 
 
-def bind(x: Column, f) -> Column:
-    """Evaluate ``x`` once and use it several times inside a higher-order function."""
-    return F.element_at(F.transform(F.array(x), f), 1)
-
-
 def d1(s, k, r, q, sigma, t) -> Column:
     s, k, sigma, t = col(s), col(k), col(sigma), col(t)
     return (F.ln(s / k) + (r - q + 0.5 * sigma * sigma) * t) / (sigma * F.sqrt(t))
