@@ -143,7 +143,7 @@ def local_gamma_score(points: DataFrame, chain: DataFrame, local: float = 5.0, r
     p = points.withColumn("_b", F.explode(F.array(*[F.floor(F.col("px") / relative) + k for k in (-1, 0, 1)])))
     j = p.join(c.select(*keys, "_b", "strike", "iv", "open_interest", "tte"), [*keys, "_b"])
     gap = F.abs(F.col("px") - F.col("strike"))
-    g = op.bs_greeks("px", "strike", RATE, 0.0, F.greatest("iv", F.lit(0.00001)), "tte", F.lit(True))["gamma"] * F.col("open_interest") * 100 * F.col("px") * F.col("px") * 0.01
+    g = op.bs_gamma("px", "strike", RATE, F.greatest("iv", F.lit(0.00001)), "tte") * F.col("open_interest") * 100 * F.col("px") * F.col("px") * 0.01
     s = j.filter(gap <= relative).groupBy(*points.columns).agg(F.sum(F.when(gap <= local, g).otherwise(0.0)).alias("_l"), F.sum(g).alias("_r"))
     out = points.join(s, points.columns, "left")
     return out.withColumn("gamma_score", F.coalesce(F.least(F.greatest(safe_div("_l", "_r"), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))).drop("_l", "_r")

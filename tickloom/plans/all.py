@@ -8,3 +8,4 @@ from tickloom.plans import levels  # noqa: F401
 from tickloom.plans import options  # noqa: F401
 from tickloom.plans import evaluation  # noqa: F401
 from tickloom.plans import profile  # noqa: F401
+from tickloom.plans import sources  # noqa: F401

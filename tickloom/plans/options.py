@@ -64,7 +64,7 @@ PRICE = f"CASE WHEN instrument_class = 'C' THEN spot * exp(-.01 * tte) * {cdf_sq
 SELECT *, x AS d1, {pdf_sql('x')} / (spot * iv * sqrt(tte)) AS gamma, CASE WHEN instrument_class = 'C' THEN {cdf_sql('x')} ELSE {cdf_sql('x')} - 1 END AS delta,
  spot * exp(-.01 * tte) * {pdf_sql('x')} * sqrt(tte) AS vega, {PRICE} AS price FROM bs1""")
 def _(t):
-    return prepared(t).withColumns(op.bs_greeks("spot", "strike", 0.04, 0.01, "iv", "tte", F.col("instrument_class") == "C"))
+    return op.with_greeks(prepared(t), "spot", "strike", 0.04, 0.01, "iv", "tte", F.col("instrument_class") == "C")
 
 
 @query("gamma_shares", KEY + "gamma_shares:f", with_(CHAIN, SPOT, PREP) + f"""
@@ -77,7 +77,7 @@ def _(t):
 @query("chain_implied_vol", KEY + "implied:f4", with_(CHAIN, SPOT, PREP) + "SELECT *, iv AS implied FROM prep")
 def _(t):
     call = F.col("instrument_class") == "C"
-    quoted = prepared(t).withColumns({k: v for k, v in op.bs_greeks("spot", "strike", 0.04, 0.01, "iv", "tte", call).items() if k == "price"})
+    quoted = op.with_greeks(prepared(t), "spot", "strike", 0.04, 0.01, "iv", "tte", call)
     return quoted.withColumn("implied", op.implied_vol("price", "spot", "strike", "tte", 0.04, 0.01, call))
 
 
