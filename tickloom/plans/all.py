@@ -10,3 +10,4 @@ from tickloom.plans import evaluation  # noqa: F401
 from tickloom.plans import profile  # noqa: F401
 from tickloom.plans import sources  # noqa: F401
 from tickloom.plans import streaming  # noqa: F401
+from tickloom.plans import flagship  # noqa: F401

@@ -9,7 +9,7 @@ from tickloom.functions.windows import by
 from tickloom.operators import bars, daily, intraday as it
 from tickloom.plans.adapters import BAR, DAY, with_
 from tickloom.plans.catalog import query
-from tickloom.plans.sqlkit import ema_sql
+from tickloom.plans.sqlkit import ema_sql, rsi_sql
 
 B = 500
 W_DAY = "w AS (PARTITION BY symbol, trading_day ORDER BY dt ROWS UNBOUNDED PRECEDING)"
@@ -376,3 +376,27 @@ SELECT symbol, dt, .4 * least(greatest(CASE WHEN close >= vwap THEN least(open,
  + .1 * least(greatest(CASE WHEN close >= vwap THEN vwap - low ELSE high - vwap END, 0) / (vwap * .002), 2) AS strength FROM vw""")
 def _(t):
     return it.vwap_running(t.bar()).withColumn("strength", it.rejection_strength(F.col("vwap"), F.when(F.col("close") >= F.col("vwap"), 1).otherwise(-1)))
+
+
+WK = """
+wb AS (SELECT symbol, isoyear(day) * 100 + week(day) AS yw, max(day) AS ld, arg_max(close, day) AS close FROM day GROUP BY 1, 2),
+wbb AS (SELECT symbol, yw, lag(pb) OVER (PARTITION BY symbol ORDER BY ld) AS wpb FROM (SELECT symbol, yw, ld, coalesce((close - (avg(close) OVER f - 2 * stddev_samp(close) OVER f)) / nullif(4 * stddev_samp(close) OVER f, 0), .5) AS pb FROM wb WINDOW f AS (PARTITION BY symbol ORDER BY ld ROWS 19 PRECEDING)))"""
+
+
+@query("directional_context", "symbol day:d bb_side_alignment:i trend_exhaustion_score:f weekly_trend_alignment:i", with_(DAY, rsi_sql("r1", "day", "close", 14), WK) + """
+, b AS (SELECT symbol, day, rsi, coalesce((close - (avg(close) OVER f - 2 * stddev_samp(close) OVER f)) / nullif(4 * stddev_samp(close) OVER f, 0), .5) AS pb FROM r1 WINDOW f AS (PARTITION BY symbol ORDER BY day ROWS 19 PRECEDING)),
+s AS (SELECT symbol, day, coalesce(lag(rsi) OVER w, 0) AS r, coalesce(lag(pb) OVER w, 0) AS b FROM b WINDOW w AS (PARTITION BY symbol ORDER BY day)),
+j AS (SELECT s.*, coalesce(wpb, 0) AS wpb FROM s LEFT JOIN wbb ON wbb.symbol = s.symbol AND wbb.yw = isoyear(s.day) * 100 + week(s.day))
+SELECT symbol, day, CASE WHEN b < .1 THEN 1 WHEN b > .9 THEN -1 ELSE 0 END AS bb_side_alignment, greatest(least((r - 50) / 50 * (b * 2 - 1), 1), -1) AS trend_exhaustion_score, CASE WHEN wpb < .2 AND b < .2 THEN 1 WHEN wpb > .8 AND b > .8 THEN -1 ELSE 0 END AS weekly_trend_alignment FROM j""")
+def _(t):
+    w = by(("symbol",), "day")
+    d = daily.rsi(t.day(), 14)
+    for layer in it.bollinger_columns(w):
+        d = d.withColumns(layer)
+    d = daily.causal_shift(d.withColumnsRenamed({"bb_pct_b": "daily_bb_pct_b", "rsi_14": "daily_rsi_14"}), ["daily_bb_pct_b", "daily_rsi_14"]).withColumn("year_week", bars.iso_week_key("day"))
+    wk = bars.require_unique_weeks(bars.weekly_bars(t.day()))
+    for layer in it.bollinger_columns(w):
+        wk = wk.withColumns(layer)
+    wk = daily.causal_shift(wk.withColumnRenamed("bb_pct_b", "weekly_bb_pct_b"), ["weekly_bb_pct_b"])
+    j = d.join(wk.select("symbol", "year_week", "weekly_bb_pct_b"), ["symbol", "year_week"], "left").fillna(0.0, subset=["weekly_bb_pct_b"])
+    return it.directional_context(j)
