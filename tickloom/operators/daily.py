@@ -124,7 +124,7 @@ def bar_shape_daily(daily: DataFrame, keys=KEYS, day="day") -> DataFrame:
     pc = F.lag("close").over(w)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return daily.withColumns({
-        "range_pct": rng / F.col("close"), "close_position": zero(safe_div(F.col("close") - F.col("low"), rng)),
+        "range_pct": safe_div(rng, "close"), "close_position": zero(safe_div(F.col("close") - F.col("low"), rng)),
         "upper_wick_ratio": zero(safe_div(F.col("high") - F.greatest("close", "open"), rng)),
         "lower_wick_ratio": zero(safe_div(F.least("close", "open") - F.col("low"), rng)), "gap_pct": zero(safe_div(F.col("open") - pc, pc)),
         "body_range_ratio": zero(safe_div(F.abs(F.col("close") - F.col("open")), rng)),
@@ -224,7 +224,7 @@ def range_autoregressive(daily: DataFrame, keys=KEYS, day="day") -> DataFrame:
     w = w_day(keys, day)
     pc = F.lag("close").over(w)
     df = atr(daily, 14, keys=keys, day=day)
-    df = df.withColumns({"_rp": (F.col("high") - F.col("low")) / F.col("close"), "_hm": safe_div(F.col("high") - pc, pc), "_lm": safe_div(pc - F.col("low"), pc),
+    df = df.withColumns({"_rp": safe_div(F.col("high") - F.col("low"), "close"), "_hm": safe_div(F.col("high") - pc, pc), "_lm": safe_div(pc - F.col("low"), pc),
                          "_up": F.coalesce((F.col("close") > pc).cast("double"), F.lit(0.0)),
                          "_ra": safe_div(F.col("high") - F.col("low"), F.col("atr_14"))})
     df = df.withColumn("_as", F.col("_hm") - F.col("_lm"))

@@ -441,7 +441,7 @@ def temporal_interactions(bars: DataFrame, levels=(), keys=("symbol",), day: str
             {"_flip": flip, "_vz": vz, "_into": F.coalesce(F.avg("volume").over(w.rowsBetween(-3, -1)), v),
              "_cd": F.sum("_delta").over(f10), "_pt": zero(diff("close", w, 10)), "_d3": F.sum("_delta").over(f3),
              "_atr": F.avg("_br").over(f14),
-             "mae_estimate": F.max("_br").over(f5) / F.col("close") * 100,
+             "mae_estimate": F.max("_br").over(f5) / F.nullif(F.col("close"), F.lit(0.0)) * 100,
              "level_test_sequence": sum((F.sum(f"_t{i}").over(f10) for i in range(len(levels))), F.lit(0))},
             {"wick_delta_interaction": F.col("_wb") * F.col("_flip"), "wick_volume_interaction": F.col("_wb") * clip("_vz", -3, 3),
              "vol_exhaustion_ratio": clip(v / F.greatest(F.col("_into"), F.lit(1.0)), 0, 5),
@@ -460,7 +460,7 @@ def temporal_interactions(bars: DataFrame, levels=(), keys=("symbol",), day: str
     stats = stats.select(*keys, day, (s / n).alias("_m"), F.sqrt(F.greatest(q / n - F.pow(s / n, 2), F.lit(0.0))).alias("_sd"))
     df = df.join(stats, [*keys, day], "left")
     atr_z = (F.col("_atr") - F.col("_m")) / (F.col("_sd") + 1e-6)
-    near = [F.abs(F.col("close") - F.col(l)) / F.col("close") for l in levels]
+    near = [F.abs(F.col("close") - F.col(l)) / F.nullif(F.col("close"), F.lit(0.0)) for l in levels]
     near = F.least(*near) * 10000 if len(near) > 1 else (near[0] * 10000 if near else F.lit(0.0))
     df = df.withColumns({"tod_volatility_interaction": F.col("bars_since_rth_open") / 390 * F.coalesce(clip(atr_z, -3, 3), F.lit(0.0)),
                          "bars_to_nearest_level": near})

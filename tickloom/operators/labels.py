@@ -162,8 +162,8 @@ def reversals(bars: DataFrame, price: str = "close", window: int = 20, min_slope
     at = F.when(up, F.array_position("_hi", F.array_max("_hi"))).otherwise(F.array_position("_lo", F.array_min("_lo")))
     df = df.withColumns({"_best": best, "_at": at})
     after = lambda c: F.slice(c, F.col("_at").cast("int"), F.size(c))
-    back = F.when(up, F.col("_best") - F.array_min(after("_lo"))).otherwise(F.array_max(after("_hi")) - F.col("_best")) / c
-    move = F.when(up, F.col("_best") - c).otherwise(c - F.col("_best")) / c
+    back = F.when(up, F.col("_best") - F.array_min(after("_lo"))).otherwise(F.array_max(after("_hi")) - F.col("_best")) / F.nullif(c, F.lit(0.0))
+    move = F.when(up, F.col("_best") - c).otherwise(c - F.col("_best")) / F.nullif(c, F.lit(0.0))
     ok = (F.col("_dir") != 0) & (move >= min_move) & (back <= bounce * min_move)
     zero = F.lit(0.0)
     df = df.withColumns({
@@ -199,8 +199,8 @@ def viable_zones(bars: DataFrame, stop: float = 0.0015, min_rr: float = 1.5, loo
         entry = F.element_at("_back", n - k)
         span = F.slice("_back", n - k, k + 1)
         worst = F.when(up, F.array_min(F.transform(span, lambda e: e["low"]))).otherwise(F.array_max(F.transform(span, lambda e: e["high"])))
-        mae = F.greatest(F.when(up, entry["close"] - worst).otherwise(worst - entry["close"]) / entry["close"], zero)
-        reward = F.when(up, F.col("extreme") - entry["close"]).otherwise(entry["close"] - F.col("extreme")) / entry["close"]
+        mae = F.greatest(F.when(up, entry["close"] - worst).otherwise(worst - entry["close"]) / F.nullif(entry["close"], F.lit(0.0)), zero)
+        reward = F.when(up, F.col("extreme") - entry["close"]).otherwise(entry["close"] - F.col("extreme")) / F.nullif(entry["close"], F.lit(0.0))
         return F.struct(k.alias("k"), entry["bar_no"].alias("bar_no"), mae.alias("mae"), reward.alias("reward"))
 
     rev = rev.withColumn("_steps", F.transform(F.sequence(F.lit(0), n - 1), step))
@@ -315,7 +315,7 @@ def pct_regime(daily: DataFrame, detect: float = 0.05, bull: float = 0.10, bear:
     turns = turns.withColumn("_n", F.count(F.lit(1)).over(whole(keys))).filter(F.col("_n") >= 2)
     seg = turns.withColumns({"_nd": F.lead(day).over(w), "_nc": F.lead("close").over(w)}).join(last, list(keys))
     tail = F.col("_nd").isNull()
-    move = (F.coalesce("_nc", "_ec") - F.col("close")) / F.col("close")
+    move = (F.coalesce("_nc", "_ec") - F.col("close")) / F.nullif(F.col("close"), F.lit(0.0))
     call = F.when((F.col("kind") == "trough") & (move > bull), 2).when((F.col("kind") == "peak") & (F.abs(move) > bear), 0).when(tail, 1)
     seg = seg.select(*keys, F.col(day).alias("_from"), F.coalesce("_nd", "_ed").alias("_to"), "turn_no", call.alias("_call")).filter(F.col("_call").isNotNull() & (F.col("_from") <= F.col("_to")))
     # a segment claims the days it covers, as (turn_no, call), through one row per day

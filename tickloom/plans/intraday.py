@@ -295,7 +295,7 @@ def _(t):
   CASE WHEN ovn = 0 THEN sum((ovn = 0)::INT) OVER (PARTITION BY symbol, trading_day ORDER BY dt ROWS UNBOUNDED PRECEDING) - 1 ELSE 0 END AS bso FROM vw),
 w1 AS (SELECT *, (delta * coalesce(lag(delta) OVER w, 0) < 0)::INT::DOUBLE AS flip, (volume - avg(volume) OVER f20) / coalesce(nullif(stddev_samp(volume) OVER f20, 0), 1) AS vz,
   coalesce(avg(volume) OVER (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), volume) AS into_, sum(delta) OVER f10 AS cd, coalesce(close - lag(close, 10) OVER w, 0) AS pt,
-  sum(delta) OVER f3 AS d3, avg(r) OVER (PARTITION BY symbol ORDER BY dt ROWS 13 PRECEDING) AS atr, max(r) OVER (PARTITION BY symbol ORDER BY dt ROWS 4 PRECEDING) / close * 100 AS mae_estimate,
+  sum(delta) OVER f3 AS d3, avg(r) OVER (PARTITION BY symbol ORDER BY dt ROWS 13 PRECEDING) AS atr, max(r) OVER (PARTITION BY symbol ORDER BY dt ROWS 4 PRECEDING) / nullif(close, 0) * 100 AS mae_estimate,
   sum(hit) OVER f10 AS level_test_sequence FROM w0 WINDOW w AS (PARTITION BY symbol ORDER BY dt), f20 AS (PARTITION BY symbol ORDER BY dt ROWS 19 PRECEDING),
   f10 AS (PARTITION BY symbol ORDER BY dt ROWS 9 PRECEDING), f3 AS (PARTITION BY symbol ORDER BY dt ROWS 2 PRECEDING)),
 w2 AS (SELECT *, (cd - avg(cd) OVER f50) / coalesce(nullif(stddev_samp(cd) OVER f50, 0), 1) AS zc, (pt - avg(pt) OVER f50) / coalesce(nullif(stddev_samp(pt) OVER f50, 0), 1) AS zp,
@@ -303,7 +303,7 @@ w2 AS (SELECT *, (cd - avg(cd) OVER f50) / coalesce(nullif(stddev_samp(cd) OVER
   FROM w1 WINDOW f50 AS (PARTITION BY symbol ORDER BY dt ROWS 49 PRECEDING))
 SELECT symbol, dt, wb * flip AS wick_delta_interaction, wb * greatest(least(vz, 3), -3) AS wick_volume_interaction, greatest(least(volume / greatest(into_, 1), 5), 0) AS vol_exhaustion_ratio,
   greatest(least(zc - zp * sign(cd), 5), -5) AS delta_exhaustion, greatest(least((d3 - d3p) / greatest(abs(d3p), 1), 5), -5) AS delta_momentum_3bar, flip AS delta_reversal_signal,
-  greatest(least(volume / greatest(cavg, 1), 5), 0) AS session_vol_ratio, mae_estimate, level_test_sequence, abs(close - vwap) / close * 10000 AS bars_to_nearest_level,
+  greatest(least(volume / greatest(cavg, 1), 5), 0) AS session_vol_ratio, mae_estimate, level_test_sequence, abs(close - vwap) / nullif(close, 0) * 10000 AS bars_to_nearest_level,
   bso / 390::DOUBLE * greatest(least(az, 3), -3) AS tod_volatility_interaction FROM w2""")
 def _(t):
     return it.temporal_interactions(it.vwap_running(t.bar()), ["vwap"], block_rows=B)
@@ -348,8 +348,8 @@ def _(t):
 @query("sequence_windows", "symbol dt:t seq_len:i n_slots:i pad:i first_close:f last_close:f sum_close:f last_volume:f", with_(BAR) + """
 , s AS (SELECT symbol, dt, count(*) OVER f AS n, first_value(close) OVER f AS c0, last_value(close) OVER f AS cl, sum(close) OVER f AS cs, avg(volume) OVER f AS vm, stddev_pop(volume) OVER f AS vs, last_value(volume) OVER f AS vl
  FROM bar WINDOW f AS (PARTITION BY symbol, trading_day ORDER BY dt ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
-SELECT symbol, dt, CASE WHEN n >= 5 THEN n ELSE 0 END AS seq_len, 20 AS n_slots, CASE WHEN n >= 5 THEN 20 - n ELSE 20 END AS pad, 0 AS first_close, CASE WHEN n >= 5 THEN (cl - c0) / c0 ELSE 0 END AS last_close,
- CASE WHEN n >= 5 THEN (cs - n * c0) / c0 ELSE 0 END AS sum_close, CASE WHEN n >= 5 AND vs >= 1e-6 THEN (vl - vm) / vs ELSE 0 END AS last_volume FROM s""")
+SELECT symbol, dt, CASE WHEN n >= 5 THEN n ELSE 0 END AS seq_len, 20 AS n_slots, CASE WHEN n >= 5 THEN 20 - n ELSE 20 END AS pad, 0 AS first_close, CASE WHEN n >= 5 THEN coalesce((cl - c0) / nullif(c0, 0), 0) ELSE 0 END AS last_close,
+ CASE WHEN n >= 5 THEN coalesce((cs - n * c0) / nullif(c0, 0), 0) ELSE 0 END AS sum_close, CASE WHEN n >= 5 AND vs >= 1e-6 THEN (vl - vm) / vs ELSE 0 END AS last_volume FROM s""")
 def _(t):
     df = it.sequence_windows(t.bar())
     return df.withColumns({"n_slots": F.size("seq_close"), "pad": 20 - F.col("seq_len"), "first_close": F.element_at("seq_close", F.lit(1)), "last_close": F.element_at("seq_close", F.lit(-1)),

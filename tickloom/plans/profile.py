@@ -235,7 +235,7 @@ m0 AS (SELECT *, bar_no - 1 AS t, count(*) OVER d AS n, max(high) OVER w AS hi,
  lag(close, 5) OVER q AS c5, lag(close, 10) OVER q AS c10 FROM bar WINDOW {W_DAY}, d AS (PARTITION BY symbol, trading_day), q AS (PARTITION BY symbol, trading_day ORDER BY dt)),
 m1 AS (SELECT *, greatest(hi - lo, 1) AS rg, pv / greatest(cv, 1) AS vwap, coalesce((hi > lag(hi) OVER q)::INT, 0) AS u, coalesce((lo < lag(lo) OVER q)::INT, 0) AS dd FROM m0 WINDOW q AS (PARTITION BY symbol, trading_day ORDER BY dt)),
 m2 AS (SELECT *, sum(u) OVER w AS nu, sum(dd) OVER w AS nd, lag(rg, 5) OVER (PARTITION BY symbol, trading_day ORDER BY dt) AS r5 FROM m1 WINDOW {W_DAY})
-SELECT symbol, dt, (m2.close - vwap) / greatest(vwap, 1) * 100 AS price_vs_vwap, abs(m2.close - vwap) / rg AS vwap_deviation, coalesce(m2.close / c5 - 1, 0) AS ret_5m, CASE WHEN t >= 20 THEN coalesce((m2.close - ih) / nullif(ih - il, 0), 0) ELSE 0 END AS ib_high_dist,
+SELECT symbol, dt, (m2.close - vwap) / greatest(vwap, 1) * 100 AS price_vs_vwap, abs(m2.close - vwap) / rg AS vwap_deviation, coalesce(m2.close / nullif(c5, 0) - 1, 0) AS ret_5m, CASE WHEN t >= 20 THEN coalesce((m2.close - ih) / nullif(ih - il, 0), 0) ELSE 0 END AS ib_high_dist,
  CASE WHEN t >= 20 THEN coalesce((il - m2.close) / nullif(ih - il, 0), 0) ELSE 0 END AS ib_low_dist, CASE WHEN t >= 20 THEN coalesce(greatest(hi - ih, 0) / nullif(ih - il, 0), 0) ELSE 0 END AS range_ext_up, CASE WHEN t >= 20 THEN coalesce(greatest(il - lo, 0) / nullif(ih - il, 0), 0) ELSE 0 END AS range_ext_down,
  cv / greatest(dv, 1) AS vol_share, dl / greatest(cv, 1) AS cum_delta_rate, CASE WHEN t >= 5 THEN coalesce(abs(nu - nd) / nullif(nu + nd, 0), 0) ELSE 0 END AS otf_score, CASE WHEN t >= 5 THEN coalesce((nu - nd) / nullif(nu + nd, 0), 0) ELSE 0 END AS otf_direction,
  (m2.close - lo) / rg AS price_in_range, (m2.close - o) / rg AS dist_from_open, coalesce((m2.close - c5) / rg, 0) AS momentum_5, coalesce((m2.close - c10) / rg, 0) AS momentum_10, coalesce((m2.close - 2 * c5 + c10) / rg, 0) AS acceleration,
