@@ -65,7 +65,7 @@ def _(t):
 , j AS (SELECT symbol, day, a5.atr AS atr_5, a14.atr AS atr_14, a20.atr AS atr_20, lr.lr, lr.sq, q5.ema AS s5, q20.ema AS s20 FROM a5 JOIN a14 USING (symbol, day) JOIN a20 USING (symbol, day)
   JOIN lr USING (symbol, day) JOIN q5 USING (symbol, day) JOIN q20 USING (symbol, day)),
 k AS (SELECT *, {roll('stddev_samp', 'lr', 10)} * {YEAR} AS rv10, {roll('stddev_samp', 'lr', 20)} * {YEAR} AS rv20 FROM j)
-SELECT symbol, day, atr_5, atr_14, atr_5 / nullif(atr_20, 0) AS atr_ratio_5_20, {z0('rv10')} AS rvol_10d, {z0('rv20')} AS rvol_20d, {z0(roll('stddev_samp', 'rv10', 20))} AS vol_of_vol,
+SELECT symbol, day, atr_5, atr_14, coalesce(atr_5 / nullif(atr_20, 0), 0) AS atr_ratio_5_20, {z0('rv10')} AS rvol_10d, {z0('rv20')} AS rvol_20d, {z0(roll('stddev_samp', 'rv10', 20))} AS vol_of_vol,
  {z0(f"(atr_14 - ({roll('min', 'atr_14', 252, 60)})) / nullif(({roll('max', 'atr_14', 252, 60)}) - ({roll('min', 'atr_14', 252, 60)}), 0)")} AS atr_pctile_252d, {z0(pct('atr_14', 5))} AS atr_momentum_5d,
  {z0(lag('sq'))} AS sq_ret_lag1, {z0(lag('s5'))} AS sq_ret_ewm5, {z0(lag('s20'))} AS sq_ret_ewm20 FROM k""")
 def _(t):
