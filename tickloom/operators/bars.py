@@ -19,8 +19,13 @@ def bucket_start(ts: str, minutes: int):
 
 
 def build_bars(ticks: DataFrame, minutes: int = 1, keys=("symbol",), ts: str = "ts", seq: str = "seq") -> DataFrame:
-    """Non-empty OHLC bars with volume, bid and ask sums, mean price and tick count."""
-    order = F.struct(ts, seq)
+    """Non-empty OHLC bars with volume, bid and ask sums, mean price and tick count.
+
+    ``seq`` is the feed's arrival number and alone decides open and close: a plain number
+    keeps the aggregation a hash aggregation, while ordering by a struct of time and number
+    would make Spark sort all raw ticks first.
+    """
+    order = F.col(seq)
     return (
         ticks.groupBy(*keys, bucket_start(ts, minutes).alias("dt"))
         .agg(

@@ -50,7 +50,8 @@ def asof(
     Both sides are unioned and the last right row is carried along time inside a
     (key, bucket); what a bucket inherits is the last right row of all earlier buckets, a
     table with one row per key and bucket. Without a bucket the right side would have to
-    share one task per key. ``strict`` asks for right rows before, not at, the left time.
+    share one task per key. Buckets are months, right for daily rows; pass a day or hour
+    truncation for ticks. ``strict`` asks for right rows before, not at, the left time.
     """
     keys = list(keys)
     bucket = bucket or (lambda ts: F.date_trunc("month", ts))
@@ -92,7 +93,8 @@ def interval_aggregate(
     """Aggregate the rows inside each closed interval.
 
     Intervals are copied to the calendar buckets they touch, rows join on key and bucket,
-    and the partial aggregates of one interval meet again by its id.
+    and the partial aggregates of one interval meet again by its id. ``unit`` is the bucket
+    ("day", "hour", "minute"): near the usual interval length, so few candidates miss.
     """
     spread = explode_buckets(intervals, start, end, unit=unit)
     marked = rows.withColumn("_bucket", F.date_trunc(unit, F.col(ts)))

@@ -5,13 +5,20 @@ bar    15-minute bars of the ticks, session roll at 15:00, regular hours from 06
 day    daily bars of lineitem: symbol = return flag, price = unit price
 day2   daily bars of orders: symbol = order priority, price = order total
 chain  weekly option quotes: lineitem joined to part, strike from the retail price
+
+A plan reads these tables in several branches with different columns, which Spark would
+compute once per branch. They are far smaller than what they are built from, so each is
+persisted: one scan of the source, memory first, disk when it does not fit, recomputed from
+lineage when an executor is lost.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.functions import calendar as cal
 from tickloom.operators import bars
 
 BAR_MINUTES = 15
@@ -21,6 +28,12 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._shared: dict[str, DataFrame] = {}
+
+    def shared(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self._shared:
+            self._shared[name] = make().persist(StorageLevel.MEMORY_AND_DISK)
+        return self._shared[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -35,7 +48,7 @@ class Tables:
         )
 
     def bar(self) -> DataFrame:
-        return bars.with_session(bars.build_bars(self.tick(), minutes=BAR_MINUTES))
+        return self.shared("bar", lambda: bars.with_session(bars.build_bars(self.tick(), minutes=BAR_MINUTES)))
 
     def day(self) -> DataFrame:
         price = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100.0) / 100.0
@@ -44,14 +57,14 @@ class Tables:
             F.col("l_quantity").alias("volume"),
             F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity").alias("seq"),
         )
-        return bars.daily_from_trades(rows)
+        return self.shared("day", lambda: bars.daily_from_trades(rows))
 
     def day2(self) -> DataFrame:
         rows = self.table("orders").select(
             F.col("o_orderpriority").alias("symbol"), F.to_date("o_orderdate").alias("day"),
             F.col("o_totalprice").alias("price"), F.lit(1.0).alias("volume"), F.col("o_orderkey").alias("seq"),
         )
-        return bars.daily_from_trades(rows)
+        return self.shared("day2", lambda: bars.daily_from_trades(rows))
 
     def quotes(self) -> DataFrame:
         li = self.table("lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity", "l_linestatus", "l_shipdate")
@@ -65,8 +78,8 @@ class Tables:
         )
 
     def chain(self) -> DataFrame:
-        return self.quotes().groupBy("trade_date", "expiration", "strike", "instrument_class").agg(
-            (0.1 + F.max("p_size") / 100.0).alias("iv"), F.sum("l_quantity").alias("open_interest"))
+        return self.shared("chain", lambda: self.quotes().groupBy("trade_date", "expiration", "strike", "instrument_class").agg(
+            (0.1 + F.max("p_size") / 100.0).alias("iv"), F.sum("l_quantity").alias("open_interest")))
 
     def spot(self, chain: DataFrame) -> DataFrame:
         """Reference price of a trade date: the median quoted strike."""

@@ -97,7 +97,7 @@ def _(t):
                                                   (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("e"))
     aggs = [F.bool_or(F.col("price") > 200).cast("int").alias("any_big"), F.max("price").alias("max_price"),
             F.count(F.lit(1)).alias("n_ticks"), joins.mode_smallest("volume").alias("mode_volume")]
-    return joins.interval_aggregate(spans, t.tick(), ["symbol"], "s", "e", "ts", aggs, ["span_id"])
+    return joins.interval_aggregate(spans, t.tick(), ["symbol"], "s", "e", "ts", aggs, ["span_id"], unit="hour")
 
 
 SPOT = "spot AS (SELECT trade_date, median(strike) AS spot FROM chain GROUP BY 1)"

@@ -41,8 +41,8 @@ def latest(spark: SparkSession, path: str, keys) -> DataFrame:
 
 
 def minute_bars(ticks: DataFrame, minutes: int = 1, delay: str = "2 minutes", slide: str | None = None) -> DataFrame:
-    """Tumbling (or sliding) OHLC bars of a tick stream."""
-    order = F.struct("ts", "seq")
+    """Tumbling (or sliding) OHLC bars of a tick stream, opened and closed by arrival number."""
+    order = F.col("seq")
     w = F.window("ts", f"{minutes} minutes", slide) if slide else F.window("ts", f"{minutes} minutes")
     return ticks.withWatermark("ts", delay).groupBy("symbol", w.alias("w")).agg(
         F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"),
