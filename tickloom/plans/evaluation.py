@@ -69,7 +69,12 @@ def _(t):
     return sl.first_k_with_gap(trades(t).filter("minute BETWEEN 390 AND 779"), "score", 0.4, 30, 4)
 
 
-@query("slot_cap", "symbol trading_day:d bar_no:i level direction:i")
+@query("slot_cap", "symbol trading_day:d bar_no:i level direction:i", with_(*TR).replace("WITH ", "WITH RECURSIVE ", 1) + """
+, c AS (SELECT symbol, trading_day, bar_no, level, direction, level || direction::VARCHAR AS k, row_number() OVER (PARTITION BY symbol, trading_day ORDER BY bar_no, level, direction) AS rn FROM tr),
+r AS (SELECT symbol, trading_day, rn, bar_no AS last_no, [k] AS ks, true AS ok FROM c WHERE rn = 1 UNION ALL
+ SELECT symbol, trading_day, rn, CASE WHEN a THEN bar_no ELSE last_no END, CASE WHEN a THEN list_append(ks, k) ELSE ks END, a
+ FROM (SELECT c.*, r.last_no, r.ks, len(r.ks) < 6 AND c.bar_no - r.last_no >= 3 AND len(list_filter(r.ks, lambda x: x = c.k)) < 2 AS a FROM r JOIN c ON c.symbol = r.symbol AND c.trading_day = r.trading_day AND c.rn = r.rn + 1))
+SELECT c.symbol, c.trading_day, c.bar_no, c.level, c.direction FROM r JOIN c USING (symbol, trading_day, rn) WHERE ok""")
 def _(t):
     return sl.slot_cap(trades(t), 3, 2, 6)
 

@@ -381,11 +381,26 @@ def _(t):
     return lb.micro_regime(t.day())
 
 
-@query("zigzag", "symbol day:d close:f kind turn_no:i")
+ZZ = """
+zc AS (SELECT symbol, day, close AS px, row_number() OVER (PARTITION BY symbol ORDER BY day) - 1 AS i FROM day),
+zz AS (SELECT symbol, i, 0 AS seek, i AS hi_i, px AS hi_p, i AS lo_i, px AS lo_p, 0 AS n, NULL::BIGINT AS t_i, NULL::VARCHAR AS kind FROM zc WHERE i = 0 UNION ALL
+ SELECT symbol, CASE WHEN seek = 0 AND (up OR dn) THEN CASE WHEN up THEN lo_i ELSE hi_i END ELSE j END, CASE WHEN up THEN 1 WHEN dn THEN -1 ELSE seek END, CASE WHEN up THEN j ELSE hi_i END, CASE WHEN up THEN px ELSE hi_p END, CASE WHEN dn THEN j ELSE lo_i END,
+  CASE WHEN dn THEN px ELSE lo_p END, n + (up OR dn)::INT, CASE WHEN up THEN lo_i WHEN dn THEN hi_i END, CASE WHEN up THEN 'trough' WHEN dn THEN 'peak' END
+ FROM (SELECT *, NOT up AND seek >= 0 AND 1 - px / hi_p >= .05::DOUBLE AS dn FROM (SELECT *, seek <= 0 AND px / lo_p - 1 >= .05::DOUBLE AS up FROM (
+  SELECT z.symbol, c.i AS j, c.px, z.seek, z.n, CASE WHEN z.seek >= 0 AND c.px > z.hi_p THEN c.i ELSE z.hi_i END AS hi_i, CASE WHEN z.seek >= 0 AND c.px > z.hi_p THEN c.px ELSE z.hi_p END AS hi_p,
+   CASE WHEN z.seek <= 0 AND c.px < z.lo_p THEN c.i ELSE z.lo_i END AS lo_i, CASE WHEN z.seek <= 0 AND c.px < z.lo_p THEN c.px ELSE z.lo_p END AS lo_p FROM zz z JOIN zc c ON c.symbol = z.symbol AND c.i = z.i + 1)))),
+turns AS (SELECT zz.symbol, zc.day, zc.px AS close, zz.kind, zz.n AS turn_no FROM zz JOIN zc ON zc.symbol = zz.symbol AND zc.i = zz.t_i)"""
+
+
+@query("zigzag", "symbol day:d close:f kind turn_no:i", with_(DAY, ZZ).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT * FROM turns")
 def _(t):
     return lb.zigzag(t.day())
 
 
-@query("pct_regime", "symbol day:d pct_regime:i")
+@query("pct_regime", "symbol day:d pct_regime:i", with_(DAY, ZZ).replace("WITH ", "WITH RECURSIVE ", 1) + """
+, e AS (SELECT symbol, max(day) AS ed, arg_max(close, day) AS ec FROM day GROUP BY 1),
+s AS (SELECT t.*, lead(day) OVER w AS nd, lead(close) OVER w AS nc, count(*) OVER (PARTITION BY symbol) AS n FROM turns t WINDOW w AS (PARTITION BY symbol ORDER BY turn_no)),
+g AS (SELECT s.symbol, turn_no, day AS f, coalesce(nd, ed) AS u, CASE WHEN kind = 'trough' AND (coalesce(nc, ec) - close) / close > .1::DOUBLE THEN 2 WHEN kind = 'peak' AND abs((coalesce(nc, ec) - close) / close) > .07::DOUBLE THEN 0 WHEN nd IS NULL THEN 1 END AS call FROM s JOIN e USING (symbol) WHERE n >= 2)
+SELECT d.symbol, d.day, coalesce(arg_max(call, turn_no), 1) AS pct_regime FROM day d LEFT JOIN g ON g.symbol = d.symbol AND d.day BETWEEN g.f AND g.u AND call IS NOT NULL GROUP BY 1, 2""")
 def _(t):
     return lb.pct_regime(t.day())

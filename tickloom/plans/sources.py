@@ -214,6 +214,17 @@ def _(t):
     return md.day_clusters(pf.day_profile_summary(t.bar(), 5.0), ["poc_rel", "va_width_rel", "entropy", "skew"], 3)
 
 
-@query("wilder_rsi_adx", "symbol day:d rsi:f adx:f")
+DX = "CASE WHEN {t} > 0 AND {p} + {m} > 0 THEN 100 * abs({p} / {t} - {m} / {t}) / ({p} / {t} + {m} / {t}) ELSE 0 END"
+WILDER = f"""
+w0 AS (SELECT symbol, day, row_number() OVER ({P}) - 1 AS i, greatest(close - {lag('close')}, 0) AS u, greatest({lag('close')} - close, 0) AS d, greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')})) AS tr,
+ CASE WHEN high - {lag('high')} > {lag('low')} - low AND high - {lag('high')} > 0 THEN high - {lag('high')} ELSE 0 END AS pm, CASE WHEN {lag('low')} - low > high - {lag('high')} AND {lag('low')} - low > 0 THEN {lag('low')} - low ELSE 0 END AS nm FROM day),
+w1 AS (SELECT symbol, 14::BIGINT AS i, avg(u) AS g, avg(d) AS s, sum(tr) AS t, sum(pm) AS p, sum(nm) AS m FROM w0 WHERE i BETWEEN 1 AND 14 GROUP BY 1),
+wr AS (SELECT *, 1 AS k, {DX.format(t='t', p='p', m='m')} AS ds, NULL::DOUBLE AS adx FROM w1 UNION ALL
+ SELECT symbol, i, g, s, t, p, m, k, ds + dx, CASE WHEN k = 14 THEN (ds + dx) / 14 WHEN k > 14 THEN (adx * 13 + dx) / 14 END FROM (SELECT *, {DX.format(t='t', p='p', m='m')} AS dx FROM (
+  SELECT w.symbol, w.i, (r.g * 13 + w.u) / 14 AS g, (r.s * 13 + w.d) / 14 AS s, r.t - r.t / 14 + w.tr AS t, r.p - r.p / 14 + w.pm AS p, r.m - r.m / 14 + w.nm AS m, r.k + 1 AS k, r.ds, r.adx FROM wr r JOIN w0 w ON w.symbol = r.symbol AND w.i = r.i + 1)))"""
+
+
+@query("wilder_rsi_adx", "symbol day:d rsi:f adx:f", with_(DAY, WILDER).replace("WITH ", "WITH RECURSIVE ", 1) + """
+SELECT w0.symbol, w0.day, coalesce(CASE WHEN g + s > 0 THEN 100 * g / (g + s) WHEN g IS NOT NULL THEN 50 END, 50) AS rsi, coalesce(adx, 0) AS adx FROM w0 LEFT JOIN wr ON wr.symbol = w0.symbol AND wr.i = w0.i""")
 def _(t):
     return md.wilder_rsi_adx(t.day())

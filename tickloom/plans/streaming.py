@@ -108,7 +108,13 @@ def _(t):
     return t.spark.read.parquet(out)
 
 
-@query("stream_budget_accept", "symbol ts:t score:f threshold:f accepted:i")
+@query("stream_budget_accept", "symbol ts:t score:f threshold:f accepted:i", with_(TICK).replace("WITH ", "WITH RECURSIVE ", 1) + """
+, c AS (SELECT symbol, ts, CAST(ts + INTERVAL 9 HOURS AS DATE) AS td, least(price / 200, 1) AS score, row_number() OVER (PARTITION BY symbol ORDER BY ts, price) AS rn FROM tick WHERE price > 60),
+r AS (SELECT DISTINCT symbol, 0::BIGINT AS rn, DATE '1900-01-01' AS td, 0 AS seen, 0 AS taken, .35::DOUBLE AS thr, 0 AS ok FROM c UNION ALL
+ SELECT symbol, rn, td, seen, taken + (taken < 5 AND score >= thr)::INT, thr, (taken < 5 AND score >= thr)::INT FROM (
+  SELECT *, CASE WHEN taken - 5 * least(1, seen / 20::DOUBLE) > 1 THEN least(.95::DOUBLE, t0 + .02::DOUBLE) WHEN taken - 5 * least(1, seen / 20::DOUBLE) < -1 THEN greatest(.35::DOUBLE, t0 - .02::DOUBLE) ELSE t0 END AS thr FROM (
+   SELECT c.symbol, c.rn, c.td, c.score, CASE WHEN c.td = r.td THEN r.seen ELSE 0 END + 1 AS seen, CASE WHEN c.td = r.td THEN r.taken ELSE 0 END AS taken, CASE WHEN c.td = r.td THEN r.thr ELSE .35::DOUBLE END AS t0 FROM r JOIN c ON c.symbol = r.symbol AND c.rn = r.rn + 1)))
+SELECT c.symbol, c.ts, c.score, r.thr AS threshold, r.ok AS accepted FROM r JOIN c USING (symbol, rn)""")
 def _(t):
     out, ck = where(t, "budget")
     sig = t.tick().filter("price > 60").select("symbol", "ts", cal.trading_day("ts").alias("trading_day"), F.least(F.col("price") / 200, F.lit(1.0)).alias("score"))
