@@ -142,6 +142,8 @@ def wilder_rsi_adx(daily: DataFrame, period: int = 14, keys=("symbol",), day: st
                     adx[i] = np.mean(dx)
                 elif len(dx) > period:
                     adx[i] = (adx[i - 1] * (period - 1) + dx[-1]) / period
+        # Arrow turns NaN of a pandas column into null
         return pdf.assign(rsi=rsi, adx=adx)
 
-    return src.groupBy(*keys).applyInPandas(walk, schema).withColumns({"rsi": F.nanvl("rsi", F.lit(50.0)), "adx": F.nanvl("adx", F.lit(0.0))})
+    return src.groupBy(*keys).applyInPandas(walk, schema).withColumns(
+        {"rsi": F.coalesce("rsi", F.lit(50.0)), "adx": F.coalesce("adx", F.lit(0.0))})
