@@ -130,7 +130,16 @@ def _(t):
     return pf.running_profile(it.vwap_running(t.bar()), "vwap", S, 10.0)
 
 
-@query("profile_va_contains", "symbol dt:t va_contains_level:i running_poc:f running_va_low:f running_va_high:f")
+RVA = """
+rd AS (SELECT v.symbol, v.dt, v.vwap AS lv, b.lo, list(coalesce(p.w, 0)::DOUBLE ORDER BY i) AS v FROM vw v JOIN rb0 b USING (symbol, trading_day) CROSS JOIN generate_series(0, 300) g(i) LEFT JOIN rp0 p ON p.symbol = v.symbol AND p.dt = v.dt AND p.bin = b.lo + i WHERE i < b.n GROUP BY 1, 2, 3, 4),
+rv0 AS (SELECT *, list_sum(v) AS total, len(v) AS n, list_position(v, list_max(v)) AS pi FROM rd),
+rva AS (SELECT symbol, dt, lv, lo, v, total, n, pi, pi AS a, pi AS z, v[pi] AS cum FROM rv0 UNION ALL
+ SELECT symbol, dt, lv, lo, v, total, n, pi, CASE WHEN l >= r THEN a - 1 ELSE a END, CASE WHEN l >= r THEN z ELSE z + 1 END, cum + CASE WHEN l >= r THEN l ELSE r END
+ FROM (SELECT *, CASE WHEN a > 1 THEN v[a - 1] ELSE -1 END AS l, CASE WHEN z < n THEN v[z + 1] ELSE -1 END AS r FROM rva WHERE cum < .7::DOUBLE * total AND NOT (a = 1 AND z = n))),
+rvf AS (SELECT symbol, dt, any_value(lv) AS lv, (any_value(lo + pi) - .5) * 5 AS poc, (arg_max(lo + a, z - a) - .5) * 5 AS lo_px, (arg_max(lo + z, z - a) - .5) * 5 AS hi_px FROM rva GROUP BY 1, 2)"""
+
+
+@query("profile_va_contains", "symbol dt:t va_contains_level:i running_poc:f running_va_low:f running_va_high:f", REC(BAR, VWAP, RUNP, RVA) + "SELECT symbol, dt, (lv BETWEEN lo_px AND hi_px)::INT AS va_contains_level, poc AS running_poc, lo_px AS running_va_low, hi_px AS running_va_high FROM rvf")
 def _(t):
     return pf.running_profile(it.vwap_running(t.bar()), "vwap", S, 10.0)
 
