@@ -1,11 +1,10 @@
-"""Session settings and lineage control."""
+"""Session settings."""
 
 from __future__ import annotations
 
 import os
-import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings every job relies on; anything about cluster size stays with the cluster.
 JOB_CONF = {
@@ -29,15 +28,3 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss because it is written to the shared
-    folder the cluster names in ``spark.checkpoint.dir``. Only when that is unset (tests)
-    does it fall back to a fresh temporary folder."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tickloom-ckpt-"))
-    return df.checkpoint(eager=True)
