@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import near_dedup
+from tickloom.llm import language, mixing, near_dedup, packing, quality, repeats, secrets, sharding, topk, toxicity
+
+TOKENIZER = "byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -24,3 +27,69 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @register
 def op1_near_duplicates(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register
+def op2_host_rules(spark, sf_dir):
+    out = quality.host_rules(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *quality.MEASURES, "base_failed", "kept")
+
+
+@register
+def op3_language(spark, sf_dir):
+    found = language.identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@register
+def op4_entropy_mix(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mixing.mix(mixing.with_size(docs).drop("text"))
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    rows = mixed.select("doc_id", "source", "size", "source_size", "target", taken, F.explode(F.expr("sequence(1, n)")).alias("row"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register
+def op5_repeats(spark, sf_dir):
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@register
+def op6_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+@register
+def op7_pack(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+@register
+def op8_secrets(spark, sf_dir):
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    count = lambda k: F.expr(f"CAST(size(filter(found, x -> x.kind = '{k}')) AS LONG)").alias(f"n_{k}")
+    shown = "concat_ws(',', transform({}, x -> concat_ws(':', x.kind, x.start, x.end)))"
+    base = shown.format("filter(found, x -> x.kind != 'markov')")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.expr(f"sha2({base}, 256)").alias("base_sha256"), F.expr(shown.format("found")).alias("spans"))
+
+
+@register
+def op9_top_k(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@register
+def op10_shards(spark, sf_dir):
+    dealt = sharding.shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")))
+    return dealt.select("doc_id", "size", crc.alias("text_crc32"), F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
