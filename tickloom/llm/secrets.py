@@ -3,7 +3,7 @@
 Labelled samples come from the corpus itself: strings that the fixed patterns found are random strings, all
 other runs of the alphabet are ordinary identifiers. First-order transition counts of both are summed over
 all documents. A long run outside the fixed spans is a secret when the random model explains it better by
-``LEAST_LLR`` per character. Offsets are code points, ends exclusive.
+``LEAST_LLR`` per character; its own transitions are taken off the ordinary counts first. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ _ACCESS, _HEX = re.compile(r"AKIA[A-Z0-9]{12,}"), re.compile(r"[0-9a-f]{32,}")
 #: Runs that the models judge: of the alphabet without the sentence's full stop.
 LEAST_RUN = 20
 _RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}")
-LEAST_LLR = 0.7
+LEAST_LLR = 1.0
 
 N = len(ALPHABET)
 _CODE = np.full(256, N, np.int64)
@@ -72,21 +72,31 @@ def transitions(data: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Log-likelihood ratio of each transition; positive where random strings are likelier."""
+    """Transition counts of ordinary identifiers, and log probabilities under the random model. Transitions back
+    off to how often the second character occurs at all, and that to uniform."""
 
-    ratio: np.ndarray
+    random: np.ndarray
+    ordinary: np.ndarray
+    alone: np.ndarray
 
     @classmethod
     def fit(cls, random: np.ndarray, ordinary: np.ndarray) -> Model:
-        def logp(counts):
-            c = counts.reshape(N, N) + 0.5
-            return np.log(c / c.sum(1, keepdims=True))
+        def smooth(counts):
+            c = counts.reshape(N, N).astype(float)
+            return c, (c.sum(0) + 0.5) / (c.sum() + 0.5 * N)
+
+        c, alone = smooth(random)
         # Half of the random model is uniform: keys also come in alphabets that no fixed pattern has shown.
-        return cls(np.logaddexp(logp(random), -np.log(N)) - np.log(2) - logp(ordinary))
+        p = 0.5 * (c + 2 * alone) / (c.sum(1, keepdims=True) + 2) + 0.5 / N
+        return cls(np.log(p), *smooth(ordinary))
 
     def per_character(self, token: str) -> float:
+        """Mean log-likelihood ratio; positive where a random string is likelier."""
         c = _CODE[np.frombuffer(token.encode(), np.uint8)]
-        return float(self.ratio[c[:-1], c[1:]].mean())
+        a, b = c[:-1], c[1:]
+        own = transitions(np.frombuffer(token.encode(), np.uint8)).reshape(N, N)
+        seen, row = np.maximum(self.ordinary[a, b] - own[a, b], 0), np.maximum(self.ordinary[a].sum(1) - own[a].sum(1), 0)
+        return float((self.random[a, b] - np.log((seen + 2 * self.alone[b]) / (row + 2))).mean())
 
     def spans(self, runs: list[tuple[int, int, str]]) -> list[tuple[int, int, int]]:
         return [(s, 3, e) for s, e, t in runs if self.per_character(t) >= LEAST_LLR]
