@@ -53,7 +53,8 @@ def targets(sources: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFram
 def rates(cells: DataFrame, goal: DataFrame, most: float = MOST) -> DataFrame:
     """``(source, source_size, target, rate)``: Newton steps on the dual  sum(n * size * exp(x)) - x * target  of each
     source, with the rate clipped at ``most``. Every step is one aggregation over the cells; the steps end when
-    all sources are within TOLERANCE of their targets. A source without words or target has rate 0."""
+    all sources are within TOLERANCE of their targets. A source without words or target has rate 0. Rates are rounded
+    to nine places, so the order in which sums are added up does not show."""
     x = goal.withColumn("dual", F.lit(0.0))
     same = lambda a, b: a.eqNullSafe(b)
     for _ in range(STEPS):
@@ -71,7 +72,7 @@ def rates(cells: DataFrame, goal: DataFrame, most: float = MOST) -> DataFrame:
         x = x.select("source", "source_size", "target", F.col("next").alias("dual"))
         if worst is None or worst <= TOLERANCE:
             break
-    return x.select("source", "source_size", "target", F.when(F.col("target") > 0, F.least(F.exp("dual"), F.lit(float(most)))).otherwise(0.0).alias("rate"))
+    return x.select("source", "source_size", "target", F.when(F.col("target") > 0, F.round(F.least(F.exp("dual"), F.lit(float(most))), 9)).otherwise(0.0).alias("rate"))
 
 
 def _copies(t: pa.Table) -> pa.Table:
