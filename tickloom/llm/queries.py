@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import language, mixing, near_dedup, packing, quality, repeats, secrets, sharding, topk, toxicity
+from tickloom.llm import language, mixing, near_dedup, packing, quality, repeats, secrets, sharding, sql, topk, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_near_duplicates": sql.NEAR_DUPLICATES,
+    "op2_host_rules": sql.host_rules(quality.RULES, quality.BASE_FAILED),
+    "op9_top_k": sql.TOP_K,
+}
 
 
 def register(fn):
