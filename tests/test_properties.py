@@ -183,3 +183,27 @@ def test_implied_vol_round_trip(spark):
     df = op.with_greeks(df, "s", "k", 0.03, 0.01, "sigma", "t", F.col("c")).filter("vega > 0.01")
     for r in df.select("sigma", op.implied_vol("price", "s", "k", "t", 0.03, 0.01, F.col("c")).alias("iv")).collect():
         assert r["iv"] == pytest.approx(r["sigma"], abs=1e-6)
+
+
+def test_ema_is_carried_over_a_long_gap(spark):
+    rng = random.Random(2)
+    x = [rng.random() if i < 5 or 505 <= i < 540 or i > 1100 else None for i in range(1200)]
+    df = spark.createDataFrame([("A", i, v) for i, v in enumerate(x)], "symbol string, day int, x double")
+    got = column(with_ema(df, {"e": ("x", 5, 1), "slow": ("x", 40, 3)}), "e", "day"), column(with_ema(df, {"slow": ("x", 40, 3)}), "slow", "day")
+    s = pd.Series(x, dtype=float)
+    for have, want in zip(got, (s.ewm(span=5, adjust=True, min_periods=1).mean(), s.ewm(span=40, adjust=True, min_periods=3).mean())):
+        assert [None if v is None else round(v, 9) for v in have] == [None if math.isnan(v) else round(v, 9) for v in want]
+
+
+@pytest.mark.parametrize("lookback", [10, 64, 120, 300])
+def test_any_volume_lookback_is_exact_in_blocks(make_bars, lookback):
+    rng = random.Random(lookback)
+    bars = make_bars(walk(700, 4), step=5, volume=[float(rng.randrange(1, 500)) for _ in range(700)])
+    a, b = ([round(x, 9) for x in column(it.temporal_interactions(bars, vol_lookback=lookback, block_rows=n), "wick_volume_interaction")] for n in (65, 65536))
+    assert a == b
+
+
+def test_rows_with_null_keys_stay(make_bars):
+    bars = make_bars(walk(300, 6), step=5)
+    some = bars.withColumn("symbol", F.when(F.col("bar_no") % 50 != 0, F.col("symbol"))).withColumn("trading_day", F.when(F.col("bar_no") % 70 != 0, F.col("trading_day")))
+    assert it.bollinger(some).count() == it.temporal_interactions(some).count() == 300

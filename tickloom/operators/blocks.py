@@ -17,6 +17,13 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 from tickloom.functions.windows import by
 
 
+def join_keys(df: DataFrame, other: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which a null key meets a null key, so no row is lost."""
+    other = other.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return df.join(other, same, how).drop(*[f"_k_{k}" for k in keys])
+
+
 def with_position(df: DataFrame, keys, bucket: str, order, out: str = "_pos") -> DataFrame:
     """0-based position of each row in its series. ``bucket`` must not decrease along ``order``."""
     keys = list(keys)
@@ -25,7 +32,7 @@ def with_position(df: DataFrame, keys, bucket: str, order, out: str = "_pos") ->
     before = F.coalesce(F.sum("_n").over(by(keys, bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select(*keys, bucket, before.alias("_start"))
     rn = F.row_number().over(by((*keys, bucket), order)) - 1
-    return df.withColumn("_rn", rn).join(starts, [*keys, bucket]).withColumn(out, F.col("_rn") + F.col("_start")).drop("_rn", "_start")
+    return join_keys(df.withColumn("_rn", rn), starts, [*keys, bucket]).withColumn(out, F.col("_rn") + F.col("_start")).drop("_rn", "_start")
 
 
 def over_blocks(
@@ -68,7 +75,7 @@ def carry_forward(df: DataFrame, keys, bucket: str, order, value: str, out: str)
         F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_end"))
     inherited = F.last("_end", ignorenulls=True).over(by(keys, bucket).rowsBetween(Window.unboundedPreceding, -1))
     ends = ends.select(*keys, bucket, inherited.alias("_inherited"))
-    return df.join(ends, [*keys, bucket], "left").withColumn(out, F.coalesce(out, "_inherited")).drop("_inherited")
+    return join_keys(df, ends, [*keys, bucket], "left").withColumn(out, F.coalesce(out, "_inherited")).drop("_inherited")
 
 
 def over_series(df: DataFrame, columns, halo: int, keys=("symbol",), day: str = "trading_day", order="dt",

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.functions.windows import DAY_KEYS, by, clip, diff, last_rows, rolling, running, safe_div, whole
-from tickloom.operators.blocks import carry_forward, over_series, with_position
+from tickloom.operators.blocks import carry_forward, join_keys, over_series, with_position
 
 def ohlc4() -> Column:
     return (F.col("open") + F.col("high") + F.col("low") + F.col("close")) / 4
@@ -450,7 +450,8 @@ def temporal_interactions(bars: DataFrame, levels=(), keys=("symbol",), day: str
              "delta_reversal_signal": F.col("_flip"),
              "session_vol_ratio": clip(v / F.greatest(F.col("_cavg"), F.lit(1.0)), 0, 5)},
         ]
-    df = over_series(df, columns, 64, keys=keys, day=day, block_rows=block_rows)
+    # The layers reach back: volume z-score, or 49 rows of a mean over sums of 10 and differences of 10 rows.
+    df = over_series(df, columns, max(vol_lookback - 1, 49 + 10), keys=keys, day=day, block_rows=block_rows)
     stats = df.groupBy(*keys, day).agg(F.count("_atr").alias("n"), F.sum("_atr").alias("s"), F.sum(F.pow("_atr", 2)).alias("q"))
     if tod_mode == "global":
         frame = by(keys, day).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -458,7 +459,7 @@ def temporal_interactions(bars: DataFrame, levels=(), keys=("symbol",), day: str
         frame = by(keys, day).rowsBetween(Window.unboundedPreceding, -1)
     n, s, q = (F.sum(c).over(frame) for c in ("n", "s", "q"))
     stats = stats.select(*keys, day, (s / n).alias("_m"), F.sqrt(F.greatest(q / n - F.pow(s / n, 2), F.lit(0.0))).alias("_sd"))
-    df = df.join(stats, [*keys, day], "left")
+    df = join_keys(df, stats, [*keys, day], "left")
     atr_z = (F.col("_atr") - F.col("_m")) / (F.col("_sd") + 1e-6)
     near = [F.abs(F.col("close") - F.col(l)) / F.nullif(F.col("close"), F.lit(0.0)) for l in levels]
     near = F.least(*near) * 10000 if len(near) > 1 else (near[0] * 10000 if near else F.lit(0.0))
