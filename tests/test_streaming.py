@@ -81,3 +81,49 @@ def test_budget_threshold_adapts(spark, tmp_path):
     out = st.latest(spark, str(tmp_path / "out"), ["ts"]).orderBy("ts").collect()
     assert sum(r["accepted"] for r in out) <= 5
     assert max(r["threshold"] for r in out) > 0.5
+
+
+def in_batches(spark, path, batches, schema):
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    return st.read_stream(spark, path, spark.read.parquet(path).schema, 1)
+
+
+def at(day, hour, minute=0):
+    return dt.datetime(2024, 1, day, hour, minute)
+
+
+def test_late_bars_of_an_earlier_day_change_nothing(spark, tmp_path):
+    bar = lambda d, h, hi, lo: ("A", f"2024-01-0{d}", at(d, h), 5.0, hi, lo, 5.0, 1.0)
+    schema = "symbol string, trading_day string, dt timestamp, open double, high double, low double, close double, volume double"
+    stream = in_batches(spark, str(tmp_path / "in"), [[bar(2, 10, 5.0, 1.0)], [bar(3, 10, 9.0, 2.0)], [bar(2, 11, 7.0, 1.0)], [bar(3, 11, 4.0, 3.0)]], schema)
+    st.run_upsert(state.running_levels(stream, "5 days"), str(tmp_path / "out"), str(tmp_path / "ck"), "append")
+    out = {r.dt: r for r in st.latest(spark, str(tmp_path / "out"), ["symbol", "dt"]).collect()}
+    assert set(out) == {at(2, 10), at(3, 10), at(3, 11)}
+    assert (out[at(3, 11)].prev_high, out[at(3, 11)].day_high, out[at(3, 11)].day_low) == (5.0, 9.0, 2.0)
+
+
+def test_late_ticks_keep_their_place_in_time(spark, tmp_path):
+    tick = lambda s, m: ("A", at(2, 10) + dt.timedelta(minutes=m), s, 1.0, 1.0, 1.0, 0.0)
+    stream = in_batches(spark, str(tmp_path / "in"), [[tick(1, 0)], [tick(2, 100)], [tick(3, 1), tick(4, 95)], [tick(5, 101)]], TICK)
+    st.run_upsert(state.time_retention(stream), str(tmp_path / "out"), str(tmp_path / "ck"), "append")
+    got = {r.seq: r.n_recent for r in st.latest(spark, str(tmp_path / "out"), ["symbol", "seq"]).collect()}
+    assert got == {1: 1, 2: 1, 4: 1, 5: 3}
+
+
+def test_budget_by_session_and_none(spark, tmp_path):
+    rows = [("X", s, "2024-01-02", at(2, 10) + dt.timedelta(minutes=i), 0.9) for s in ("regular", "overnight") for i in range(12)]
+    stream = in_batches(spark, str(tmp_path / "in"), [rows], "symbol string, session string, trading_day string, ts timestamp, score double")
+    st.run_upsert(state.budget_accept(stream, {"regular": 3, "overnight": 0}, 4.0, 0.5), str(tmp_path / "out"), str(tmp_path / "ck"), "append")
+    out = spark.read.parquet(str(tmp_path / "out")).groupBy("session").agg(F.sum("accepted").alias("n"))
+    assert {r.session: r.n for r in out.collect()} == {"regular": 3, "overnight": 12}
+
+
+def test_idle_keys_leave_the_state(spark, tmp_path):
+    touch = lambda sym, d, close: (sym, f"2024-02-{d:02d}", dt.datetime(2024, 2, d, 12), "L", close, 5.0)
+    stream = in_batches(spark, str(tmp_path / "in"), [[touch("A", 1, 6.0), touch("B", 1, 6.0)], [touch("B", 20, 4.0)], [touch("B", 21, 4.0)], [touch("B", 22, 4.0)]], "symbol string, trading_day string, dt timestamp, level string, close double, level_price double")
+    q = state.level_side(stream, 0.5).writeStream.format("memory").queryName("sides").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
+    assert spark.table("sides").count() == 5

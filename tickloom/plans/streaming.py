@@ -16,10 +16,13 @@ from tickloom.sources import sinks
 from tickloom.streaming import state, tables as st
 
 
-def staged(t, df, name, files=4, order="ts"):
-    """Write a table as ordered files and open it as a stream."""
+FILE_ROWS = 1_000_000
+
+
+def staged(t, df, name, order="ts"):
+    """Write a table as ordered files, as many as its rows need, and open it as a stream."""
     path = stage_dir(t.spark, name)
-    df.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(path)
+    df.repartitionByRange(order).sortWithinPartitions(order).write.option("maxRecordsPerFile", FILE_ROWS).parquet(path)
     return path, st.read_stream(t.spark, path, t.spark.read.parquet(path).schema)
 
 

@@ -1,110 +1,139 @@
 """Keyed state over streams: session levels, level side, recent ticks, acceptance budget.
 
-State per key is a few numbers (or the last minutes of ticks) and is reset at the day roll.
-Rows of one key in one micro-batch are sorted before they are folded.
+State per key is a few numbers (or the last minutes of ticks). Rows of one key in one micro-batch are
+sorted before they are folded, and the sources bound a micro-batch. Each stream has a watermark: rows later
+than ``delay`` are dropped by Spark. Rows that come within it but belong to a trading day that the key has
+already left change nothing and are not emitted. A key that stays silent for ``KEEP`` of event time leaves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Milliseconds of event time: longer than any pause between sessions.
+KEEP = 10 * 86_400_000
+NAN = float("nan")
+
 
 def _sorted(parts: Iterator[pd.DataFrame], order) -> pd.DataFrame:
     return pd.concat(list(parts), ignore_index=True).sort_values(order, ignore_index=True)
 
 
-def running_levels(bars: DataFrame) -> DataFrame:
+def _with_state(stream: DataFrame, keys, time: str, delay: str, out: str, kept: str, fold) -> DataFrame:
+    """``fold(key, rows, state or None) -> (output rows, new state)`` per key, behind a watermark on ``time``;
+    idle keys are dropped."""
+    order = [time, *(c for c in ("seq", "score") if c in stream.columns)]
+    names = [c.split()[0] for c in out.split(", ")]
+
+    def run(key, parts, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = _sorted(parts, order)
+        found, new = fold(key, rows, state.get if state.exists else None)
+        state.update(new)
+        state.setTimeoutTimestamp(max(int(rows[time].iloc[-1].timestamp() * 1000), state.getCurrentWatermarkMs()) + KEEP)
+        yield pd.DataFrame(found, columns=names)
+
+    return stream.withWatermark(time, delay).groupBy(*keys).applyInPandasWithState(run, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def running_levels(bars: DataFrame, delay: str = "1 day") -> DataFrame:
     """Session VWAP and extremes of each bar, with the previous session's high, low and mid.
     Bars: symbol, trading_day, dt, open, high, low, close, volume."""
-    def fold(key, parts, state: GroupState):
-        day, pv, v, hi, lo, phi, plo = state.get if state.exists else ("", 0.0, 0.0, float("nan"), float("nan"), float("nan"), float("nan"))
+    def fold(key, rows, state):
+        day, pv, v, hi, lo, phi, plo = state or ("", 0.0, 0.0, NAN, NAN, NAN, NAN)
         out = []
-        for r in _sorted(parts, ["dt"]).itertuples(index=False):
+        for r in rows.itertuples(index=False):
             d = str(r.trading_day)
-            if d != day:
+            if d < day:
+                continue
+            if d > day:
                 if day:
                     phi, plo = hi, lo
                 day, pv, v, hi, lo = d, 0.0, 0.0, r.high, r.low
             pv += (r.open + r.high + r.low + r.close) / 4 * r.volume
             v += r.volume
             hi, lo = max(hi, r.high), min(lo, r.low)
-            out.append((key[0], r.dt, pv / v if v else float("nan"), hi, lo, phi, plo))
-        state.update((day, pv, v, hi, lo, phi, plo))
-        yield pd.DataFrame(out, columns=["symbol", "dt", "vwap", "day_high", "day_low", "prev_high", "prev_low"])
+            out.append((key[0], r.dt, pv / v if v else NAN, hi, lo, phi, plo))
+        return out, (day, pv, v, hi, lo, phi, plo)
 
-    return bars.groupBy("symbol").applyInPandasWithState(
-        fold, "symbol string, dt timestamp, vwap double, day_high double, day_low double, prev_high double, prev_low double",
-        "day string, pv double, v double, hi double, lo double, phi double, plo double", "append", GroupStateTimeout.NoTimeout)
+    return _with_state(bars, ["symbol"], "dt", delay, "symbol string, dt timestamp, vwap double, day_high double, day_low double, prev_high double, prev_low double",
+                       "day string, pv double, v double, hi double, lo double, phi double, plo double", fold)
 
 
-def level_side(touches: DataFrame, flip_confirm: float) -> DataFrame:
+def level_side(touches: DataFrame, flip_confirm: float, delay: str = "1 day") -> DataFrame:
     """Sticky side of each (symbol, level) touch, reset every day. Touches: symbol,
     trading_day, dt, level, close, level_price."""
-    def fold(key, parts, state: GroupState):
-        day, side = state.get if state.exists else ("", 0)
+    def fold(key, rows, state):
+        day, side = state or ("", 0)
         out = []
-        for r in _sorted(parts, ["dt"]).itertuples(index=False):
-            dist = r.close - r.level_price
-            if str(r.trading_day) != day:
-                day, side = str(r.trading_day), 1 if dist >= 0 else -1
-            elif dist >= flip_confirm:
-                side = 1
-            elif dist <= -flip_confirm:
-                side = -1
+        for r in rows.itertuples(index=False):
+            d, dist = str(r.trading_day), r.close - r.level_price
+            if d < day:
+                continue
+            if d > day:
+                day, side = d, 1 if dist >= 0 else -1
+            elif abs(dist) >= flip_confirm:
+                side = 1 if dist > 0 else -1
             out.append((key[0], key[1], r.dt, side))
-        state.update((day, side))
-        yield pd.DataFrame(out, columns=["symbol", "level", "dt", "side"])
-
-    return touches.groupBy("symbol", "level").applyInPandasWithState(
-        fold, "symbol string, level string, dt timestamp, side int", "day string, side int", "append", GroupStateTimeout.NoTimeout)
-
-
-def time_retention(ticks: DataFrame, seconds: int = 900) -> DataFrame:
-    """Count and volume of the ticks of the last ``seconds`` of event time at each tick. The
-    state is those ticks only; older ones leave it."""
-    def fold(key, parts, state: GroupState):
-        times, vols = (list(x) for x in state.get) if state.exists else ([], [])
+        return out, (day, side)
+
+    return _with_state(touches, ["symbol", "level"], "dt", delay, "symbol string, level string, dt timestamp, side int", "day string, side int", fold)
+
+
+def time_retention(ticks: DataFrame, seconds: int = 900, delay: str = "1 day") -> DataFrame:
+    """Count and volume of the ticks of the ``seconds`` up to each tick. The state is the ticks of that span
+    before the newest one; a tick that comes later than that is dropped, others take their place in time.
+    Both numbers are differences of running totals over the sorted times."""
+    def fold(key, rows, state):
+        old_t, old_v = (np.asarray(x, float) for x in state) if state else (np.zeros(0), np.zeros(0))
+        now = rows["ts"].map(lambda x: x.timestamp()).to_numpy(float)
+        if len(old_t):
+            rows = rows[now >= old_t[-1] - seconds]
+            now = now[now >= old_t[-1] - seconds]
+        t, v = np.append(old_t, now), np.append(old_v, rows["volume"].to_numpy(float))
+        o = np.argsort(t, kind="stable")
+        t, v = t[o], v[o]
+        total = np.append(0.0, np.cumsum(v))
+        lo, hi = np.searchsorted(t, now - seconds, side="left"), np.searchsorted(t, now, side="right")
+        out = pd.DataFrame({"symbol": key[0], "ts": rows["ts"].to_numpy(), "seq": rows["seq"].to_numpy(), "n_recent": hi - lo, "volume_recent": total[hi] - total[lo]})
+        keep = t >= t[-1] - seconds if len(t) else np.zeros(0, bool)
+        return out, (t[keep].tolist(), v[keep].tolist())
+
+    return _with_state(ticks, ["symbol"], "ts", delay, "symbol string, ts timestamp, seq long, n_recent int, volume_recent double", "times array<double>, vols array<double>", fold)
+
+
+def budget_accept(signals: DataFrame, budget: int | dict, expected: float, base: float, step: float = 0.02, tolerance: float = 1.0, top: float = 0.95, delay: str = "1 day") -> DataFrame:
+    """Accept scores under a daily cap. The threshold moves by ``step`` against the lead that acceptance has over an
+    even pace of ``expected`` signals, once the lead exceeds ``tolerance``, between ``base`` and ``top``.
+
+    Signals: symbol, trading_day, ts, score and, if budgets differ by session, session; ``budget`` may then be
+    {session: cap}. A cap of 0 or less means no budget: everything is accepted."""
+    by_session = "session" in signals.columns
+    keys = ["symbol", "session"] if by_session else ["symbol"]
+
+    def fold(key, rows, state):
+        cap = budget.get(key[-1], 0) if isinstance(budget, dict) else budget
+        day, seen, taken, bar = state or ("", 0, 0, base)
         out = []
-        for r in _sorted(parts, ["ts", "seq"]).itertuples(index=False):
-            now = r.ts.timestamp()
-            times.append(now)
-            vols.append(float(r.volume))
-            drop = 0
-            while times[drop] < now - seconds:
-                drop += 1
-            del times[:drop], vols[:drop]
-            out.append((key[0], r.ts, int(r.seq), len(times), sum(vols)))
-        state.update((times, vols))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "seq", "n_recent", "volume_recent"])
-
-    return ticks.groupBy("symbol").applyInPandasWithState(
-        fold, "symbol string, ts timestamp, seq long, n_recent int, volume_recent double", "times array<double>, vols array<double>", "append", GroupStateTimeout.NoTimeout)
-
-
-def budget_accept(signals: DataFrame, budget: int, expected: float, base: float, step: float = 0.02, tolerance: float = 1.0, top: float = 0.95) -> DataFrame:
-    """Accept scores under a daily cap with a threshold that rises when acceptance runs ahead
-    of the expected pace and falls back when it lags. Signals: symbol, trading_day, ts, score."""
-    def fold(key, parts, state: GroupState):
-        day, seen, taken, thr = state.get if state.exists else ("", 0, 0, base)
-        out = []
-        for r in _sorted(parts, ["ts", "score"]).itertuples(index=False):
-            if str(r.trading_day) != day:
-                day, seen, taken, thr = str(r.trading_day), 0, 0, base
+        for r in rows.itertuples(index=False):
+            d = str(r.trading_day)
+            if d < day:
+                continue
+            if d > day:
+                day, seen, taken, bar = d, 0, 0, base
             seen += 1
-            gap = taken - budget * min(1.0, seen / max(expected, 1.0))
-            if gap > tolerance:
-                thr = min(top, thr + step)
-            elif gap < -tolerance:
-                thr = max(base, thr - step)
-            ok = taken < budget and r.score >= thr
-            taken += int(ok)
-            out.append((key[0], r.ts, float(r.score), float(thr), int(ok)))
-        state.update((day, seen, taken, float(thr)))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "score", "threshold", "accepted"])
-
-    return signals.groupBy("symbol").applyInPandasWithState(
-        fold, "symbol string, ts timestamp, score double, threshold double, accepted int", "day string, seen int, taken int, thr double", "append", GroupStateTimeout.NoTimeout)
+            lead = taken - cap * min(seen / max(expected, 1.0), 1.0)
+            bar = float(np.clip(bar + step * (int(lead > tolerance) - int(lead < -tolerance)), base, top)) if cap > 0 else base
+            accepted = cap <= 0 or (taken < cap and r.score >= bar)
+            taken += accepted
+            out.append((*key, r.ts, float(r.score), bar, int(accepted)))
+        return out, (day, seen, int(taken), float(bar))
+
+    return _with_state(signals, keys, "ts", delay, "symbol string, " + "session string, " * by_session + "ts timestamp, score double, threshold double, accepted int", "day string, seen int, taken int, thr double", fold)
