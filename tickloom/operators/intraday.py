@@ -259,9 +259,11 @@ def range_exhaustion(bars: DataFrame, atr: DataFrame, keys=DAY_KEYS) -> DataFram
 def range_percentile_prior(bars: DataFrame, n: int = 20, keys=DAY_KEYS) -> DataFrame:
     """Share of the last ``n`` completed positive day ranges at or under the running range."""
     daily = bars.groupBy(*keys).agg((F.max("high") - F.min("low")).alias("_rng"))
-    w = by(keys[:-1], keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    hist = F.slice(F.reverse(F.collect_list(F.when(F.col("_rng") > 0, F.col("_rng"))).over(w)), 1, n)
-    daily = daily.select(*keys, hist.alias("_hist"))
+    series = by(keys[:-1], keys[-1])
+    # Positive days are numbered and keep the last n ranges; a day reads those of the last one before it.
+    ranges = daily.filter("_rng > 0").select(*keys[:-1], F.row_number().over(series).alias("_k"), F.collect_list("_rng").over(last_rows(series, n)).alias("_hist"))
+    before = F.count(F.when(F.col("_rng") > 0, 1)).over(series.rowsBetween(Window.unboundedPreceding, -1))
+    daily = join_keys(daily.withColumn("_k", before), ranges, [*keys[:-1], "_k"], "left").select(*keys, F.coalesce("_hist", F.array().cast("array<double>")).alias("_hist"))
     r = running(by(keys))
     df = bars.withColumn("running_range", F.max("high").over(r) - F.min("low").over(r)).join(daily, list(keys), "left")
     share = F.size(F.filter("_hist", lambda x: x <= F.col("running_range"))) / F.nullif(F.size("_hist"), F.lit(0))

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.functions import calendar as cal
 from tickloom.functions.windows import by, running, whole
+from tickloom.operators.blocks import join_keys
+
 
 def join_daily(bars: DataFrame, daily: DataFrame, keys=("symbol", "trading_day"), fill: dict | None = None) -> DataFrame:
     """Attach one row per (symbol, day) to every bar of the day."""
@@ -47,29 +49,36 @@ def asof(
 ) -> DataFrame:
     """Last right row at or before each left row, per key.
 
-    Both sides are unioned and the last right row is carried along time inside a
-    (key, bucket); what a bucket inherits is the last right row of all earlier buckets, a
-    table with one row per key and bucket. Without a bucket the right side would have to
-    share one task per key. Buckets are months, right for daily rows; pass a day or hour
-    truncation for ticks. ``strict`` asks for right rows before, not at, the left time.
+    Only the distinct left times take part, and the left rows meet their result in an equi-join, so no left
+    row passes through a window. Times and right rows are unioned and the last right row is carried along time
+    inside a (key, bucket); what a bucket inherits is the last right row of all earlier buckets, a table with
+    one row per key and bucket. Buckets are months, right for daily rows; pass a day or hour truncation for
+    ticks. ``strict`` asks for right rows before, not at, the left time. Of right rows at one time the largest
+    by ``values`` counts.
     """
     keys = list(keys)
     bucket = bucket or (lambda ts: F.date_trunc("month", ts))
     packed = F.struct(F.col(right_ts).alias("_rts"), *[F.col(v) for v in values])
     side_l, side_r = (0, 1) if strict else (1, 0)
-    lcols = left.columns
-    l_row = left.select(*keys, F.col(left_ts).alias("_t"), F.lit(side_l).alias("_side"), F.struct(*lcols).alias("_row"))
-    r_row = right.select(*keys, F.col(right_ts).alias("_t"), F.lit(side_r).alias("_side"), packed.alias("_val"))
-    both = l_row.unionByName(r_row, allowMissingColumns=True).withColumn("_bucket", bucket("_t"))
-    w = by((*keys, "_bucket"), ["_t", "_side"])
+    times = left.select(*keys, F.col(left_ts).alias("_t")).distinct().withColumn("_side", F.lit(side_l))
+    known = right.select(*keys, F.col(right_ts).alias("_t"), F.lit(side_r).alias("_side"), packed.alias("_val"))
+    both = times.unionByName(known, allowMissingColumns=True).withColumn("_bucket", bucket("_t"))
+    w = by((*keys, "_bucket"), ["_t", "_side", "_val"])
     both = both.withColumn("_seen", F.last("_val", ignorenulls=True).over(running(w)))
-    ends = both.groupBy(*keys, "_bucket").agg(F.max("_val").alias("_end"))
-    wb = by(keys, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select(*keys, "_bucket", F.last("_end", ignorenulls=True).over(wb).alias("_inherited"))
-    out = both.filter(F.col("_row").isNotNull()).join(ends, [*keys, "_bucket"], "left")
+    ends = known.withColumn("_bucket", bucket("_t")).groupBy(*keys, "_bucket").agg(F.max("_val").alias("_end"))
+    empty = times.select(*keys, bucket("_t").alias("_bucket")).distinct()
+    ends = inherited(empty, ends, keys)
     hit = F.coalesce("_seen", "_inherited")
-    return out.select(*[F.col("_row")[c].alias(c) for c in lcols], hit["_rts"].alias(f"matched_{right_ts}"),
-                      *[hit[v].alias(v) for v in values])
+    found = join_keys(both.filter(F.col("_side") == side_l), ends, [*keys, "_bucket"], "left")
+    found = found.select(*keys, F.col("_t").alias(left_ts), hit["_rts"].alias(f"matched_{right_ts}"), *[hit[v].alias(v) for v in values])
+    return join_keys(left, found, [*keys, left_ts], "left")
+
+
+def inherited(buckets: DataFrame, ends: DataFrame, keys) -> DataFrame:
+    """``_inherited`` for each of ``buckets``: the last ``_end`` of an earlier bucket of the key."""
+    rows = join_keys(buckets.unionByName(ends.select(*keys, "_bucket")).distinct(), ends, [*keys, "_bucket"], "left")
+    before = by(keys, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select(*keys, "_bucket", F.last("_end", ignorenulls=True).over(before).alias("_inherited"))
 
 
 def asof_business_days(left: DataFrame, right: DataFrame, keys, left_day: str, right_day: str, values, max_days: int = 3) -> DataFrame:

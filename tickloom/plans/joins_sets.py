@@ -53,10 +53,10 @@ def _(t):
 
 @query("join_left_dedup_right", "symbol trading_day:d close:f first_user:i", with_(BAR) + """
 , d AS (SELECT symbol, trading_day, arg_max(close, dt) AS close FROM bar GROUP BY 1, 2),
-r AS (SELECT event_type AS symbol, ts::DATE AS trading_day, first(user_id ORDER BY ts, event_id) AS first_user FROM events WHERE value > 100 GROUP BY 1, 2)
+r AS (SELECT event_type AS symbol, ts::DATE AS trading_day, first(user_id ORDER BY ts, event_id) AS first_user FROM events GROUP BY 1, 2)
 SELECT symbol, trading_day, close, first_user FROM d LEFT JOIN r USING (symbol, trading_day)""")
 def _(t):
-    right = t.table("events").filter("value > 100").select(
+    right = t.table("events").select(
         F.col("event_type").alias("symbol"), F.to_date("ts").alias("trading_day"), F.col("user_id").alias("first_user"), "ts", "event_id")
     out = joins.join_left_dedup_right(bars.daily_bars(t.bar()).select("symbol", "trading_day", "close"), right, ["symbol", "trading_day"], ["ts", "event_id"])
     return out
@@ -66,19 +66,19 @@ ASOF_RIGHT = "ext AS (SELECT day, close AS ext_close FROM day2 WHERE symbol = '2
 
 
 @query("asof_ffill", "symbol day:d close:f matched_day:d ext_close:f", with_(DAY, DAY2, ASOF_RIGHT) + """
-SELECT d.symbol, d.day, d.close, e.day AS matched_day, e.ext_close FROM day d ASOF LEFT JOIN (SELECT * FROM ext WHERE ext_close > 200000) e ON d.day >= e.day""")
+SELECT d.symbol, d.day, d.close, e.day AS matched_day, e.ext_close FROM day d ASOF LEFT JOIN ext e ON d.day >= e.day""")
 def _(t):
-    ext = t.day2().filter("symbol = '2-HIGH' AND close > 200000").select(F.lit(1).alias("series"), "day", F.col("close").alias("ext_close"))
+    ext = t.day2().filter("symbol = '2-HIGH'").select(F.lit(1).alias("series"), "day", F.col("close").alias("ext_close"))
     left = t.day().withColumn("series", F.lit(1))
     return joins.asof(left, ext, ["series"], "day", "day", ["ext_close"])
 
 
 @query("asof_bounded_bday", "symbol day:d matched_day:d ext_close:f", with_(DAY, DAY2, ASOF_RIGHT) + """
-, j AS (SELECT d.symbol, d.day, e.day AS m, e.ext_close FROM day d ASOF LEFT JOIN (SELECT * FROM ext WHERE ext_close > 400000) e ON d.day >= e.day),
+, j AS (SELECT d.symbol, d.day, e.day AS m, e.ext_close FROM day d ASOF LEFT JOIN ext e ON d.day >= e.day),
 k AS (SELECT *, (SELECT count(*) FROM generate_series(m + 1, day, INTERVAL 1 DAY) g(x) WHERE isodow(x) < 6) AS bd FROM j)
 SELECT symbol, day, CASE WHEN bd <= 3 THEN m END AS matched_day, CASE WHEN bd <= 3 THEN ext_close END AS ext_close FROM k""")
 def _(t):
-    ext = t.day2().filter("symbol = '2-HIGH' AND close > 400000").select(F.lit(1).alias("series"), "day", F.col("close").alias("ext_close"))
+    ext = t.day2().filter("symbol = '2-HIGH'").select(F.lit(1).alias("series"), "day", F.col("close").alias("ext_close"))
     left = t.day().withColumn("series", F.lit(1))
     return joins.asof_business_days(left, ext, ["series"], "day", "day", ["ext_close"])
 

@@ -221,13 +221,13 @@ def _(t):
 
 
 @query("local_gamma_score", "symbol trade_date:d px:f gamma_score:f", with_(DAY, *GREEK) + f"""
-, pt AS (SELECT d.symbol, d.day AS trade_date, spot * close / open AS px FROM day d JOIN spot ON spot.trade_date = d.day WHERE close / open BETWEEN .9 AND 1.1),
+, pt AS (SELECT d.symbol, d.day AS trade_date, spot * close / open AS px FROM day d JOIN spot ON spot.trade_date = d.day),
 j AS (SELECT pt.*, abs(px - strike) AS gap, (ln(px / strike) + (.04 + .5 * iv * iv) * tte) / (iv * sqrt(tte)) AS x, iv, tte, open_interest AS oi FROM pt JOIN prep USING (trade_date) WHERE abs(px - strike) <= 15),
 s AS (SELECT symbol, trade_date, px, sum(CASE WHEN gap <= 5 THEN {pdf_sql('x')} / (px * iv * sqrt(tte)) * oi ELSE 0 END) AS l, sum({pdf_sql('x')} / (px * iv * sqrt(tte)) * oi) AS r FROM j GROUP BY 1, 2, 3)
 SELECT pt.symbol, pt.trade_date, pt.px, greatest(least(coalesce(l / nullif(r, 0), 0), 1), 0) AS gamma_score FROM pt LEFT JOIN s USING (symbol, trade_date)""")
 def _(t):
     c = t.chain()
-    pts = t.day().filter("close / open BETWEEN 0.9 AND 1.1").select("symbol", F.col("day").alias("trade_date"), "close", "open").join(t.spot(c), "trade_date")
+    pts = t.day().select("symbol", F.col("day").alias("trade_date"), "close", "open").join(t.spot(c), "trade_date")
     return ex.local_gamma_score(pts.select("symbol", "trade_date", (F.col("spot") * F.col("close") / F.col("open")).alias("px")), c)
 
 

@@ -32,13 +32,17 @@ def _(t):
     return files.read_bars_csv(t.spark, staged_csv(t, b, "bars"))
 
 
+# Every symbol is delivered in one of two vendor layouts: local times with "close", or UTC times with "Last".
+LOCAL, UTC = ("click", "purchase", "signup"), ("view", "error")
+
+
 @query("scan_multi_schema", "symbol dt:t " + OHLCV, with_(BAR) + """
-SELECT 'ES' AS symbol, timezone('UTC', timezone('America/New_York', dt)) AS dt, open, high, low, close, volume FROM bar WHERE symbol = 'click' UNION ALL SELECT 'NQ', dt, open, high, low, close, volume FROM bar WHERE symbol = 'view'""")
+SELECT symbol, CASE WHEN symbol IN ('click', 'purchase', 'signup') THEN timezone('UTC', timezone('America/New_York', dt)) ELSE dt END AS dt, open, high, low, close, volume FROM bar""")
 def _(t):
     b = lambda s: t.bar().filter(F.col("symbol") == s).select(F.date_format("dt", "yyyy-MM-dd").alias("Date"), F.date_format("dt", "HH:mm:ss").alias("Time"), "open", "high", "low", "close", "volume")
-    p1 = staged_csv(t, b("click"), "combined")
-    p2 = staged_csv(t, b("view").withColumnRenamed("close", "Last"), "mnt")
-    return files.read_many(t.spark, [(p1, "combined", "ES", "America/New_York"), (p2, "mnt_standard", "NQ", None)])
+    files_of = [(staged_csv(t, b(s), f"combined-{s}"), "combined", s, "America/New_York") for s in LOCAL]
+    files_of += [(staged_csv(t, b(s).withColumnRenamed("close", "Last"), f"mnt-{s}"), "mnt_standard", s, None) for s in UTC]
+    return files.read_many(t.spark, files_of)
 
 
 @query("scan_historical_merge_fmt", "symbol dt:t " + OHLCV, with_(BAR) + "SELECT symbol, dt, open, high, low, close, volume FROM bar")
@@ -120,9 +124,9 @@ def _(t):
 
 
 @query("sink_signals_jsonl", "signal_id symbol ts:t price:f score:f", with_(TICK) + """
-SELECT substr(sha1(symbol || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '|' || seq::VARCHAR), 1, 16) AS signal_id, symbol, date_trunc('second', ts) AS ts, price, CASE WHEN seq % 3 <> 0 THEN price / 100 END AS score FROM tick WHERE price > 150""")
+SELECT substr(sha1(symbol || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '|' || seq::VARCHAR), 1, 16) AS signal_id, symbol, date_trunc('second', ts) AS ts, price, CASE WHEN seq % 3 <> 0 THEN price / 100 END AS score FROM tick""")
 def _(t):
-    s = t.tick().filter("price > 150").select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "seq", "price", F.when(F.col("seq") % 3 != 0, F.col("price") / 100).otherwise(F.lit(float("nan"))).alias("score"))
+    s = t.tick().select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "seq", "price", F.when(F.col("seq") % 3 != 0, F.col("price") / 100).otherwise(F.lit(float("nan"))).alias("score"))
     path = stage_dir(t.spark, "jsonl")
     sinks.write_jsonl(sinks.signal_payload(s, ["symbol", "ts", "seq"], ["symbol", "ts", "price", "score"]), path)
     back = t.spark.read.schema("signal_id string, symbol string, ts string, payload string").json(path)
@@ -147,12 +151,12 @@ def _(t):
     return tx.normalize_range_records(raw)
 
 
-REC = f"rec AS (SELECT symbol, day, low - 5 AS range_low, high + 5 AS range_high FROM day WHERE volume >= 150), pvc AS (SELECT symbol, day, {lag('close')} AS prev_close FROM day), rr AS (SELECT symbol, day, (range_high - range_low) / prev_close AS width_pct, (range_high - prev_close) / prev_close AS high_pct, (prev_close - range_low) / prev_close AS low_pct FROM rec JOIN pvc USING (symbol, day) WHERE prev_close IS NOT NULL)"
+REC = f"rec AS (SELECT symbol, day, low - 5 AS range_low, high + 5 AS range_high FROM day), pvc AS (SELECT symbol, day, {lag('close')} AS prev_close FROM day), rr AS (SELECT symbol, day, (range_high - range_low) / prev_close AS width_pct, (range_high - prev_close) / prev_close AS high_pct, (prev_close - range_low) / prev_close AS low_pct FROM rec JOIN pvc USING (symbol, day) WHERE prev_close IS NOT NULL)"
 
 
 @query("range_record_features", "symbol day:d width_pct:f high_pct:f low_pct:f width_pct_lag1:f width_pct_lag5:f high_pct_lag1:f low_pct_lag3:f", with_(DAY, REC) + f"SELECT *, {lag('width_pct')} AS width_pct_lag1, {lag('width_pct', 5)} AS width_pct_lag5, {lag('high_pct')} AS high_pct_lag1, {lag('low_pct', 3)} AS low_pct_lag3 FROM rr")
 def _(t):
-    rec = t.day().filter("volume >= 150").select("symbol", "day", (F.col("low") - 5).alias("range_low"), (F.col("high") + 5).alias("range_high"))
+    rec = t.day().select("symbol", "day", (F.col("low") - 5).alias("range_low"), (F.col("high") + 5).alias("range_high"))
     return md.range_record_features(rec, t.day())
 
 
