@@ -19,6 +19,7 @@ from tickloom.llm.staging import staged
 
 SHARDS = 24
 BUCKET_BYTES = 32 << 20
+BROADCAST_BUCKETS = 1 << 20
 SEED = 20240607
 LAW = "rows"
 
@@ -50,26 +51,29 @@ def buckets(docs: DataFrame, bucket_bytes: int, seed: int) -> tuple[DataFrame, i
     return placed.withColumn("size_", size).withColumn("bucket_", F.pmod(key, F.lit(count)).cast("long")).drop("place_"), count
 
 
-def shuffled(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED) -> DataFrame:
-    """Pass 1, written: the columns of ``docs``, ``size_``, ``bucket_`` and ``at_``, the row's place in its bucket."""
-    scattered, _ = buckets(docs, bucket_bytes, seed)
+def shuffled(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED) -> tuple[DataFrame, int]:
+    """Pass 1, written: the columns of ``docs``, ``size_``, ``bucket_`` and ``at_``, the row's place in its bucket;
+    and the number of buckets."""
+    scattered, count = buckets(docs, bucket_bytes, seed)
 
     def shuffle(t: pa.Table) -> pa.Table:
         bucket = t.column("bucket_")[0].as_py()
         return t.take(pa.array(fisher_yates(t.num_rows, zlib.crc32(f"{seed}:{bucket}".encode())))).append_column("at_", pa.array(np.arange(t.num_rows)))
 
     schema = scattered.limit(0).withColumn("at_", F.lit(0).cast("long")).schema
-    return staged(scattered.groupBy("bucket_").applyInArrow(shuffle, schema), "shards")
+    return staged(scattered.groupBy("bucket_").applyInArrow(shuffle, schema), "shards"), count
 
 
 def shards(docs: DataFrame, count: int = SHARDS, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED) -> DataFrame:
     """The columns of ``docs`` with ``size``, ``shard`` and ``slot`` (gapless from 0 in each shard). Null texts have
     size 8; repeated rows are dealt each; columns of ``docs`` named like the results are replaced."""
     docs = docs.drop("size", "shard", "slot")
-    rows = shuffled(docs, bucket_bytes, seed)
+    rows, buckets_ = shuffled(docs, bucket_bytes, seed)
     per = rows.groupBy("bucket_").agg(F.count("*").alias("n"))
     # One row per bucket of BUCKET_BYTES: a small table.
     before = per.select(F.col("bucket_").alias("b_"), (F.sum("n").over(Window.orderBy("bucket_")) - F.col("n")).alias("before_"))
+    # Two longs a bucket: broadcast, so that texts are not shuffled again, unless there are very many.
+    before = F.broadcast(before) if buckets_ <= BROADCAST_BUCKETS else before
     p = F.col("before_") + F.col("at_")
     return rows.join(before, F.col("bucket_") == F.col("b_")).select(*docs.columns, F.col("size_").alias("size"), F.pmod(p, F.lit(count)).cast("int").alias("shard"), F.floor(p / count).cast("long").alias("slot"))
 
