@@ -207,3 +207,12 @@ def test_rows_with_null_keys_stay(make_bars):
     bars = make_bars(walk(300, 6), step=5)
     some = bars.withColumn("symbol", F.when(F.col("bar_no") % 50 != 0, F.col("symbol"))).withColumn("trading_day", F.when(F.col("bar_no") % 70 != 0, F.col("trading_day")))
     assert it.bollinger(some).count() == it.temporal_interactions(some).count() == 300
+
+
+def test_bounded_and_whole_day_barriers_agree(make_bars):
+    bars = make_bars(walk(300, 8), step=5)
+    entries = bars.filter("bar_no % 7 = 0").select("symbol", "trading_day", "bar_no", F.col("close").alias("entry_price"), F.lit(1).alias("direction"), (F.col("close") - 1).alias("stop"), (F.col("close") + 1.5).alias("target"))
+    key = lambda df: sorted((r.trading_day, r.bar_no, r.exit_price, r.pnl) for r in df.collect())
+    for start in (0, 1):
+        assert key(lb.barrier_outcome(entries, bars, start, horizon=10_000)) == key(lb.barrier_outcome(entries, bars, start))
+    assert key(lb.barrier_outcome(entries, bars, horizon=3)) != key(lb.barrier_outcome(entries, bars))

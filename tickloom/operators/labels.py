@@ -66,11 +66,15 @@ def barrier_outcome(entries: DataFrame, bars: DataFrame, start_offset: int = 1,
     bounds the number of bars."""
     since_roll = lambda m: F.pmod(m - F.lit(60 * roll_hour), F.lit(1440))
     src = bars if last_minute is None else bars.filter(since_roll(F.col("minute")) <= since_roll(F.lit(last_minute)))
-    df = entries.join(day_paths(src, keys), list(keys), "left")
     none = F.array().cast("array<struct<bar_no:int,high:double,low:double,close:double>>")
-    path = F.filter(F.coalesce("day_path", none), lambda e: e["bar_no"] >= F.col("bar_no") + start_offset)
     if horizon is not None:
-        path = F.slice(path, 1, horizon)
+        # A bounded look ahead travels with the entry's bar; the whole day is only needed without one.
+        ahead = by(keys, "bar_no").rowsBetween(start_offset, start_offset + horizon - 1)
+        paths = src.select(*keys, "bar_no", F.collect_list(F.struct("bar_no", *PATH)).over(ahead).alias("path"))
+        df = entries.join(paths, [*keys, "bar_no"], "left").withColumn("path", F.coalesce("path", none))
+        return barrier_columns(df, "path", tie, timeout, keep_tie).drop("path")
+    df = entries.join(day_paths(src, keys), list(keys), "left")
+    path = F.filter(F.coalesce("day_path", none), lambda e: e["bar_no"] >= F.col("bar_no") + start_offset)
     return barrier_columns(df.withColumn("path", path).drop("day_path"), "path", tie, timeout, keep_tie).drop("path")
 
 
