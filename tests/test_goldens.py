@@ -150,3 +150,10 @@ def test_empty_and_single_row(spark, make_bars):
     assert lb.viable_zones(empty).count() == 0
     one = it.price_levels(make_bars([(10.0, 12.0, 9.0, 11.0)])).first()
     assert one["vwap"] == pytest.approx(10.5) and one["prev_high"] is None
+
+
+def test_wall_clock_times_that_do_not_exist_or_occur_twice(spark):
+    times = ["2024-03-10 02:30:00", "2024-03-10 03:30:00", "2024-11-03 00:59:00", "2024-11-03 01:30:00", "2024-11-03 02:00:00", "2024-07-01 01:30:00"]
+    df = spark.createDataFrame([(t,) for t in times], "t string").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    got = [(r.a, r.b) for r in df.select(cal.nonexistent_local("t", "America/New_York").alias("a"), cal.ambiguous_local("t", "America/New_York").alias("b")).collect()]
+    assert got == [(True, False), (False, False), (False, False), (False, True), (False, False), (False, False)]

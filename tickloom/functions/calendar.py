@@ -36,6 +36,14 @@ def nonexistent_local(wall, tz: str) -> Column:
     return back != w
 
 
+def ambiguous_local(wall, tz: str) -> Column:
+    """True for wall-clock times that occur twice, when clocks go back by up to an hour."""
+    w = col(wall).cast("timestamp_ntz")
+    utc = F.convert_timezone(F.lit(tz), F.lit("UTC"), w)
+    again = [F.convert_timezone(F.lit("UTC"), F.lit(tz), utc + F.expr(f"INTERVAL {m} MINUTES")) == w for m in (-60, -30, 30, 60)]
+    return again[0] | again[1] | again[2] | again[3]
+
+
 def trading_day(ts, roll_hour: int = 15, direction: str = "next") -> Column:
     """Session date. ``next``: from ``roll_hour`` on a row belongs to the next date.
     ``previous``: before ``roll_hour`` a row belongs to the previous date."""

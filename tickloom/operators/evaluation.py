@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tickloom.functions.options import norm_cdf
 from tickloom.functions.windows import by, safe_div, whole
 from tickloom.operators.sets import hash_order
 
@@ -258,16 +259,22 @@ def ks_stat(df: DataFrame, value: str, group: Column, keys=()) -> DataFrame:
     return out.withColumn("p_asymptotic", F.greatest(F.least(series, F.lit(1.0)), F.lit(0.0))).drop("_na", "_nb")
 
 
+def two_sided(score: str) -> Column:
+    """Two-sided p-value of a score under the normal distribution."""
+    return 2.0 * (1.0 - norm_cdf(F.abs(score)))
+
+
 def welch_t(df: DataFrame, value: str, group: Column, keys=()) -> DataFrame:
+    """Welch's t of two groups; ``p_value`` by the normal approximation."""
     a, b = F.when(group, F.col(value)), F.when(~group, F.col(value))
     se = F.sqrt(F.var_samp(a) / F.nullif(F.count(a), F.lit(0)) + F.var_samp(b) / F.nullif(F.count(b), F.lit(0)))
-    return df.groupBy(*keys).agg(F.count(a).alias("n_a"), F.count(b).alias("n_b"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"), safe_div(F.avg(a) - F.avg(b), se).alias("t_stat"))
+    return df.groupBy(*keys).agg(F.count(a).alias("n_a"), F.count(b).alias("n_b"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"), safe_div(F.avg(a) - F.avg(b), se).alias("t_stat")).withColumn("p_value", two_sided("t_stat"))
 
 
 def binom_vs_half(df: DataFrame, hit: Column, keys=()) -> DataFrame:
-    """Share of hits and its normal score against one half."""
+    """Share of hits, its normal score against one half and the p-value of that."""
     n, k = F.count(hit), F.sum(hit.cast("int"))
-    return df.groupBy(*keys).agg(n.alias("n"), k.alias("hits"), (k / n).alias("share"), ((k - n / 2) / F.sqrt(n / 4)).alias("z_score"))
+    return df.groupBy(*keys).agg(n.alias("n"), k.alias("hits"), (k / n).alias("share"), ((k - n / 2) / F.sqrt(n / 4)).alias("z_score")).withColumn("p_value", two_sided("z_score"))
 
 
 def exact_quantiles(df: DataFrame, value: str, fractions, keys=()) -> DataFrame:

@@ -16,6 +16,7 @@ from tickloom.plans.catalog import query
 from tickloom.plans.daily import SMA
 from tickloom.plans.joins_sets import HASH
 from tickloom.plans.levels import ALL, ENTRY, barrier_sql, entries, sided
+from tickloom.plans.options import cdf_sql
 from tickloom.plans.sqlkit import P, atr_sql, lag
 
 ID = "s.symbol || '|' || strftime(s.dt, '%Y-%m-%d %H:%M:%S')"
@@ -253,14 +254,14 @@ def _(t):
     return ev.ks_stat(scored_events(t), "score", F.col("y") == 1, ["event_type"])
 
 
-@query("welch_t", "event_type n_a:i n_b:i mean_a:f mean_b:f t_stat:f", with_(EV) + """
-SELECT event_type, count(*) FILTER (y = 1) AS n_a, count(*) FILTER (y = 0) AS n_b, avg(score) FILTER (y = 1) AS mean_a, avg(score) FILTER (y = 0) AS mean_b,
- (avg(score) FILTER (y = 1) - avg(score) FILTER (y = 0)) / sqrt(var_samp(score) FILTER (y = 1) / count(*) FILTER (y = 1) + var_samp(score) FILTER (y = 0) / count(*) FILTER (y = 0)) AS t_stat FROM ev GROUP BY 1""")
+@query("welch_t", "event_type n_a:i n_b:i mean_a:f mean_b:f t_stat:f p_value:f", with_(EV) + f"""
+SELECT *, 2 * (1 - {cdf_sql('abs(t_stat)')}) AS p_value FROM (SELECT event_type, count(*) FILTER (y = 1) AS n_a, count(*) FILTER (y = 0) AS n_b, avg(score) FILTER (y = 1) AS mean_a, avg(score) FILTER (y = 0) AS mean_b,
+ (avg(score) FILTER (y = 1) - avg(score) FILTER (y = 0)) / sqrt(var_samp(score) FILTER (y = 1) / count(*) FILTER (y = 1) + var_samp(score) FILTER (y = 0) / count(*) FILTER (y = 0)) AS t_stat FROM ev GROUP BY 1)""")
 def _(t):
     return ev.welch_t(scored_events(t), "score", F.col("y") == 1, ["event_type"])
 
 
-@query("binom_vs_half", "event_type n:i hits:i share:f z_score:f", with_(EV) + "SELECT event_type, count(*) AS n, sum(y) AS hits, avg(y) AS share, (sum(y) - count(*) / 2) / sqrt(count(*) / 4) AS z_score FROM ev GROUP BY 1")
+@query("binom_vs_half", "event_type n:i hits:i share:f z_score:f p_value:f", with_(EV) + f"SELECT *, 2 * (1 - {cdf_sql('abs(z_score)')}) AS p_value FROM (SELECT event_type, count(*) AS n, sum(y) AS hits, avg(y) AS share, (sum(y) - count(*) / 2) / sqrt(count(*) / 4) AS z_score FROM ev GROUP BY 1)")
 def _(t):
     return ev.binom_vs_half(scored_events(t), F.col("y") == 1, ["event_type"])
 

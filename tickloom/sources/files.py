@@ -65,13 +65,13 @@ SCHEMAS = {
 
 def read_schema(spark: SparkSession, path, schema: str, symbol: str, tz: str | None = None) -> DataFrame:
     """One vendor layout as (symbol, dt, OHLCV). With ``tz`` the wall-clock times that a DST
-    jump skips are dropped, and ``dt`` becomes UTC."""
+    jump skips or repeats are dropped, and ``dt`` becomes UTC."""
     raw = _raw_csv(spark, path)
     names = SCHEMAS[schema]
     raw = raw.select(*[F.col(f"`{c}`").alias(names[c]) for c in names if c in raw.columns], "_at")
     df = _with_dt(raw)
     if tz:
-        df = df.filter(~cal.nonexistent_local("dt", tz)).withColumn("dt", F.convert_timezone(F.lit(tz), F.lit("UTC"), F.col("dt")))
+        df = df.filter(~cal.nonexistent_local("dt", tz) & ~cal.ambiguous_local("dt", tz)).withColumn("dt", F.convert_timezone(F.lit(tz), F.lit("UTC"), F.col("dt")))
     vals = [F.expr(f"try_cast(`{c}` AS double)").alias(c) for c in ("open", "high", "low", "close", "volume")]
     out = df.filter(F.col("dt").isNotNull()).select(F.lit(symbol).alias("symbol"), "dt", *vals, "_at")
     return dedup_keep_last(out, ["symbol", "dt"], ["_at"]).drop("_at")
