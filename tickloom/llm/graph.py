@@ -41,3 +41,14 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             break
         before = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def merged(known: DataFrame, more: DataFrame) -> DataFrame:
+    """Components after some more links (a, b): only the components that the links touch are worked on."""
+    if not more.take(1):
+        return known
+    name = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    links = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    moved = staged(components(links, "a", "b"), "moved")
+    old = known.join(moved.select(F.col("node").alias("component"), F.col("component").alias("c")), "component", "left").select("node", F.coalesce("c", "component").alias("component"))
+    return staged(old.unionByName(moved).groupBy("node").agg(F.min("component").alias("component")), "components")

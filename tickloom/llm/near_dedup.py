@@ -11,9 +11,10 @@ linked when the Jaccard similarity of their sets is at least ``SIMILARITY``.
    map batch. The reducers link those in turn, streaming over sorted rows. Nothing is quadratic here.
 3. Links with equal fingerprints hold. The others are screened by the population count of the XOR of
    the two sketches and confirmed on the full sets, read again from the text. Components are formed.
-4. Exact rest: keys whose members still lie in several components are compared member by member across
-   components, in blocks of bounded size, by sketch; survivors not yet seen are confirmed as well.
-   Members of one component need no further comparison, which is what keeps large groups cheap.
+4. Exact rest: in keys whose members still lie in several components, every document outside of the largest asks
+   each larger component: single documents if the sketches allow it, others in parts of bounded size. What leaves
+   is not pairs but (document, part of a component); each is answered on the full sets. Members of one component
+   need no further comparison, which is what keeps large groups cheap.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tickloom.llm.graph import components
+from tickloom.llm.graph import components, merged
 from tickloom.llm.staging import staged
 from tickloom.llm.words import LOWER, Texts, mix, prefix_hashes, slices, span_hashes
 
@@ -33,8 +34,8 @@ SIMILARITY = (75, 100)
 #: A pair at 0.75 shares no band with probability (1 - 0.75^6)^80 = 1.5e-7.
 ROWS, BANDS = 6, 80
 SKETCH_BITS = 1024
-#: Rows of one block in the comparison of step 4, and members of a centre in one confirming group.
-BLOCK = 2048
+#: Rows of one block in the comparison of step 4, pairs of one confirming group, documents of a component's part.
+BLOCK, GROUP, PART = 2048, 1024, 256
 #: Up to this many ids a semi join is broadcast (two longs each); beyond, it shuffles.
 BROADCAST_IDS = 200_000
 
@@ -90,13 +91,16 @@ def odd_sketch(sample: np.ndarray) -> np.ndarray:
 
 
 def furthest(n: np.ndarray) -> np.ndarray:
-    """Largest XOR population count at which sets of ``n`` shingles may still reach the similarity:
-    the expected count at 0.75 less five deviations of the sample. Small sets are never screened."""
+    """Largest XOR population count at which sets of ``n`` shingles may still reach the similarity: the expected
+    count at 0.75 and five standard deviations, of the MinHash sample and of the parity bits together. Small sets
+    are never screened."""
     n = np.maximum(np.asarray(n, float), 1)
-    s = SIMILARITY[0] / SIMILARITY[1]
-    low = s - 5 * np.sqrt(s * (1 - s) / np.minimum(n, _SLOTS))
-    count = SKETCH_BITS / 2 * (1 - np.exp(-4 * _SLOTS * (1 - np.maximum(low, 0)) / SKETCH_BITS)) + 5 * np.sqrt(SKETCH_BITS) / 2
-    return np.where(low < 0.3, SKETCH_BITS, count)
+    s, m, k = SIMILARITY[0] / SIMILARITY[1], SKETCH_BITS, _SLOTS
+    differ = 2 * k * (1 - s)
+    count = m / 2 * (1 - np.exp(-2 * differ / m))
+    per_similarity = 2 * k * np.exp(-2 * differ / m)
+    deviation = np.sqrt(s * (1 - s) / np.minimum(n, k) * per_similarity**2 + m / 4 * (1 - np.exp(-4 * differ / m)))
+    return np.where(n < 40, m, count + 5 * deviation)
 
 
 def _pa(schema: str) -> pa.Schema:
@@ -173,33 +177,39 @@ def only(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def _confirm(left, right):
-    """One centre (``right``) and some of its members: those linked on the full sets."""
+    """Some centres (``right``) and members of theirs (``left``): the pairs linked on the full sets."""
     out = {"a": [], "b": []}
     if right.num_rows and left.num_rows:
         num, den = SIMILARITY
-        centres = list(shingle_sets(right.column("whole").combine_chunks()))
-        for b, s in zip(left.column("b").to_pylist(), shingle_sets(left.column("text").combine_chunks())):
-            for c in centres:
+        centres: dict[int, list[np.ndarray]] = {}
+        for a, s in zip(right.column("centre").to_pylist(), shingle_sets(right.column("whole").combine_chunks())):
+            centres.setdefault(a, []).append(s)
+        for a, b, s in zip(left.column("a").to_pylist(), left.column("b").to_pylist(), shingle_sets(left.column("text").combine_chunks())):
+            for c in centres.get(a, ()):
+                if den * min(len(s), len(c)) < num * max(len(s), len(c)):
+                    continue
                 both = len(np.intersect1d(s, c, assume_unique=True))
                 if both and den * both >= num * (len(s) + len(c) - both):
-                    out["a"].append(left.column("a")[0].as_py())
+                    out["a"].append(a)
                     out["b"].append(b)
                     break
     return pa.table(out, schema=_pa("a long, b long"))
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the similarity. A centre with many members is dealt to
-    several groups: members by hash, the centre's text to each of them."""
+    """Pairs (a, b) whose full sets reach the similarity. About GROUP pairs share a confirming group; a centre with
+    many members is dealt to several: members by hash, the centre's text to each of them."""
     pairs = staged(pairs, "pairs")
-    hot = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    pairs = pairs.join(hot, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    groups = max(1, -(-pairs.count() // GROUP))
+    hot = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
+    group = F.pmod(F.xxhash64("a", "part"), F.lit(groups)).cast("int")
+    dealt = pairs.join(hot, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).select("a", "b", group.alias("g"))
     ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    texts = only(docs, ids, "doc_id")
-    members = pairs.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "part", "b", "text")
-    centres = hot.join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "text")
-    centres = centres.toDF("centre", "slot", "whole")
-    return members.groupBy("a", "part").cogroup(centres.groupBy("centre", "slot")).applyInArrow(_confirm, "a long, b long").distinct()
+    texts = staged(only(docs, ids, "doc_id"), "texts")
+    members = dealt.join(texts.withColumnRenamed("doc_id", "b"), "b").select("g", "a", "b", "text")
+    centres = hot.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("a", group.alias("g")).distinct()
+    centres = centres.join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "g", "text").toDF("centre", "slot", "whole")
+    return members.groupBy("g").cogroup(centres.groupBy("slot")).applyInArrow(_confirm, "a long, b long").distinct()
 
 
 def _screened(sa: np.ndarray, sb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -218,31 +228,93 @@ def _screen(batches):
             yield b.select(["a", "b"]).filter(pa.array(_screened(_sketches(b.column("sa")), _sketches(b.column("sb")), *n)))
 
 
+_ASKS = "doc_id long, comp long, size long"
+
+
 def _across(t: pa.Table) -> pa.Table:
-    """Pairs of one key across components, for one block of left members and one of right members."""
+    """Some keys, each one block of asking documents and one of components (``doc_id`` null): which of them must be
+    compared. The document of the smaller component asks; a component of one document is screened by its sketch."""
     get = lambda c: t.column(c).to_numpy()
-    doc, comp, n, sketch, side = get("doc_id"), get("comp"), get("n_shingles"), _sketches(t.column("sketch")), get("side")
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    a, b = [], []
-    for i in left:
-        js = right[comp[right] > comp[i]] if side[i] == 2 else right[comp[right] != comp[i]]
-        js = js[_screened(sketch[i], sketch[js], np.full(len(js), n[i]), n[js])]
-        a.append(np.minimum(doc[i], doc[js]))
-        b.append(np.maximum(doc[i], doc[js]))
-    flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return pa.table({"a": flat(a), "b": flat(b)}, schema=_pa("a long, b long"))
-
-
-def _rest(members: DataFrame) -> DataFrame:
-    """Candidate pairs across components from ``(key, doc_id, comp, n_shingles, sketch)`` rows. Keys of one
-    component end here. A key beyond BLOCK members is cut into blocks, each pair of blocks a group of its own."""
-    mixed = members.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1")
-    rows = members.join(mixed.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    # Block x meets block y for x <= y: the row goes to all y >= own as left and all x <= own as right.
-    rows = rows.withColumn("to", F.explode(F.expr("transform(sequence(0, blocks - 1), k -> struct(least(k, own) AS x, greatest(k, own) AS y))")))
-    rows = rows.withColumn("side", F.expr("CASE WHEN to.x = to.y THEN 2 WHEN own = to.x THEN 0 ELSE 1 END")).select("key", "to.x", "to.y", "side", "doc_id", "comp", "n_shingles", "sketch")
-    return rows.groupBy("key", "x", "y").applyInArrow(_across, "a long, b long").distinct()
+    key, x, y = get("key"), get("x"), get("y")
+    o = np.lexsort((y, x, key))
+    new = np.append(True, (key[o][1:] != key[o][:-1]) | (x[o][1:] != x[o][:-1]) | (y[o][1:] != y[o][:-1]))
+    asks_itself = t.column("doc_id").is_valid().to_numpy()[o]
+    doc = t.column("doc_id").fill_null(0).to_numpy()[o]
+    n = t.column("n_shingles").fill_null(0).to_numpy()[o]
+    sketch = _sketches(t.column("sketch").fill_null(bytes(SKETCH_BITS // 8)))[o]
+    comp, size = get("comp")[o], get("size")[o]
+    asks = []
+    bounds = np.append(np.flatnonzero(new), len(o))
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        rows = np.arange(lo, hi)
+        targets = rows[~asks_itself[lo:hi]]
+        for i in rows[asks_itself[lo:hi]]:
+            to = targets[(size[targets] > size[i]) | ((size[targets] == size[i]) & (comp[targets] > comp[i]))]
+            near = size[to] > 1
+            near[~near] = _screened(sketch[i], sketch[to[~near]], np.full((~near).sum(), n[i]), n[to[~near]])
+            to = to[near]
+            asks.append(np.stack([np.full(len(to), doc[i]), comp[to], size[to]]))
+    found = np.concatenate(asks, 1) if asks else np.zeros((3, 0), np.int64)
+    found = found[:, np.lexsort(found)]
+    found = found[:, np.append(True, (found[:, 1:] != found[:, :-1]).any(0))] if found.shape[1] else found
+    return pa.table(list(found), schema=_pa(_ASKS))
+
+
+def _rest(members: DataFrame, shape: DataFrame, groups: int) -> DataFrame:
+    """``(doc_id, comp, part)`` to compare, from ``(key, doc_id, comp, size)`` rows; ``shape``: doc_id, n_shingles, sketch.
+    A key's components take one row each, and its documents outside of its largest component ask. Keys of one
+    component, and of two documents (which have met), end here. A key beyond BLOCK components is cut into blocks,
+    each pair of blocks on its own; small keys share one of ``groups`` groups."""
+    per = members.groupBy("key", "comp").agg(F.max("size").alias("size"), F.count("*").alias("docs"))
+    keys = per.groupBy("key").agg(F.count("*").alias("comps"), F.sum("docs").alias("docs"), F.max(F.struct("size", "comp")).alias("top")).where("comps > 1 AND docs > 2")
+    keys = keys.select("key", F.ceil(F.col("comps") / BLOCK).cast("int").alias("blocks"), F.col("top.comp").alias("top"))
+    askers = members.join(keys.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("comp") != F.col("top")))
+    askers = askers.select("key", "blocks", "doc_id", "comp", "size", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("x"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("y"))
+    targets = per.join(keys, "key").select("key", "blocks", F.lit(None).cast("long").alias("doc_id"), "comp", "size", F.explode(F.expr("sequence(0, blocks - 1)")).alias("x"), F.pmod(F.xxhash64("comp"), F.col("blocks")).cast("int").alias("y"))
+    rows = askers.unionByName(targets).withColumn("id", F.when(F.col("doc_id").isNotNull() | (F.col("size") == 1), F.coalesce("doc_id", "comp")))
+    rows = rows.join(shape.withColumnRenamed("doc_id", "id"), "id", "left").drop("id", "blocks")
+    asks = rows.groupBy(F.pmod(F.xxhash64("key", "x", "y"), F.lit(groups)).alias("g")).applyInArrow(_across, _ASKS).distinct()
+    return asks.select("doc_id", "comp", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / PART).cast("int") - 1)).alias("part"))
+
+
+def _answer(left, right):
+    """Documents that ask (``left``) and parts of components (``right``) of one group: links found, one for each ask."""
+    out = {"a": [], "b": []}
+    if left.num_rows and right.num_rows:
+        num, den = SIMILARITY
+        parts: dict[tuple, list] = {}
+        rows = zip(*(right.column(c).to_pylist() for c in ("to", "to_part", "member")), _sketches(right.column("to_sketch")), shingle_sets(right.column("whole").combine_chunks()))
+        for comp, part, *member in rows:
+            parts.setdefault((comp, part), []).append(member)
+        own: dict[int, np.ndarray] = {}
+        asks = zip(*(left.column(c).to_pylist() for c in ("doc_id", "comp", "part")), _sketches(left.column("sketch")), shingle_sets(left.column("text").combine_chunks()))
+        for doc, comp, part, sketch, s in asks:
+            members = parts.get((comp, part), [])
+            near = _screened(sketch, np.array([m[1] for m in members]), np.full(len(members), len(s)), np.array([len(m[2]) for m in members])) if members else []
+            for k in np.flatnonzero(near):
+                other = members[k][2]
+                both = len(np.intersect1d(s, other, assume_unique=True))
+                if both and den * both >= num * (len(s) + len(other) - both):
+                    out["a"].append(doc)
+                    out["b"].append(members[k][0])
+                    break
+    return pa.table(out, schema=_pa("a long, b long"))
+
+
+def _answered(docs: DataFrame, asks: DataFrame, members: DataFrame) -> DataFrame:
+    """Links between asking documents and parts of components, on the full sets; ``members``: doc_id, comp, part, sketch.
+    Every text goes to each group that needs it once."""
+    asks = staged(asks, "asks")
+    wanted = asks.select("comp", "part").distinct()
+    groups = max(1, -(-asks.count() // GROUP))
+    group = lambda c, p: F.pmod(F.xxhash64(c, p), F.lit(groups)).cast("int").alias("g")
+    targets = members.join(wanted, ["comp", "part"])
+    ids = staged(asks.select("doc_id").unionByName(targets.select("doc_id")).distinct(), "ids")
+    texts = staged(only(docs, ids, "doc_id"), "texts")
+    sketches = members.select("doc_id", "sketch")
+    left = asks.join(sketches, "doc_id").join(texts, "doc_id").select(group("comp", "part"), "doc_id", "comp", "part", "sketch", "text")
+    right = targets.join(texts.toDF("member", "whole"), F.col("doc_id") == F.col("member")).select(group("comp", "part").alias("slot"), F.col("comp").alias("to"), F.col("part").alias("to_part"), "member", F.col("sketch").alias("to_sketch"), "whole")
+    return left.groupBy("g").cogroup(right.groupBy("slot")).applyInArrow(_answer, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -269,13 +341,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = staged(same.unionByName(_confirmed(docs, tried)), "links")
     comps = components(links, "a", "b")
 
-    members = met.select("key", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    members = members.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
-    shape = about.dropDuplicates(["doc_id", "f1", "f2", "n_shingles"]).select("doc_id", "n_shingles", "sketch")
-    rest = _rest(members.select("key", "doc_id", "comp").join(shape, "doc_id"))
-    rest = staged(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    more = staged(_confirmed(docs, rest), "links")
-    comps = components(links.unionByName(more), "a", "b") if more.take(1) else comps
+    # Documents of the candidates with their component, its size, and the part of it that they are in.
+    met_docs = met.select("key", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    size = comps.groupBy("component").agg(F.count("*").alias("size"))
+    place = met_docs.select("doc_id").distinct().join(comps.join(size, "component").withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    place = place.select("doc_id", F.coalesce("component", "doc_id").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"))
+    place = place.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / PART)).cast("int"))
+    place = staged(place.join(about.dropDuplicates(["doc_id", "f1", "f2", "n_shingles"]).select("doc_id", "n_shingles", "sketch"), "doc_id"), "place")
+    asks = _rest(met_docs.join(place.select("doc_id", "comp", "size"), "doc_id"), place.select("doc_id", "n_shingles", "sketch"), max(1, met.count() // BLOCK))
+    asks = asks.join(tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b"))).toDF("doc_id", "comp"), ["doc_id", "comp"], "left_anti")
+    more = staged(_answered(docs, asks, place.select("doc_id", "comp", "part", "sketch")), "links")
+    comps = merged(comps, more)
     out = signed.select("doc_id", "n_shingles").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
