@@ -20,7 +20,7 @@ from tickloom.llm.staging import staged
 UNKNOWN = "und"
 BITS, BUCKETS = 15, 1 << 15
 #: Training documents at most (dealt evenly over the languages, by hash of the id), and languages at most.
-SAMPLE, LANGUAGES = 8_000, 128
+SAMPLE, LANGUAGES = 4_000, 128
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.3, 1.0, 0.3, 0.01
 CALIBRATE = 5  # every fifth row of the sample sets the temperature
 
