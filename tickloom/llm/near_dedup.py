@@ -267,13 +267,15 @@ def _rest(members: DataFrame, shape: DataFrame, groups: int) -> DataFrame:
     each pair of blocks on its own; small keys share one of ``groups`` groups."""
     per = members.groupBy("key", "comp").agg(F.max("size").alias("size"), F.count("*").alias("docs"))
     keys = per.groupBy("key").agg(F.count("*").alias("comps"), F.sum("docs").alias("docs"), F.max(F.struct("size", "comp")).alias("top")).where("comps > 1 AND docs > 2")
-    keys = keys.select("key", F.ceil(F.col("comps") / BLOCK).cast("int").alias("blocks"), F.col("top.comp").alias("top"))
+    keys = keys.select("key", F.ceil(F.col("comps") / BLOCK).cast("int").alias("blocks"), F.col("top.comp").alias("top"), F.ceil(F.col("top.size") / BLOCK).alias("deals"))
+    keys = keys.withColumn("lane", F.xxhash64("top", F.pmod(F.xxhash64("key"), F.col("deals")))).drop("deals")
     askers = members.join(keys.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("comp") != F.col("top")))
-    askers = askers.select("key", "blocks", "doc_id", "comp", "size", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("x"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("y"))
-    targets = per.join(keys, "key").select("key", "blocks", F.lit(None).cast("long").alias("doc_id"), "comp", "size", F.explode(F.expr("sequence(0, blocks - 1)")).alias("x"), F.pmod(F.xxhash64("comp"), F.col("blocks")).cast("int").alias("y"))
+    askers = askers.select("key", "blocks", "lane", "doc_id", "comp", "size", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("x"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("y"))
+    targets = per.join(keys, "key").select("key", "blocks", "lane", F.lit(None).cast("long").alias("doc_id"), "comp", "size", F.explode(F.expr("sequence(0, blocks - 1)")).alias("x"), F.pmod(F.xxhash64("comp"), F.col("blocks")).cast("int").alias("y"))
     rows = askers.unionByName(targets).withColumn("id", F.when(F.col("doc_id").isNotNull() | (F.col("size") == 1), F.coalesce("doc_id", "comp")))
     rows = rows.join(shape.withColumnRenamed("doc_id", "id"), "id", "left").drop("id", "blocks")
-    asks = rows.groupBy(F.pmod(F.xxhash64("key", "x", "y"), F.lit(groups)).alias("g")).applyInArrow(_across, _ASKS).distinct()
+    # Keys with the same largest component share a lane (several if it is large): most of their asks are the same.
+    asks = rows.groupBy(F.pmod(F.xxhash64("lane", "x", "y"), F.lit(groups)).alias("g")).applyInArrow(_across, _ASKS).distinct()
     return asks.select("doc_id", "comp", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / PART).cast("int") - 1)).alias("part"))
 
 
