@@ -15,13 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tickloom.llm.staging import staged
 from tickloom.llm.words import Texts, mix, prefix_hashes, slices, span_hashes
 
 #: Labelled rows that training takes at most (by hash of the id), and features that it may use.
 SAMPLE, FEATURES = 20_000, 8192
 LEAST_DOCS = 4
 THRESHOLD = 0.7
-L2, COUNTERFACTUAL = 2e-4, 1.0
+L2, COUNTERFACTUAL = 2e-5, 1.0
 
 #: Pairs of identity terms that stand in for each other, both ways.
 IDENTITY = (
@@ -115,36 +116,27 @@ class Classifier:
         return out
 
 
-def fit(labels: np.ndarray, own: list[np.ndarray], twin: list[np.ndarray | None], counterfactual: float = COUNTERFACTUAL, l2: float = L2, steps: int = 300) -> Classifier:
-    """Adam on the mean log loss + l2 |w|^2 + counterfactual * mean squared log-odds gap between twins."""
-    y = np.asarray(labels, float)
+def fit(labels: np.ndarray, own: list[np.ndarray], twin: list[np.ndarray | None], vocabulary: np.ndarray, counterfactual: float = COUNTERFACTUAL, l2: float = L2, steps: int = 300) -> Classifier:
+    """Adam on the mean log loss + l2 |w|^2 + counterfactual * mean squared log-odds gap between twins. ``own`` and
+    ``twin`` hold places in the sorted ``vocabulary``. Both classes weigh the same in the loss, so the threshold
+    does not depend on how rare toxic texts are."""
+    y, m = np.asarray(labels, float), len(vocabulary)
     if not len(y):
         return Classifier(np.zeros(0, np.uint64), np.zeros(0), -30.0)
-    every = np.concatenate(own)
-    h, which = np.unique(every, return_inverse=True)
-    doc = np.repeat(np.arange(len(own)), [len(x) for x in own])
-    pos, n = np.bincount(which, y[doc], minlength=len(h)), np.bincount(which, minlength=len(h))
-    # Features whose share of toxic documents stands furthest from the overall share, in standard deviations.
-    p = min(max(y.mean(), 1e-3), 1 - 1e-3)
-    z = np.where(n >= LEAST_DOCS, np.abs(pos - n * p) / np.sqrt(n * p * (1 - p) + 1e-9), 0)
-    chosen = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
-    chosen = chosen[z[chosen] > 2]
-    vocabulary, m = h[chosen], len(chosen)
 
     def rows(sets):
-        i = np.minimum(np.searchsorted(vocabulary, np.concatenate(sets)), max(m - 1, 0)) if m else np.zeros(sum(map(len, sets)), int)
-        hit = vocabulary[i] == np.concatenate(sets) if m else np.zeros(len(i), bool)
-        return np.repeat(np.arange(len(sets)), [len(x) for x in sets])[hit], i[hit]
+        return np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate([np.zeros(0, np.int64), *sets]).astype(np.int64)
 
     d, f = rows(own)
     paired = [k for k, t in enumerate(twin) if t is not None]
-    d1, f1 = rows([own[k] for k in paired]) if paired else (np.zeros(0, int),) * 2
-    d2, f2 = rows([twin[k] for k in paired]) if paired else (np.zeros(0, int),) * 2
-    w, b = np.zeros(m), float(np.log(p / (1 - p)))
+    (d1, f1), (d2, f2) = rows([own[k] for k in paired]), rows([twin[k] for k in paired])
+    p = min(max(y.mean(), 1e-3), 1 - 1e-3)
+    each = np.where(y == 1, 0.5 / p, 0.5 / (1 - p)) / len(y)
+    w, b = np.zeros(m), 0.0 if 0 < y.mean() < 1 else float(np.log(p / (1 - p)))
     m1, m2 = np.zeros(m + 1), np.zeros(m + 1)
     for t in range(1, steps + 1):
-        e = 1 / (1 + np.exp(-np.clip(b + np.bincount(d, w[f], minlength=len(y)), -30, 30))) - y
-        g = np.append(np.bincount(f, e[d], minlength=m) / len(y) + 2 * l2 * w, e.mean())
+        e = (1 / (1 + np.exp(-np.clip(b + np.bincount(d, w[f], minlength=len(y)), -30, 30))) - y) * each
+        g = np.append(np.bincount(f, e[d], minlength=m) + 2 * l2 * w, e.sum())
         if paired:
             gap = np.bincount(d1, w[f1], minlength=len(paired)) - np.bincount(d2, w[f2], minlength=len(paired))
             g[:-1] += 2 * counterfactual * (np.bincount(f1, gap[d1], minlength=m) - np.bincount(f2, gap[d2], minlength=m)) / len(paired)
@@ -154,22 +146,58 @@ def fit(labels: np.ndarray, own: list[np.ndarray], twin: list[np.ndarray | None]
     return Classifier(vocabulary, w, float(b))
 
 
+def _tally(batches):
+    """Documents and toxic documents of each feature in a batch."""
+    for b in batches:
+        sets = [np.frombuffer(x, np.int64) for x in b.column("own").to_pylist()]
+        y = b.column("toxic").to_numpy(zero_copy_only=False)
+        h, which, n = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]), return_inverse=True, return_counts=True)
+        toxic = np.bincount(which, np.repeat(y, [len(x) for x in sets]), minlength=len(h)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n), pa.array(toxic)], names=["h", "n", "toxic"])
+
+
+def _vocabulary(rows: DataFrame, share: float) -> np.ndarray:
+    """The features whose share of toxic documents stands furthest from the overall share, in standard deviations."""
+    seen = rows.select("toxic", "own").mapInArrow(_tally, "h long, n long, toxic long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    z = F.abs(F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)))
+    best = seen.where(F.col("n") >= LEAST_DOCS).withColumn("z", z).where("z > 2").orderBy(F.desc("z"), "h").limit(FEATURES).select("h").collect()
+    return np.sort(np.array([r.h for r in best], np.int64).view(np.uint64))
+
+
+def _pick(vocabulary: np.ndarray):
+    """Feature sets as places in the vocabulary; what is not in it is dropped."""
+    def places(x):
+        if x is None or not len(vocabulary):
+            return None if x is None else b""
+        h = np.frombuffer(x, np.uint64)
+        i = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+        return i[vocabulary[i] == h].astype("<i4").tobytes()
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), *(pa.array([places(x) for x in b.column(c).to_pylist()], pa.binary()) for c in ("own", "twin"))], names=["toxic", "own", "twin"])
+
+    return run
+
+
 def held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
 
 
 def train(docs: DataFrame, labels: DataFrame, identity=IDENTITY, sample: int = SAMPLE, counterfactual: float = COUNTERFACTUAL) -> Classifier:
     """A document is toxic if any of its labels is 1; null ids and labels are ignored. Of more than ``sample``
-    labelled documents those with the smallest hashes are taken; their ids are what is broadcast."""
+    labelled documents those with the smallest hashes are taken; their ids are what is broadcast. Features are
+    counted and chosen by Spark; the driver gets at most ``sample`` rows of their places in the vocabulary."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max(F.expr("CAST(toxic = 1 AS INT)")).alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic").mapInArrow(_feature_rows(identity), "toxic int, own binary, twin binary")
-    own, twin, y = [], [], []
-    for r in rows.toLocalIterator(prefetchPartitions=True):
-        y.append(r.toxic)
-        own.append(np.frombuffer(r.own, np.uint64))
-        twin.append(None if r.twin is None else np.frombuffer(r.twin, np.uint64))
-    return fit(np.array(y), own, twin, counterfactual)
+    rows = staged(rows, "toxic-sample")
+    size = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
+    share = min(max((size.toxic or 0) / max(size.n, 1), 1e-3), 1 - 1e-3)
+    vocabulary = _vocabulary(rows, share)
+    picked = rows.mapInArrow(_pick(vocabulary), "toxic int, own binary, twin binary").collect()
+    places = lambda x: None if x is None else np.frombuffer(x, "<i4")
+    return fit(np.array([r.toxic for r in picked]), [places(r.own) for r in picked], [places(r.twin) for r in picked], vocabulary, counterfactual)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
