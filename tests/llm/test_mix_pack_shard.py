@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tickloom.llm import mixing, near_dedup, packing, queries, secrets, sharding, topk, toxicity
 
-from test_dedup import brute_components
+from llm.test_dedup import brute_components
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
