@@ -1,5 +1,5 @@
 """Intraday window queries. SQL uses plain windows over the whole series; the plans cut the
-same series into blocks (of ``B`` rows here, so several blocks exist at small scale)."""
+same series into blocks of ``B`` rows; tests cut them smaller, so that several blocks exist there."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from tickloom.plans.adapters import BAR, DAY, with_
 from tickloom.plans.catalog import query
 from tickloom.plans.sqlkit import ema_sql, rsi_sql
 
-B = 500
+B = 65536
 W_DAY = "w AS (PARTITION BY symbol, trading_day ORDER BY dt ROWS UNBOUNDED PRECEDING)"
 DAYP = "d AS (PARTITION BY symbol, trading_day)"
 O4 = "((open + high + low + close) / 4)"
