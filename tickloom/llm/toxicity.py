@@ -65,6 +65,13 @@ def features(part: Texts):
     return (np.concatenate(x) for x in zip(*out))
 
 
+def small(batches, rows: int = 512):
+    """Batches cut to so many rows, as feature sets are larger than their texts."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def _swapper(pairs):
     other = {a: b for p in pairs for a, b in (p, p[::-1])}
     pattern = re.compile(r"\b(" + "|".join(sorted(map(re.escape, other), key=len, reverse=True)) + r")\b", re.I) if other else None
@@ -85,7 +92,7 @@ def _feature_rows(identity):
                 yield h[i:j].tobytes()
 
     def rows(batches):
-        for b in batches:
+        for b in small(batches):
             texts = b.column("text").to_pylist()
             twins = [swap(t or "") for t in texts]
             changed = [i for i, (t, u) in enumerate(zip(texts, twins)) if t and t != u]
@@ -148,7 +155,7 @@ def fit(labels: np.ndarray, own: list[np.ndarray], twin: list[np.ndarray | None]
 
 def _tally(batches):
     """Documents and toxic documents of each feature in a batch."""
-    for b in batches:
+    for b in small(batches):
         sets = [np.frombuffer(x, np.int64) for x in b.column("own").to_pylist()]
         y = b.column("toxic").to_numpy(zero_copy_only=False)
         h, which, n = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]), return_inverse=True, return_counts=True)
