@@ -75,6 +75,17 @@ def test_small_blocks_give_the_same(make_docs, families, monkeypatch):
     assert near(make_docs(families)) == brute_components(families)
 
 
+def test_failed_try_against_the_smallest_member_leaves_the_others(make_docs):
+    """y links x to its group, but every key of y and x holds a smaller copy of y, none of them similar enough to x."""
+    line = [f"w{i}" for i in range(118)]
+    y, x = line[:104], line[14:]
+    copies = [y[:i] + [f"c{n}"] + y[i + 1:] for n, i in enumerate(random.Random(4).choices(range(22, 96), k=300))]
+    rows = [(n, " ".join(w)) for n, w in enumerate([*copies, y, x])]
+    want = brute_components(rows)
+    assert {c for _, _, c in want} == {0} and not any(4 * len(shingles(t) & shingles(rows[-1][1])) >= 3 * len(shingles(t) | shingles(rows[-1][1])) for _, t in rows[:-2])
+    assert near(make_docs(rows, parts=1)) == want
+
+
 def test_empty_table(make_docs):
     assert near(make_docs([])) == []
     assert repeats.remove_repeats(make_docs([])).collect() == []

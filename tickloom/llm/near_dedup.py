@@ -351,7 +351,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     place = place.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / PART)).cast("int"))
     place = staged(place.join(about.dropDuplicates(["doc_id", "f1", "f2", "n_shingles"]).select("doc_id", "n_shingles", "sketch"), "doc_id"), "place")
     asks = _rest(met_docs.join(place.select("doc_id", "comp", "size"), "doc_id"), place.select("doc_id", "n_shingles", "sketch"), max(1, met.count() // BLOCK))
-    asks = asks.join(tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b"))).toDF("doc_id", "comp"), ["doc_id", "comp"], "left_anti")
+    # A failed try settles an ask only if the component is that one document; the others of a larger one are still open.
+    alone = place.where("size = 1").select("doc_id")
+    failed = tried.join(alone.toDF("a"), "a", "left_semi").join(alone.toDF("b"), "b", "left_semi")
+    asks = asks.join(failed.select("a", "b").unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b"))).toDF("doc_id", "comp"), ["doc_id", "comp"], "left_anti")
     more = staged(_answered(docs, asks, place.select("doc_id", "comp", "part", "sketch")), "links")
     comps = merged(comps, more)
     out = signed.select("doc_id", "n_shingles").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
