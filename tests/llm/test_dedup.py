@@ -75,6 +75,24 @@ def test_small_blocks_give_the_same(make_docs, families, monkeypatch):
     assert near(make_docs(families)) == brute_components(families)
 
 
+@pytest.mark.parametrize("both, union", [(3, 4), (6, 8), (9, 12), (15, 20), (60, 80)])
+def test_short_pairs_at_the_threshold_share_a_band(both, union):
+    rng = np.random.default_rng(both)
+    for _ in range(2000):
+        s = near_dedup.mix(rng.integers(0, 2**63, union, dtype=np.uint64))
+        a, b = (near_dedup.band_keys(near_dedup.minhash(np.sort(x))) for x in (s, s[:both]))
+        assert (a == b).any()
+
+
+def test_short_texts_with_another_last_word_are_linked(make_docs):
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(11)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:-1], "other"]))]
+    assert near(make_docs(rows)) == sorted(((i, 7, i - i % 2) for i, _ in rows), key=str)
+
+
 def test_failed_try_against_the_smallest_member_leaves_the_others(make_docs):
     """y links x to its group, but every key of y and x holds a smaller copy of y, none of them similar enough to x."""
     line = [f"w{i}" for i in range(118)]

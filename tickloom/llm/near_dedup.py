@@ -3,8 +3,8 @@
 A document's set has its distinct 5-word shingles of ASCII-lower-cased words; two documents are
 linked when the Jaccard similarity of their sets is at least ``SIMILARITY``.
 
-1. One pass computes per document a 64-bit hash of every shingle, a one-permutation MinHash of
-   ``BANDS * ROWS`` values, the band keys, an odd sketch (every MinHash value flips one of
+1. One pass computes per document a 64-bit hash of every shingle, a MinHash of ``BANDS * ROWS``
+   independent hash functions, the band keys, an odd sketch (every MinHash value flips one of
    ``SKETCH_BITS`` bits) and a 128-bit fingerprint of the whole set.
 2. Documents meet on band keys. Each map task first links the members of a key to their smallest
    member and sends on that member alone, so a group with a third of all documents sends one row per
@@ -31,7 +31,7 @@ from tickloom.llm.words import LOWER, Texts, mix, prefix_hashes, slices, span_ha
 
 SHINGLE = 5
 SIMILARITY = (75, 100)
-#: A pair at 0.75 shares no band with probability (1 - 0.75^6)^80 = 1.5e-7.
+#: A pair at 0.75 shares no band with probability (1 - 0.75^6)^80 = 1.5e-7, whatever the size of its sets.
 ROWS, BANDS = 6, 80
 SKETCH_BITS = 1024
 #: Rows of one block in the comparison of step 4, pairs of one confirming group, documents of a component's part.
@@ -40,7 +40,7 @@ BLOCK, GROUP, PART = 2048, 1024, 256
 BROADCAST_IDS = 200_000
 
 _SLOTS = ROWS * BANDS
-_ORDER = np.random.Generator(np.random.PCG64(17)).permutation(_SLOTS)
+_FACTORS = np.random.Generator(np.random.PCG64(17)).integers(0, 2**63, _SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,20 +66,17 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
 
 
 def minhash(shingles: np.ndarray) -> np.ndarray:
-    """One-permutation MinHash: the smallest hash of each slot; an empty slot takes the next filled
-    slot's value, mixed with the distance. The sorted hashes are grouped by slot already."""
-    slot = ((shingles >> np.uint64(32)) * np.uint64(_SLOTS) >> np.uint64(32)).astype(np.int64)
-    first = np.flatnonzero(np.diff(slot, prepend=-1))
-    filled, value = slot[first], shingles[first]
-    take = np.searchsorted(filled, np.arange(_SLOTS))
-    take[take == len(filled)] = 0
-    distance = (filled[take] - np.arange(_SLOTS)) % _SLOTS
-    return mix(value[take] + distance.astype(np.uint64) * _ODD)
+    """The smallest value of each of ``_SLOTS`` hash functions: the shingle hashes, which are well mixed, times a
+    random odd number. Every value looks at the whole set, so those of short sets do not agree or differ together."""
+    out = np.full(_SLOTS, np.iinfo(np.uint64).max)
+    for i in range(0, len(shingles), 64):
+        np.minimum(out, (shingles[i: i + 64, None] * _FACTORS).min(0), out=out)
+    return out
 
 
 def band_keys(sample: np.ndarray) -> np.ndarray:
     key = np.arange(BANDS, dtype=np.uint64)
-    for column in sample[_ORDER].reshape(BANDS, ROWS).T:
+    for column in sample.reshape(BANDS, ROWS).T:
         key = mix(key * np.uint64(31) + column)
     return key.view(np.int64)
 
