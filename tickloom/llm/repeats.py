@@ -8,7 +8,7 @@ their ``CORE``-byte pieces (the core). Equal strings have equal cores, so repeat
 2. Of a core with several different segments, one representative each (of its smallest doc_id) is cut out of its
    document and sent to the core's shard.
 3. A shard's segments are put in suffix order with common prefixes by external induced sorting
-   (``suffixes.suffix_order``), within memory for ordinary cores, through files for a core of any size. Runs of
+   (``suffixes.suffix_order``), within memory for ordinary cores, with the arrays of the order in files for a large core, whose text and names must still fit in memory. Runs of
    suffixes that share 50 bytes are the repeats; those above the smallest doc_id of a run are removed.
 4. Removed intervals meet per document and are cut out of the text.
 """
