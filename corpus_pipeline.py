@@ -7,7 +7,8 @@ stage's result to the shared folder and reads it again as the next one's documen
 2. near duplicates: one document of each group stays, the one with the smallest doc_id.
 3. secrets: every secret is replaced by a mark, all documents stay.
 4. mix: each document is repeated as often as the mix takes it (not at all included).
-5. pack: pieces of fixed windows, as in op7_pack.
+5. pack: pieces of fixed windows, as in op7_pack, with their token ids (``packing.sequences`` joins them to padded
+   windows).
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), with_ids=True)
 
 
 STAGES = [

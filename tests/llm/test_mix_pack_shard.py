@@ -186,6 +186,17 @@ def test_pipeline_stages(spark):
     assert firsts(corpus_pipeline.run(spark, SF).collect()) == firsts(pieces)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables absent")
+def test_pipeline_packs_token_ids(spark):
+    """The last stage's pieces carry the ids that their digests are of, and make whole windows."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    pieces = corpus_pipeline.pack(spark, docs, SF)
+    rows = pieces.collect()
+    assert rows and all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
+    windows = packing.sequences(pieces).collect()
+    assert sum(w.n_tokens for w in windows) == sum(r.length for r in rows)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables absent")
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_queries_match_sql(spark, name):
