@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 
@@ -80,6 +81,20 @@ def test_base_spans_and_markov_spans(make_docs):
     assert secrets.find_secrets(make_docs([])).collect() == [] and secrets.redact(make_docs([])).collect() == []
 
 
+def test_every_language_is_learned(make_docs):
+    rng = random.Random(6)
+    rows = []
+    for k in range(140):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)]
+        rows += [(len(rows) + j, " ".join(rng.choice(words) for _ in range(60)), f"l{k:03}") for j in range(12 if k < 130 else 8)]
+    model = language.train(make_docs(rows))
+    assert model.languages == tuple(sorted({r[2] for r in rows}))
+    rare = [r for r in rows if r[2] >= "l130"]
+    assert sum(model.predict(t)[0] == lang for _, t, lang in rare) >= 0.9 * len(rare)
+    few = language.train(make_docs(rows), sample=140)  # one row of each language
+    assert few.languages == model.languages
+
+
 def test_language_is_learned_from_training_rows_only(make_docs):
     rng = np.random.default_rng(1)
     vocabulary = {"en": ["the", "with", "ing", "tion", "of"], "de": ["der", "sch", "und", "keit", "ü"], "fr": ["le", "eau", "tion", "é", "qui"]}

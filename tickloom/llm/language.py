@@ -19,8 +19,8 @@ from tickloom.llm.staging import staged
 
 UNKNOWN = "und"
 BITS, BUCKETS = 15, 1 << 15
-#: Training documents at most (dealt evenly over the languages, by hash of the id), and languages at most.
-SAMPLE, LANGUAGES = 4_000, 128
+#: Training documents at most, dealt evenly over the languages by hash of the id; of each language one at least.
+SAMPLE = 4_000
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.3, 1.0, 0.3, 0.01
 CALIBRATE = 5  # every fifth row of the sample sets the temperature
 
@@ -141,29 +141,31 @@ def _statistics(limits: dict[str, int]):
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from ``text`` and ``lang`` of rows that are not held out. Of each language the rows with the smallest
-    hashes are sampled; beyond LANGUAGES the most frequent ones are learned. BUCKETS rows of document frequencies,
-    one count per language and the sample reach the driver."""
+    hashes are sampled, its first one with a letter always. All languages are learned. BUCKETS rows of document
+    frequencies, two numbers per language and the sample reach the driver; the weights take BUCKETS doubles for each."""
     known = docs.where(F.col("lang").isNotNull() & ~held_out()).select("text", F.col("lang").cast("string").alias("lang"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h"))
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    found = known.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.when(F.col("text").rlike(r"\p{L}"), F.col("h"))).alias("first")).collect()
+    sizes = {r.lang: r.n for r in found}
     if not sizes:
         return Model((), np.zeros(BUCKETS), np.zeros((BUCKETS, 0)), 1.0)
     each = max(sample // len(sizes), 1)
-    limits = {k: min(1 << 30, int((1 << 30) * each / n) + 1) for k, n in sizes.items()}
+    limits = {r.lang: max(min(1 << 30, int((1 << 30) * each / r.n) + 1), (r.first or 0) + 1) for r in found}
     rows = staged(known.mapInArrow(_statistics(limits), "bucket long, n long, lang string, h long, i binary, x binary"), "ngrams")
     df, documents = np.zeros(BUCKETS), sum(sizes.values())
     for r in rows.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         df[r.bucket] = r.n
     idf = np.log((1 + documents) / (1 + df)) + 1
-    taken = rows.where("lang IS NOT NULL").select("lang", "h", "i", "x").orderBy("h", "lang", "i").limit(2 * sample).collect()
+    taken = rows.where("lang IS NOT NULL").select("lang", "h", "i", "x").orderBy("h", "lang", "i").limit(2 * max(sample, len(sizes))).collect()
     languages = tuple(sorted({r.lang for r in taken}))
     draft = Model(languages, idf, np.zeros((BUCKETS, len(languages))), 1.0)
     data = []
     for r in taken:
         i = np.frombuffer(r.i, "<u2").astype(np.int64)
         data.append((i, draft.features(i, np.frombuffer(r.x, "<f4").astype(float)), languages.index(r.lang)))
-    fit = [d for k, d in enumerate(data) if k % CALIBRATE] or data
-    weights = ftrl(fit, len(languages))
-    checked = data[::CALIBRATE]
+    first = {d[2]: k for k, d in reversed(list(enumerate(data)))}  # a language's first row is always learned from
+    aside = {k for k, d in enumerate(data) if k % CALIBRATE == 0 and first[d[2]] != k}
+    weights = ftrl([d for k, d in enumerate(data) if k not in aside], len(languages))
+    checked = [data[k] for k in sorted(aside)]
     logits = np.array([x @ weights[i] for i, x, _ in checked]).reshape(-1, len(languages))
     return Model(languages, idf, weights, temperature(logits, np.array([k for _, _, k in checked], int)))
 
