@@ -1,7 +1,8 @@
 """Keyed state over streams: session levels, level side, recent ticks, acceptance budget.
 
 State per key is a few numbers (or the last minutes of ticks). Rows of one key in one micro-batch are
-sorted before they are folded, and the sources bound a micro-batch. Each stream has a watermark: rows later
+sorted before they are folded, so they must fit in one task: a source has to bound its micro-batches (``read_stream``
+with ``files_per_trigger``, over files that arrive in order of time). Each stream has a watermark: rows later
 than ``delay`` are dropped by Spark. Rows that come within it but belong to a trading day that the key has
 already left change nothing and are not emitted. A key that stays silent for ``KEEP`` of event time leaves.
 """
