@@ -14,7 +14,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tickloom.llm.staging import staged
-from tickloom.llm.words import slices
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -23,13 +22,8 @@ TOLERANCE, STEPS = 1e-9, 60
 
 
 def with_size(docs: DataFrame, name: str = "size") -> DataFrame:
-    """All columns and the number of words of ``text``; null has none."""
-    def run(batches):
-        for b in batches:
-            n = [np.diff(part.words()[2]) for _, part in slices(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(n) if n else np.zeros(0, np.int64), pa.int64())], names=[*b.schema.names, name])
-
-    return docs.mapInArrow(run, docs.limit(0).withColumn(name, F.lit(0).cast("long")).schema)
+    """All columns and the number of words of ``text``; null has none. A column of that name is replaced."""
+    return docs.withColumn(name, F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"))
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
@@ -79,8 +73,9 @@ def _copies(t: pa.Table) -> pa.Table:
     """Whole copies of one chunk: large documents first, each taking on the words its predecessors are off by."""
     most = MOST
     size, n, rate = (t.column(c).to_numpy() for c in ("size", "n", "rate"))
+    # Ties by id, nulls last; a chunk has one source, and its rows differ in (id, size).
     ids = t.column("doc_id")
-    o = np.lexsort((np.arange(len(size)) if ids.null_count else ids.to_numpy(), -size * n))
+    o = np.lexsort((-size, ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(), -size * n))
     out, carry = np.zeros(len(size), np.int64), 0.0
     for i in o:
         unit = int(size[i] * n[i])
