@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame, functions as F
 from tickloom.llm.near_dedup import only
 from tickloom.llm.staging import staged
 from tickloom.llm.suffixes import IN_MEMORY, suffix_order
-from tickloom.llm.words import prefix_hashes, slices, span_hashes
+from tickloom.llm.words import pieces, prefix_hashes, small_batches, span_hashes
 
 LENGTH, CORE = 50, 18
 #: Bytes of segments that are sorted together; whole cores, so one large core can exceed it.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
+#: Bytes of texts whose segments are held, sorted and written at a time.
+BATCH_BYTES = 2 << 20
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -41,8 +43,9 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def segments(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Per slice: index of its first row, and per segment its row in the slice, start and end in the text, core
-    and hash of the whole segment."""
-    for at, part in slices(texts):
+    and hash of the whole segment. A text of several slices is cut into pieces that share ``LENGTH`` - 1 bytes, which
+    may cut a segment in two of the same core: every string is still in one."""
+    for at, before, part in pieces(texts, LENGTH - 1):
         none = np.zeros(0, np.int64)
         if len(part.data) < LENGTH:
             yield at, none, none, none, none, none
@@ -56,7 +59,7 @@ def segments(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.
         first = np.flatnonzero(np.append(True, (core[1:] != core[:-1]) | (start[1:] != start[:-1] + 1) | (row[1:] != row[:-1]))) if len(start) else none
         last = np.append(first[1:], len(start)) - 1
         a, b, row = start[first], (start[last] + LENGTH if len(first) else none), row[first]
-        yield at, row, a - part.offsets[row], b - part.offsets[row], core[first].view(np.int64), span_hashes(run, a, b).view(np.int64)
+        yield at, row, a - part.offsets[row] + before, b - part.offsets[row] + before, core[first].view(np.int64), span_hashes(run, a, b).view(np.int64)
 
 
 _SEGMENTS = "core long, segment long, doc_id long, settled boolean"
@@ -76,7 +79,7 @@ def _batch(ddl: str, *arrays) -> pa.RecordBatch:
 def _cut(batches):
     """Distinct (core, segment, doc_id) rows of a batch. A segment that several of its documents have goes on for
     the smallest of them; for the others it is settled: repeated throughout."""
-    for b in batches:
+    for b in small_batches(batches, BATCH_BYTES):
         docs = b.column("doc_id").to_numpy(zero_copy_only=False)
         parts = [(core, seg, docs[at + row]) for at, row, _, _, core, seg in segments(b.column("text"))]
         if not parts:
@@ -143,7 +146,7 @@ def _merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _spans(batches):
     """Repeated intervals of a document (bytes null), and its representatives (with bytes)."""
-    for b in batches:
+    for b in small_batches(batches, BATCH_BYTES):
         docs, marks = b.column("doc_id"), b.column("text_hash")
         texts = b.column("text")
         gone, sent = ([np.asarray(x or [], np.int64) for x in b.column(c).to_pylist()] for c in ("gone", "sent"))

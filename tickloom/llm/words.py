@@ -11,8 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 # Word separators: space and the controls 9 to 13.
 SEPARATOR = np.zeros(256, bool)
@@ -36,13 +37,17 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of the base and its inverse, grown on demand and kept for the worker."""
+    """Powers of the base and its inverse, grown on demand and kept for the worker up to ``KEPT`` of them. A longer
+    text has its own, which go with it."""
 
+    KEPT = 2 * SLICE_BYTES
     up = powers(BASE, 1024)
     down = powers(INVERSE, 1024)
 
     @classmethod
     def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > cls.KEPT:
+            return powers(BASE, n), powers(INVERSE, n)
         if len(cls.up) < n:
             size = 1 << (n - 1).bit_length()
             cls.up, cls.down = powers(BASE, size), powers(INVERSE, size)
@@ -117,6 +122,30 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, Tex
         i = j
 
 
+def pieces(texts: pa.Array, overlap: int, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, Texts]]:
+    """(index of the first row, bytes of that row before the piece, ``Texts``): as ``slices``, but a text of more than
+    two limits comes in pieces of its own, each of which has ``overlap`` bytes of the next."""
+    for at, part in slices(texts, limit):
+        if len(part.offsets) > 2 or len(part.data) <= 2 * limit:
+            yield at, 0, part
+            continue
+        for i in range(0, len(part.data) - overlap, limit):
+            body = part.data[i: i + limit + overlap]
+            yield at, i, Texts(body, np.array([0, len(body)]))
+
+
+def small_batches(batches, limit: int, column: str = "text"):
+    """Batches cut so that ``column`` has about ``limit`` bytes in each (one row at least)."""
+    for b in batches:
+        texts = b.column(column)
+        n = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        i = 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(n, (n[i - 1] if i else 0) + limit, side="right")))
+            yield b.slice(i, j - i)
+            i = j
+
+
 def per_text(counts_at: np.ndarray, where: np.ndarray) -> np.ndarray:
     """Sums of ``counts_at`` over [where[i], where[i+1])."""
     run = np.zeros(len(counts_at) + 1, np.int64)
