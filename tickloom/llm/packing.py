@@ -40,13 +40,27 @@ def encoder(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@lru_cache(maxsize=2)
+def plain_encoder(path: str):
+    """The tokenizers library itself: slower, same ids, no limit on runs."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def tokenize(path: str, end: int = END):
     """A function from texts to one uint32 array each, ended by ``end``; null is empty."""
     enc = encoder(path)
     allowed = set(enc.special_tokens_set)
 
+    def encoded(text: str) -> np.ndarray:
+        try:
+            return enc.encode_to_numpy(text, allowed_special=allowed)
+        except ValueError:  # its pattern engine gives up on very long runs of white space
+            return np.array(plain_encoder(path).encode(text, add_special_tokens=False).ids, np.uint32)
+
     def ids(text: str | None) -> np.ndarray:
-        out = enc.encode_to_numpy(text, allowed_special=allowed) if text else np.zeros(0, np.uint32)
+        out = encoded(text) if text else np.zeros(0, np.uint32)
         return np.append(out, np.uint32(end)).astype("<u4")
 
     return ids
