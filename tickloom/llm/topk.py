@@ -126,14 +126,14 @@ def _packed(rows: DataFrame, per_block: int, name: str) -> tuple[DataFrame, int]
 
     def index(t: pa.Table) -> pa.Table:
         vectors = t.column("v").to_pylist()
-        width = max(map(len, vectors))
+        width = max(1, *map(len, vectors))
         x = np.zeros((len(vectors), width))
         for i, v in enumerate(vectors):
             x[i, : len(v)] = v
         ids = t.column("vec_id").to_numpy()
         o = np.argsort(ids, kind="stable")
         x, ids = x[o], ids[o]
-        return pa.table({"block": pa.array([t.column("block")[0].as_py()], pa.int64()), "blob": pa.array([pickle.dumps((x.astype(np.int32) if np.abs(x).max() < 2**31 else x, ids, CoverTree(x)))], pa.binary())})
+        return pa.table({"block": pa.array([t.column("block")[0].as_py()], pa.int64()), "blob": pa.array([pickle.dumps((x.astype(np.int32) if np.abs(x).max(initial=0) < 2**31 else x, ids, CoverTree(x)))], pa.binary())})
 
     return staged(rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "part_"), F.lit(blocks)).cast("long")).drop("part_").groupBy("block").applyInArrow(index, "block long, blob binary"), name), blocks
 
