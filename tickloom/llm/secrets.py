@@ -40,17 +40,23 @@ SCANNED = f"found {SPANS}, tokens array<struct<start:long,end:long,token:string>
 
 
 def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[str]]:
-    """(start, index of the kind, end) in order, and the strings that the spans hide."""
+    """(start, index of the kind, end) in order, and the strings that the spans hide; a string inside another, as a hex
+    key of an assignment, is hidden once."""
     spans, hidden = [], []
     for m in _ASSIGN.finditer(text):
         if len(m[2]) >= 8:
             spans.append((m.start(), 0, m.end()))
-            hidden.append(m[2])
+            hidden.append(m.span(2))
     for kind, pattern in ((1, _ACCESS), (2, _HEX)):
         for m in pattern.finditer(text):
             spans.append((m.start(), kind, m.end()))
-            hidden.append(m[0])
-    return sorted(spans), hidden
+            hidden.append(m.span())
+    strings, last = [], 0
+    for s, e in sorted(hidden, key=lambda x: (x[0], -x[1])):
+        if e > last:
+            strings.append(text[max(s, last): e])
+            last = e
+    return sorted(spans), strings
 
 
 def free_runs(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
@@ -63,10 +69,14 @@ def free_runs(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, i
     return out
 
 
-def transitions(data: np.ndarray) -> np.ndarray:
-    """Counts of neighbours within runs of the alphabet, as (N * N) numbers."""
+def transitions(data: np.ndarray, cuts: np.ndarray = ()) -> np.ndarray:
+    """Counts of neighbours within runs of the alphabet, as (N * N) numbers; bytes before and after a cut, where the
+    next text begins, are no neighbours."""
     c = _CODE[data]
     pair = c[:-1] * (N + 1) + c[1:]
+    if len(cuts):
+        pair = pair.copy()
+        pair[cuts[(cuts > 0) & (cuts < len(c))] - 1] = (N + 1) ** 2 - 1
     return np.bincount(pair, minlength=(N + 1) ** 2).reshape(N + 1, N + 1)[:N, :N].ravel() if len(pair) else np.zeros(N * N, np.int64)
 
 
@@ -116,7 +126,7 @@ def _scan(batches):
             continue
         every = np.zeros(N * N, np.int64)
         for _, part in slices(texts):
-            every += transitions(part.data)
+            every += transitions(part.data, part.offsets[1:-1])
         counts = [{"random": r, "pair": int(i), "n": int(c[i])} for r, c in ((True, random), (False, np.maximum(every - random, 0))) for i in np.flatnonzero(c)]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, _SPAN), pa.array(tokens, _TOKEN), pa.array([counts] + [None] * (len(found) - 1), _COUNT)], names=["doc_id", "found", "tokens", "counts"])
 
