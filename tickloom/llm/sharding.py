@@ -48,7 +48,7 @@ def buckets(docs: DataFrame, bucket_bytes: int, seed: int) -> tuple[DataFrame, i
 
     placed = docs.mapInArrow(place, docs.limit(0).withColumn("place_", F.lit(0).cast("long")).schema)
     key = F.xxhash64(F.lit(seed), "doc_id", "place_")
-    return placed.withColumn("size_", size).withColumn("bucket_", F.pmod(key, F.lit(count)).cast("long")).drop("place_"), count
+    return placed.withColumn("size_", size).withColumn("bucket_", F.pmod(key, F.lit(count)).cast("long")), count
 
 
 def shuffled(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED) -> tuple[DataFrame, int]:
@@ -58,9 +58,11 @@ def shuffled(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED
 
     def shuffle(t: pa.Table) -> pa.Table:
         bucket = t.column("bucket_")[0].as_py()
+        # Rows come in the order in which blocks were fetched; the seed decides only once that is undone.
+        t = t.sort_by("place_").drop_columns(["place_"])
         return t.take(pa.array(fisher_yates(t.num_rows, zlib.crc32(f"{seed}:{bucket}".encode())))).append_column("at_", pa.array(np.arange(t.num_rows)))
 
-    schema = scattered.limit(0).withColumn("at_", F.lit(0).cast("long")).schema
+    schema = scattered.limit(0).drop("place_").withColumn("at_", F.lit(0).cast("long")).schema
     return staged(scattered.groupBy("bucket_").applyInArrow(shuffle, schema), "shards"), count
 
 
