@@ -197,3 +197,23 @@ def test_repeats_join_when_ids_are_many(make_docs, monkeypatch):
     monkeypatch.setattr(repeats, "SHARD_BYTES", 200)
     rows = repeat_cases()
     assert sorted(map(tuple, repeats.remove_repeats(make_docs(rows)).collect()), key=str) == brute_repeats(rows)
+
+
+def test_segments_of_long_texts_cover_every_string():
+    """A text of several slices comes in pieces that overlap: each string of 50 bytes lies in one segment at least,
+    and its core is that of the whole text."""
+    import pyarrow as pa
+
+    from tickloom.llm import words
+
+    text = "".join(random.Random(3).choice("abcd ") for _ in range(3000))
+    whole = [(s, e, c) for _, _, a, b, core, _ in repeats.segments(pa.array([text])) for s, e, c in zip(a, b, core)]
+    pieces, small = words.pieces, lambda t, overlap: words.pieces(t, overlap, 256)
+    try:
+        repeats.pieces = small
+        cut = [(s, e, c) for _, _, a, b, core, _ in repeats.segments(pa.array([text])) for s, e, c in zip(a, b, core)]
+    finally:
+        repeats.pieces = pieces
+    cores = lambda spans: sorted({(p, c) for s, e, c in spans for p in range(s, e - repeats.LENGTH + 1)})
+    assert cores(cut) == cores(whole) and [p for p, _ in cores(whole)] == list(range(3000 - 49))
+    assert len(cut) > len(whole)

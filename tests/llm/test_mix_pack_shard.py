@@ -215,3 +215,47 @@ def test_queries_match_sql(spark, name):
 def test_every_operator_has_one_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 11)) and "pipeline" in queries.QUERIES
     assert near_dedup.SIMILARITY == (75, 100)
+
+
+def test_pack_takes_long_runs_of_white_space():
+    """The fast encoder gives up on these; the tokenizers library decides."""
+    ids, plain = packing.tokenize(PATH), Tokenizer.from_file(PATH)
+    for c in (" ", "\t", "\n"):
+        text = "a" + c * 1_000_000 + "b"
+        assert ids(text)[:-1].tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_top_k_of_empty_vectors(spark):
+    rows = [(0, []), (50, []), (7, None), (8, [1.0, None])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert sorted(map(tuple, got.collect())) == [(0, 1, 50, 0), (50, 1, 0, 0)]
+
+
+def test_mix_breaks_ties_alike_beside_null_ids():
+    """The order in which rows of a chunk arrive decides nothing."""
+    import pyarrow as pa
+
+    rows = [(1, 10, 1), (2, 10, 1), (3, 10, 1), (None, 10, 1), (None, 5, 2)]
+    seen = set()
+    for seed in range(20):
+        t = [rows[i] for i in np.random.default_rng(seed).permutation(len(rows))]
+        table = pa.table({"doc_id": pa.array([r[0] for r in t], pa.int64()), "size": [r[1] for r in t], "n": [r[2] for r in t], "rate": [0.5] * len(t)})
+        seen.add(tuple(sorted(((r["doc_id"] or 0, r["size"], r["copies"]) for r in mixing._copies(table).to_pylist()))))
+    assert len(seen) == 1
+
+
+def test_mix_replaces_clashing_columns(spark, make_docs):
+    """A ``size`` of the input is no word count, and the pipeline's stage returns columns named like its own."""
+    df = make_docs([(i, "w " * (i + 1), "en", "ab"[i % 2]) for i in range(40)]).withColumn("copies", F.lit(9)).withColumn("copy_", F.lit("c")).withColumn("row", F.lit(1))
+    assert {r.doc_id: r.size for r in mixing.with_size(df).collect()} == {i: i + 1 for i in range(40)}
+    out = corpus_pipeline.mix_sources(spark, df, "")
+    assert out.columns == df.columns and {(r.copies, r.copy_, r["size"]) for r in out.collect()} == {(9, "c", "x")}
+
+
+def test_shards_do_not_depend_on_the_order_of_arrival(spark, make_docs):
+    """One bucket: the same rows in the same input partitions give the same order, however they are fetched."""
+    rows = [(i, "t" * (i % 7)) for i in range(300)]
+    df = make_docs(rows, extra=False, parts=1).coalesce(1).sortWithinPartitions("doc_id")
+    got = [sorted((r.doc_id, r.shard, r.slot) for r in sharding.shards(df).collect()) for _ in range(2)]
+    assert got[0] == got[1]
+    assert sorted(r[1:] for r in got[0]) == sorted((p % 24, p // 24) for p in range(300))

@@ -168,3 +168,21 @@ def test_toxicity_without_labels_or_documents(spark, make_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.predicted for r in toxicity.toxicity(make_docs([(1, "x"), (2, None)]), none).collect()} == {0}
     assert toxicity.toxicity(make_docs([]), none).collect() == []
+
+
+def test_transitions_stop_at_the_border_of_texts():
+    import pyarrow as pa
+
+    from tickloom.llm.words import slices
+
+    def counted(*texts):
+        return sum(secrets.transitions(p.data, p.offsets[1:-1]) for _, p in slices(pa.array(texts)))
+
+    assert counted("abc", "", None, "def").tolist() == (counted("abc") + counted("def")).tolist()
+    assert counted("abc", "def").sum() == 4
+
+
+def test_a_key_of_two_kinds_is_hidden_once():
+    key = "0123456789abcdef" * 2
+    spans, hidden = secrets.base_spans(f"token={key}")
+    assert len(spans) == 2 and hidden == [key]
