@@ -39,12 +39,13 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies are decided on sizes alone and joined to the texts once."""
-    sized = mixing.with_size(docs, "size_")
-    mixed = mixing.mix(mixing.with_size(docs.select("doc_id", "source", "text")).drop("text"))
-    takes = mixed.where("copies > 0").select(F.col("doc_id").alias("d_"), F.col("source").alias("s_"), F.col("size").alias("z_"), "copies")
-    same = F.col("doc_id").eqNullSafe(F.col("d_")) & F.col("source").eqNullSafe(F.col("s_")) & (F.col("size_") == F.col("z_"))
-    return sized.join(takes, same).withColumn("copy_", F.explode(F.expr("sequence(1, copies)"))).select(*docs.columns)
+    """Copies are decided on sizes alone and joined to the texts once; the row travels as one struct, whatever its
+    columns are called."""
+    sized = mixing.with_size(docs.select("doc_id", "source", "text", F.struct("*").alias("row"))).drop("text")
+    mixed = mixing.mix(sized.drop("row"))
+    takes = mixed.where("copies > 0").select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), "copies")
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
+    return sized.join(takes, same).select("row", F.explode(F.expr("sequence(1, copies)"))).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
