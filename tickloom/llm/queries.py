@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import language, mixing, near_dedup, packing, quality, repeats, secrets, sharding, sql, topk, toxicity
+from tickloom.llm import decontaminate, language, mixing, near_dedup, negatives, packing, quality, repeats, secrets, shallot, sharding, sql, topk, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -16,6 +16,9 @@ SQL: dict[str, str] = {
     "op1_near_duplicates": sql.NEAR_DUPLICATES,
     "op2_host_rules": sql.host_rules(quality.RULES, quality.BASE_FAILED),
     "op9_top_k": sql.TOP_K,
+    "op11_hard_negatives": sql.HARD_NEGATIVES,
+    "op12_clusters": sql.clusters(shallot.CENTROIDS, shallot.ROUNDS),
+    "op13_decontaminate": sql.DECONTAMINATE,
 }
 
 
@@ -92,6 +95,23 @@ def op10_shards(spark, sf_dir):
     return dealt.select("doc_id", "size", crc.alias("text_crc32"), F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@register
+def op11_hard_negatives(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", shifted))
+
+
+@register
+def op12_clusters(spark, sf_dir):
+    return shallot.with_inertia(*shallot.clusters(table(spark, sf_dir, "embeddings")))
+
+
+@register
+def op13_decontaminate(spark, sf_dir):
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @register
 def pipeline(spark, sf_dir):
     import corpus_pipeline

@@ -74,3 +74,78 @@ WITH whole AS (
 )
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+HARD_NEGATIVES = """
+WITH whole AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, x.vec_id, a.label = x.label AS alike, coalesce(list_sum(list_transform(list_zip(a.v, x.v), lambda p: p[1] * p[2])), 0)::BIGINT AS score
+    FROM whole AS a JOIN whole AS x ON a.vec_id <> x.vec_id WHERE a.vec_id % 50 = 0
+), positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (
+        SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM scored WHERE alike) WHERE place <= 5
+), ranked AS (
+    SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+    FROM positives AS p JOIN scored AS s ON s.anchor_id = p.anchor_id AND NOT alike WHERE 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 3
+"""
+
+
+def clusters(k: int, rounds: int) -> str:
+    """Plain rounds of all distances, one after the other."""
+    def assign(r):
+        return f"""assigned{r} AS MATERIALIZED (
+    SELECT row, vec_id, v, c AS cluster, d AS distance FROM (
+        SELECT row, vec_id, v, c, d, row_number() OVER (PARTITION BY row ORDER BY d, c) AS place FROM (
+            SELECT row, vec_id, v, c, list_sum(list_transform(list_zip(v, mid), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept, centroids{r})) WHERE place = 1
+)"""
+
+    def move(r):
+        return f"""sums{r} AS (
+    SELECT cluster, place, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT cluster, unnest(v) AS x, unnest(range(1, 65)) AS place FROM assigned{r}) GROUP BY cluster, place
+), moved{r} AS (
+    SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY place) AS mid FROM sums{r} GROUP BY cluster
+), centroids{r + 1} AS MATERIALIZED (
+    SELECT c.c, coalesce(m.mid, c.mid) AS mid FROM centroids{r} AS c LEFT JOIN moved{r} AS m ON m.cluster = c.c
+)"""
+
+    steps = ", ".join(f"{assign(r)}, {move(r)}" for r in range(rounds))
+    return f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), centroids0 AS MATERIALIZED (
+    SELECT place - 1 AS c, v AS mid FROM (SELECT v, row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) AS place FROM kept) WHERE place <= {k}
+), {steps}, {assign(rounds)}, named AS (
+    SELECT c, sha256(array_to_string(mid, ',')) AS centroid_sha256 FROM centroids{rounds}
+)
+SELECT vec_id, cluster::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM assigned{rounds} JOIN named ON c = cluster
+"""
+
+
+_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+DECONTAMINATE = f"""
+WITH docs AS (
+    SELECT row_number() OVER () AS row, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_BREAK}'), lambda x: x <> '') AS w FROM documents
+), items AS (
+    SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_BREAK}'), lambda x: x <> '') AS w FROM benchmark
+), windows AS (
+    SELECT DISTINCT item_id, least(len(w), 10) AS n, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) AS s FROM items WHERE len(w) > 0
+), lengths AS (
+    SELECT DISTINCT n FROM windows
+), spots AS (
+    SELECT row, n, unnest(range(1, len(w) - n + 2)) AS i, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS s FROM docs, lengths WHERE len(w) >= n
+), found AS (
+    SELECT row, i, s.n, item_id FROM spots AS s JOIN windows AS x ON x.n = s.n AND x.s = s.s
+), hits AS (
+    SELECT row, count(DISTINCT word) AS n_hit FROM (SELECT row, unnest(range(i, i + n)) AS word FROM (SELECT DISTINCT row, i, n FROM found)) GROUP BY row
+), named AS (
+    SELECT row, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names FROM (SELECT DISTINCT row, item_id FROM found WHERE item_id IS NOT NULL) GROUP BY row
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs AS d LEFT JOIN hits AS h ON h.row = d.row LEFT JOIN named AS x ON x.row = d.row
+"""
