@@ -44,7 +44,7 @@ class Fields:
     @classmethod
     def of(cls, low: int, high: int, width: int) -> Fields:
         bits = max(1, ((high - low) ** 2 * max(width, 1)).bit_length())
-        return cls(-low, bits, 64 // bits if bits <= 64 else 16, bits > 64)
+        return cls(-low, bits, 64 // bits if bits < 64 else 16, bits >= 64)
 
     @property
     def kind(self):
@@ -74,8 +74,10 @@ class Fields:
             out[:, :, j] = (both >> self.shift(j)) & (mask if self.wide else np.uint64(mask))
         out = out.reshape(len(a), -1)[:, : len(sums)]
         # (a + b)(c + b) = ac + b * c + b * (a + b) over all dimensions
-        exact = out - self.bias * sums[None, :] - self.bias * a.sum(1)[:, None]
-        return np.clip(exact, _NONE + 1, np.iinfo(np.int64).max).astype(np.int64) if self.wide else exact
+        if not self.wide:
+            return out - self.bias * sums[None, :] - self.bias * a.sum(1)[:, None]
+        exact = out - self.bias * sums.astype(object)[None, :] - self.bias * a.sum(1).astype(object)[:, None]
+        return np.clip(exact, _NONE + 1, np.iinfo(np.int64).max).astype(np.int64)
 
 
 class Best:
