@@ -27,8 +27,8 @@ POSITIVES, NEGATIVES = 5, 3
 #: A negative's score lies between these hundredths of the positive's.
 LEAST, MOST = 50, 95
 CANDIDATES = 4096
-#: Anchors are dealt to about so many blocks, of ANCHORS[0] to ANCHORS[1] each.
-TASKS, ANCHORS = 64, (32, 2048)
+#: Anchors are dealt to about so many blocks, of ANCHORS[0] to ANCHORS[1] each; every block reads all candidates.
+TASKS, ANCHORS = 64, (128, 1024)
 _NONE = np.iinfo(np.int64).min
 
 
