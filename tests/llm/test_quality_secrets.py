@@ -186,3 +186,41 @@ def test_a_key_of_two_kinds_is_hidden_once():
     key = "0123456789abcdef" * 2
     spans, hidden = secrets.base_spans(f"token={key}")
     assert len(spans) == 2 and hidden == [key]
+
+
+def test_terms_are_drawn_where_the_list_matches_nothing(spark, make_docs, toxic_rows):
+    """Neutral frequent words stand in for groups: every text that names one has a twin; insults are not drawn."""
+    rows, labels = toxic_rows
+    listed = re.compile(r"\b(" + "|".join({t for p in toxicity.IDENTITY for t in p}) + r")\b", re.I)
+    bare = [(r[0], listed.sub("it", r[1]) + (" often seldom" if i % 8 else " seldom"), *r[2:]) for i, r in enumerate(rows) if r[1]]
+    df, marks = make_docs(bare), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    texts = spark.createDataFrame([("alpha beta insult" if i % 5 == 0 else "alpha beta gamma" if i % 2 else "alpha beta delta", int(i % 5 == 0)) for i in range(400)], "text string, toxic int")
+    assert toxicity.drawn_terms(texts, 400, 0.2) == [("alpha", "beta")]
+    assert toxicity.train(df, marks).twins > 0
+    assert toxicity.train(df, marks, identity=()).twins > 0
+
+
+def test_terms_of_several_words_swap_as_one():
+    swap = toxicity._swapper((("able-bodied", "disabled"), ("women", "men")))
+    assert swap("Able-bodied Women, women-led; men2 disabled") == "disabled men, men-led; men2 able-bodied"
+
+
+def test_classifier_matches_plain_gradient_steps():
+    """The loss in plain sums over rows: log loss with equal class weights, l2, and the mean squared gap of twins."""
+    rng = np.random.default_rng(3)
+    own = [np.sort(rng.choice(6, rng.integers(1, 5), replace=False)) for _ in range(40)]
+    y = np.array([int(0 in x) for x in own])
+    twin = [np.sort(5 - x) if i % 3 == 0 else None for i, x in enumerate(own)]
+    model = toxicity.fit(y, own, twin, np.arange(6, dtype=np.uint64), counterfactual=0.3, l2=0.01, steps=3000)
+
+    def loss(v):
+        z = [v[-1] + sum(v[f] for f in x) for x in own]
+        share = {1: y.mean(), 0: 1 - y.mean()}
+        plain = sum(0.5 / share[t] * np.log1p(np.exp(-s if t else s)) for s, t in zip(z, y)) / len(y)
+        gaps = [(sum(v[f] for f in x) - sum(v[f] for f in t)) ** 2 for x, t in zip(own, twin) if t is not None]
+        return plain + 0.01 * sum(w * w for w in v[:-1]) + 0.3 * np.mean(gaps)
+
+    at = np.append(model.weights, model.bias)
+    for i in range(7):
+        for step in (1e-3, -1e-3):
+            assert loss(at + step * np.eye(7)[i]) > loss(at) - 1e-6

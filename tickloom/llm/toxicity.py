@@ -3,6 +3,8 @@
 Features are the distinct words of a text and their first four and five bytes (insults come in families).
 For every labelled text that names a group, a twin is made with the group swapped for another; training
 penalises the squared difference of the two log-odds, so that a group's name itself moves no score.
+Groups are named by a list of pairs; where no labelled text has a term of the list, the terms are drawn from the
+labelled texts: frequent words that toxic texts have as often as others, each paired with the next in frequency.
 The classifier is fitted on a bounded sample of labelled rows and scores every whole text.
 """
 
@@ -18,9 +20,13 @@ from pyspark.sql import DataFrame, functions as F
 from tickloom.llm.staging import staged
 from tickloom.llm.words import Texts, mix, prefix_hashes, slices, span_hashes
 
-#: Labelled rows that training takes at most (by hash of the id), and features that it may use.
-SAMPLE, FEATURES = 20_000, 8192
-LEAST_DOCS = 4
+#: Labelled rows that training takes at most (by hash of the id). They bound the features, too: those in at least
+#: LEAST_DOCS of them whose share of toxic ones stands LEAST_Z standard deviations off the share of all.
+SAMPLE = 20_000
+LEAST_DOCS, LEAST_Z = 4, 2.0
+#: A drawn identity term stands in at least this share of the labelled texts; its share of toxic ones lies within so many
+#: standard deviations of the share of all; its partner is at most so much more frequent.
+TERM_SHARE, TERM_Z, TERM_RATIO = 0.01, 1.0, 1.25
 THRESHOLD = 0.7
 L2, COUNTERFACTUAL = 2e-5, 1.0
 
@@ -41,6 +47,7 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A"): ord("Z") + 1] += 32
 _FOLD[:128][_BREAK[:128]] = 0x20
 _PREFIXES = (4, 5)
+_WORD, _JOINED = re.compile(r"\w+"), re.compile(r"\w+(?:-\w+)*")
 
 
 def folded(part: Texts) -> Texts:
@@ -73,9 +80,14 @@ def small(batches, rows: int = 512):
 
 
 def _swapper(pairs):
+    """Every term swapped for its partner; words joined by hyphens are one term if listed, else each for itself."""
     other = {a: b for p in pairs for a, b in (p, p[::-1])}
-    pattern = re.compile(r"\b(" + "|".join(sorted(map(re.escape, other), key=len, reverse=True)) + r")\b", re.I) if other else None
-    return (lambda t: pattern.sub(lambda m: other.get(m[0].lower(), m[0]), t)) if pattern else (lambda t: t)
+
+    def swapped(m):
+        found = other.get(m[0].lower())
+        return found or (_WORD.sub(lambda w: other.get(w[0].lower(), w[0]), m[0]) if "-" in m[0] else m[0])
+
+    return (lambda t: _JOINED.sub(swapped, t)) if other else (lambda t: t)
 
 
 def _feature_rows(identity):
@@ -107,6 +119,7 @@ class Classifier:
     hashes: np.ndarray  # sorted
     weights: np.ndarray
     bias: float
+    twins: int = 0  # labelled texts that had a twin
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         out = np.zeros(len(texts))
@@ -150,7 +163,7 @@ def fit(labels: np.ndarray, own: list[np.ndarray], twin: list[np.ndarray | None]
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         step = 0.1 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    return Classifier(vocabulary, w, float(b))
+    return Classifier(vocabulary, w, float(b), len(paired))
 
 
 def _tally(batches):
@@ -164,11 +177,26 @@ def _tally(batches):
 
 
 def _vocabulary(rows: DataFrame, share: float) -> np.ndarray:
-    """The features whose share of toxic documents stands furthest from the overall share, in standard deviations."""
+    """The features whose share of toxic documents stands off the overall share: as many as the sample has."""
     seen = rows.select("toxic", "own").mapInArrow(_tally, "h long, n long, toxic long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     z = F.abs(F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)))
-    best = seen.where(F.col("n") >= LEAST_DOCS).withColumn("z", z).where("z > 2").orderBy(F.desc("z"), "h").limit(FEATURES).select("h").collect()
-    return np.sort(np.array([r.h for r in best], np.int64).view(np.uint64))
+    best = seen.where((F.col("n") >= LEAST_DOCS) & (z > LEAST_Z)).select("h").toArrow()
+    return np.sort(best.column("h").to_numpy().view(np.uint64))
+
+
+def drawn_terms(texts: DataFrame, n: int, share: float) -> list[tuple[str, str]]:
+    """Pairs of neutral words from ``(text, toxic)``. Only words of a hundredth of the texts or more reach the driver."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{3,}"), F.lit(0)))
+    seen = texts.select(F.explode(words).alias("word"), "toxic").groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
+    z = F.abs(F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)))
+    rows = seen.where((F.col("n") >= max(TERM_SHARE * n, LEAST_DOCS)) & (z < TERM_Z)).orderBy("n", "word").collect()
+    pairs, i = [], 0
+    while i + 1 < len(rows):
+        if rows[i + 1].n <= TERM_RATIO * rows[i].n:
+            pairs.append((rows[i].word, rows[i + 1].word))
+            i += 1
+        i += 1
+    return pairs
 
 
 def _pick(vocabulary: np.ndarray):
@@ -193,14 +221,18 @@ def held_out() -> F.Column:
 
 def train(docs: DataFrame, labels: DataFrame, identity=IDENTITY, sample: int = SAMPLE, counterfactual: float = COUNTERFACTUAL) -> Classifier:
     """A document is toxic if any of its labels is 1; null ids and labels are ignored. Of more than ``sample``
-    labelled documents those with the smallest hashes are taken; their ids are what is broadcast. Features are
-    counted and chosen by Spark; the driver gets at most ``sample`` rows of their places in the vocabulary."""
+    labelled documents those with the smallest hashes are taken; their ids are what is broadcast; of rows that repeat
+    an id the smallest text counts. Features are counted and chosen by Spark; the driver gets at most ``sample`` rows of
+    their places in the vocabulary. ``identity``: pairs of terms; drawn from the texts where none occurs in them."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max(F.expr("CAST(toxic = 1 AS INT)")).alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic").mapInArrow(_feature_rows(identity), "toxic int, own binary, twin binary")
-    rows = staged(rows, "toxic-sample")
-    size = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    texts = staged(texts.select("text", "toxic"), "toxic-texts")
+    listed = F.rlike(F.lower("text"), F.lit(r"\b(" + "|".join(sorted({re.escape(t) for p in identity for t in p}, key=len, reverse=True)) + r")\b")) if identity else F.lit(False)
+    size = texts.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"), F.coalesce(F.max(listed), F.lit(False)).alias("listed")).first()
     share = min(max((size.toxic or 0) / max(size.n, 1), 1e-3), 1 - 1e-3)
+    terms = identity if size.listed else drawn_terms(texts, size.n, share)
+    rows = staged(texts.mapInArrow(_feature_rows(terms), "toxic int, own binary, twin binary"), "toxic-sample")
     vocabulary = _vocabulary(rows, share)
     picked = rows.mapInArrow(_pick(vocabulary), "toxic int, own binary, twin binary").collect()
     places = lambda x: None if x is None else np.frombuffer(x, "<i4")
