@@ -211,7 +211,8 @@ def test_classifier_matches_plain_gradient_steps():
     own = [np.sort(rng.choice(6, rng.integers(1, 5), replace=False)) for _ in range(40)]
     y = np.array([int(0 in x) for x in own])
     twin = [np.sort(5 - x) if i % 3 == 0 else None for i, x in enumerate(own)]
-    model = toxicity.fit(y, own, twin, np.arange(6, dtype=np.uint64), counterfactual=0.3, l2=0.01, steps=3000)
+    lost, gained = ([None if t is None else np.setdiff1d(*((x, t) if k else (t, x))) for x, t in zip(own, twin)] for k in (1, 0))
+    model = toxicity.fit(y, own, lost, gained, np.arange(6, dtype=np.uint64), counterfactual=0.3, l2=0.01, steps=3000)
 
     def loss(v):
         z = [v[-1] + sum(v[f] for f in x) for x in own]

@@ -136,20 +136,21 @@ class Classifier:
         return out
 
 
-def fit(labels: np.ndarray, own: list[np.ndarray], twin: list[np.ndarray | None], vocabulary: np.ndarray, counterfactual: float = COUNTERFACTUAL, l2: float = L2, steps: int = 300) -> Classifier:
-    """Adam on the mean log loss + l2 |w|^2 + counterfactual * mean squared log-odds gap between twins. ``own`` and
-    ``twin`` hold places in the sorted ``vocabulary``. Both classes weigh the same in the loss, so the threshold
-    does not depend on how rare toxic texts are."""
+def fit(labels: np.ndarray, own: list[np.ndarray], lost: list[np.ndarray | None], gained: list[np.ndarray | None], vocabulary: np.ndarray, counterfactual: float = COUNTERFACTUAL, l2: float = L2, steps: int = 300) -> Classifier:
+    """Adam on the mean log loss + l2 |w|^2 + counterfactual * mean squared log-odds gap between twins. ``own`` holds
+    places in the sorted ``vocabulary``; ``lost`` and ``gained`` are the places in which a text's twin differs (null: no
+    twin), as only those make the gap. Both classes weigh the same in the loss, so the threshold does not depend on
+    how rare toxic texts are."""
     y, m = np.asarray(labels, float), len(vocabulary)
     if not len(y):
         return Classifier(np.zeros(0, np.uint64), np.zeros(0), -30.0)
 
     def rows(sets):
-        return np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate([np.zeros(0, np.int64), *sets]).astype(np.int64)
+        return np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets]), np.concatenate([np.zeros(0, np.int32), *sets]).astype(np.int32)
 
     d, f = rows(own)
-    paired = [k for k, t in enumerate(twin) if t is not None]
-    (d1, f1), (d2, f2) = rows([own[k] for k in paired]), rows([twin[k] for k in paired])
+    paired = [k for k, t in enumerate(gained) if t is not None]
+    (d1, f1), (d2, f2) = rows([lost[k] for k in paired]), rows([gained[k] for k in paired])
     p = min(max(y.mean(), 1e-3), 1 - 1e-3)
     each = np.where(y == 1, 0.5 / p, 0.5 / (1 - p)) / len(y)
     w, b = np.zeros(m), 0.0 if 0 < y.mean() < 1 else float(np.log(p / (1 - p)))
@@ -200,17 +201,24 @@ def drawn_terms(texts: DataFrame, n: int, share: float) -> list[tuple[str, str]]
 
 
 def _pick(vocabulary: np.ndarray):
-    """Feature sets as places in the vocabulary; what is not in it is dropped."""
+    """Feature sets as places in the vocabulary, and how a twin's differ; what is not in it is dropped."""
     def places(x):
-        if x is None or not len(vocabulary):
-            return None if x is None else b""
         h = np.frombuffer(x, np.uint64)
+        if not len(vocabulary):
+            return np.zeros(0, "<i4")
         i = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-        return i[vocabulary[i] == h].astype("<i4").tobytes()
+        return i[vocabulary[i] == h].astype("<i4")
 
     def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), *(pa.array([places(x) for x in b.column(c).to_pylist()], pa.binary()) for c in ("own", "twin"))], names=["toxic", "own", "twin"])
+        for b in small(batches):
+            own, lost, gained = [], [], []
+            for x, t in zip(b.column("own").to_pylist(), b.column("twin").to_pylist()):
+                x = places(x)
+                own.append(x.tobytes())
+                t = None if t is None else places(t)
+                lost.append(None if t is None else np.setdiff1d(x, t).tobytes())
+                gained.append(None if t is None else np.setdiff1d(t, x).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), *(pa.array(c, pa.binary()) for c in (own, lost, gained))], names=["toxic", "own", "lost", "gained"])
 
     return run
 
@@ -234,9 +242,9 @@ def train(docs: DataFrame, labels: DataFrame, identity=IDENTITY, sample: int = S
     terms = identity if size.listed else drawn_terms(texts, size.n, share)
     rows = staged(texts.mapInArrow(_feature_rows(terms), "toxic int, own binary, twin binary"), "toxic-sample")
     vocabulary = _vocabulary(rows, share)
-    picked = rows.mapInArrow(_pick(vocabulary), "toxic int, own binary, twin binary").collect()
-    places = lambda x: None if x is None else np.frombuffer(x, "<i4")
-    return fit(np.array([r.toxic for r in picked]), [places(r.own) for r in picked], [places(r.twin) for r in picked], vocabulary, counterfactual)
+    picked = rows.mapInArrow(_pick(vocabulary), "toxic int, own binary, lost binary, gained binary").toArrow()
+    sets = [[None if not x.is_valid else np.frombuffer(x.as_buffer(), "<i4") for x in picked.column(c)] for c in ("own", "lost", "gained")]
+    return fit(picked.column("toxic").to_numpy(), *sets, vocabulary, counterfactual)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
