@@ -16,18 +16,33 @@ from tickloom.sources import sinks
 from tickloom.streaming import state, tables as st
 
 
-FILE_ROWS = 1_000_000
+#: Rows of a file, and so of a micro-batch: one file is read at a time.
+FILE_ROWS = 50_000
 
 
-def staged(t, df, name, order="ts"):
-    """Write a table as ordered files, as many as its rows need, and open it as a stream."""
+def staged(t, df, name, order="ts", close=None):
+    """Write a table as files in the order of arrival and open them as a stream, file by file."""
     path = stage_dir(t.spark, name)
-    df.repartitionByRange(order).sortWithinPartitions(order).write.option("maxRecordsPerFile", FILE_ROWS).parquet(path)
-    return path, st.read_stream(t.spark, path, t.spark.read.parquet(path).schema)
+    st.write_in_order(df, path, F.expr(order), FILE_ROWS)
+    if close:
+        st.close_input(df, path, order, close)
+    return path, st.read_stream(t.spark, path, df.schema, files_per_trigger=1)
 
 
-def tick_stream(t):
-    return staged(t, t.tick().withColumn("ts", F.col("ts").cast("timestamp")), "ticks")[1]
+def zoned_ticks(t):
+    return t.tick().withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def tick_stream(t, close=None):
+    return staged(t, zoned_ticks(t), "ticks", close=close)[1]
+
+
+#: Ticks that arrive up to nine minutes late, out of order; the watermark waits longer.
+LATE, WAIT = "ts + make_dt_interval(0, 0, CAST(seq % 10 AS INT), 0)", "15 minutes"
+
+
+def late_ticks(t):
+    return staged(t, zoned_ticks(t), "late", order=LATE)
 
 
 def where(t, name):
@@ -39,17 +54,17 @@ MSQL = """
 m AS (SELECT symbol, date_trunc('minute', ts) AS dt, first(price ORDER BY ts, seq) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY ts, seq) AS close, sum(volume) AS volume, sum(bidvolume) AS bidvolume, sum(askvolume) AS askvolume, count(*) AS n_ticks FROM tick GROUP BY 1, 2)"""
 
 
-@query("stream_minute_bars", MB, with_(TICK, MSQL) + "SELECT * FROM m WHERE dt + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM tick) - INTERVAL 2 MINUTE")
+@query("stream_minute_bars", MB, with_(TICK, MSQL) + "SELECT * FROM m")
 def _(t):
     out, ck = where(t, "bars")
-    st.run_once(st.minute_bars(tick_stream(t)), out, ck)
+    st.run_once(st.minute_bars(tick_stream(t, close="1 HOUR")), out, ck)
     return t.spark.read.parquet(out)
 
 
 @query("stream_late_update", MB, with_(TICK, MSQL) + "SELECT * FROM m")
 def _(t):
     out, ck = where(t, "upsert")
-    st.run_upsert(st.minute_bars(tick_stream(t), delay="40 days"), out, ck)
+    st.run_upsert(st.minute_bars(late_ticks(t)[1], delay=WAIT), out, ck)
     return st.latest(t.spark, out, ["symbol", "dt"])
 
 
@@ -57,16 +72,16 @@ def _(t):
 SELECT symbol, b AS dt, b + INTERVAL 60 MINUTES AS dt_end, max(price) AS high, min(price) AS low, sum(volume) AS volume, count(*) AS n_ticks FROM (SELECT *, time_bucket(INTERVAL '15 minutes', ts) - INTERVAL 1 MINUTE * (15 * k) AS b FROM tick, generate_series(0, 3) g(k)) GROUP BY 1, 2""")
 def _(t):
     out, ck = where(t, "slide")
-    st.run_upsert(st.minute_bars(tick_stream(t), 60, "40 days", "15 minutes"), out, ck)
+    st.run_upsert(st.minute_bars(late_ticks(t)[1], 60, WAIT, "15 minutes"), out, ck)
     return st.latest(t.spark, out, ["symbol", "dt"])
 
 
 @query("stream_session_activity", "symbol session_start:t n_ticks:i volume:f high:f low:f", with_(TICK) + """
 , g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY symbol ORDER BY ts) < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS brk FROM tick), s AS (SELECT *, sum(brk) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
-SELECT symbol, date_trunc('second', min(ts)) AS session_start, count(*) AS n_ticks, sum(volume) AS volume, max(price) AS high, min(price) AS low FROM s GROUP BY symbol, sid HAVING max(ts) + INTERVAL 30 MINUTES <= (SELECT max(ts) FROM tick) - INTERVAL 2 MINUTES""")
+SELECT symbol, date_trunc('second', min(ts)) AS session_start, count(*) AS n_ticks, sum(volume) AS volume, max(price) AS high, min(price) AS low FROM s GROUP BY symbol, sid""")
 def _(t):
     out, ck = where(t, "session")
-    st.run_once(st.session_activity(tick_stream(t)), out, ck)
+    st.run_once(st.session_activity(tick_stream(t, close="1 HOUR")), out, ck)
     return t.spark.read.parquet(out)
 
 
@@ -107,12 +122,12 @@ def trigger_stream(t):
 @query("stream_signals_dedup", "symbol level direction:i ts:t", with_(*WIDE, BRK) + "SELECT DISTINCT symbol, level, direction, dt AS ts FROM brk")
 def _(t):
     out, ck = where(t, "dedup")
-    st.run_once(st.signals_dedup(trigger_stream(t), ["symbol", "level", "direction", "ts"], "40 days"), out, ck)
+    st.run_once(st.signals_dedup(trigger_stream(t), ["symbol", "level", "direction", "ts"]), out, ck)
     return t.spark.read.parquet(out)
 
 
 @query("stream_budget_accept", "symbol ts:t score:f threshold:f accepted:i", with_(TICK).replace("WITH ", "WITH RECURSIVE ", 1) + """
-, c AS (SELECT symbol, ts, CAST(ts + INTERVAL 9 HOURS AS DATE) AS td, least(price / 200, 1) AS score, row_number() OVER (PARTITION BY symbol ORDER BY ts, price) AS rn FROM tick WHERE price > 60),
+, c AS (SELECT symbol, ts, CAST(ts + INTERVAL 9 HOURS AS DATE) AS td, least(price / 200, 1) AS score, row_number() OVER (PARTITION BY symbol ORDER BY ts, price) AS rn FROM tick),
 r AS (SELECT DISTINCT symbol, 0::BIGINT AS rn, DATE '1900-01-01' AS td, 0 AS seen, 0 AS taken, .35::DOUBLE AS thr, 0 AS ok FROM c UNION ALL
  SELECT symbol, rn, td, seen, taken + (taken < 5 AND score >= thr)::INT, thr, (taken < 5 AND score >= thr)::INT FROM (
   SELECT *, CASE WHEN taken - 5 * least(1, seen / 20::DOUBLE) > 1 THEN least(.95::DOUBLE, t0 + .02::DOUBLE) WHEN taken - 5 * least(1, seen / 20::DOUBLE) < -1 THEN greatest(.35::DOUBLE, t0 - .02::DOUBLE) ELSE t0 END AS thr FROM (
@@ -120,7 +135,7 @@ r AS (SELECT DISTINCT symbol, 0::BIGINT AS rn, DATE '1900-01-01' AS td, 0 AS see
 SELECT c.symbol, c.ts, c.score, r.thr AS threshold, r.ok AS accepted FROM r JOIN c USING (symbol, rn)""")
 def _(t):
     out, ck = where(t, "budget")
-    sig = t.tick().filter("price > 60").select("symbol", "ts", cal.trading_day("ts").alias("trading_day"), F.least(F.col("price") / 200, F.lit(1.0)).alias("score"))
+    sig = t.tick().select("symbol", "ts", cal.trading_day("ts").alias("trading_day"), F.least(F.col("price") / 200, F.lit(1.0)).alias("score"))
     st.run_upsert(state.budget_accept(staged(t, sig.withColumn("ts", F.col("ts").cast("timestamp")), "scores")[1], 5, 20.0, 0.35), out, ck, "append")
     return st.latest(t.spark, out, ["symbol", "ts"])
 
@@ -128,7 +143,7 @@ def _(t):
 @query("stream_jsonl_sink", "signal_id symbol level direction:i", with_(*WIDE, BRK) + "SELECT substr(sha1(symbol || '|' || strftime(dt, '%Y-%m-%d %H:%M:%S') || '|' || level || '|' || direction::VARCHAR), 1, 16) AS signal_id, symbol, level, direction FROM (SELECT DISTINCT symbol, dt, level, direction FROM brk)")
 def _(t):
     out, ck = where(t, "jsonl")
-    s = st.signals_dedup(trigger_stream(t), ["symbol", "level", "direction", "ts"], "40 days").select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "level", "direction", "level_price")
+    s = st.signals_dedup(trigger_stream(t), ["symbol", "level", "direction", "ts"]).select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "level", "direction", "level_price")
     st.run_once(sinks.signal_payload(s, ["symbol", "at", "level", "direction"], ["level_price"]), out, ck, fmt="json")
     return t.spark.read.schema("signal_id string, symbol string, level string, direction int").json(out)
 
@@ -144,7 +159,7 @@ def _(t):
 
 @query("replay", MB, with_(TICK, MSQL) + "SELECT * FROM m")
 def _(t):
-    path, _ = staged(t, t.tick().withColumn("ts", F.col("ts").cast("timestamp")), "replay")
+    path, late = late_ticks(t)
     out, ck = where(t, "replayed")
-    st.replay(t.spark, path, t.spark.read.parquet(path).schema, lambda s: st.minute_bars(s, delay="40 days"), out, ck, files_per_trigger=2)
+    st.replay(t.spark, path, late.schema, lambda s: st.minute_bars(s, delay=WAIT), out, ck, files_per_trigger=2)
     return st.latest(t.spark, out, ["symbol", "dt"])

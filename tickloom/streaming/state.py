@@ -1,10 +1,11 @@
 """Keyed state over streams: session levels, level side, recent ticks, acceptance budget.
 
-State per key is a few numbers (or the last minutes of ticks). Rows of one key in one micro-batch are
-sorted before they are folded, so they must fit in one task: a source has to bound its micro-batches (``read_stream``
-with ``files_per_trigger``, over files that arrive in order of time). Each stream has a watermark: rows later
-than ``delay`` are dropped by Spark. Rows that come within it but belong to a trading day that the key has
-already left change nothing and are not emitted. A key that stays silent for ``KEEP`` of event time leaves.
+State per key is a typed value of a few numbers (or the last minutes of ticks) in the RocksDB store. Rows of one
+key in one micro-batch are sorted before they are folded; a micro-batch has at most ``files_per_trigger`` files
+(``tables.read_stream``) of a stated number of rows (``tables.write_in_order``), whatever the length of the stream.
+Each stream has a watermark: rows later than ``delay`` are dropped. Rows that come within it but belong to a trading
+day that the key has already left change nothing and are not emitted. An event-time timer clears a key that stays
+silent for ``KEEP``.
 """
 
 from __future__ import annotations
@@ -13,35 +14,69 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 #: Milliseconds of event time: longer than any pause between sessions.
 KEEP = 10 * 86_400_000
 NAN = float("nan")
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def rocksdb(spark: SparkSession) -> None:
+    """State in RocksDB instead of the executors' heap; processors with timers need it. A setting of the session."""
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != PROVIDER:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 
 def _sorted(parts: Iterator[pd.DataFrame], order) -> pd.DataFrame:
     return pd.concat(list(parts), ignore_index=True).sort_values(order, ignore_index=True)
 
 
-def _with_state(stream: DataFrame, keys, time: str, delay: str, out: str, kept: str, fold) -> DataFrame:
-    """``fold(key, rows, state or None) -> (output rows, new state)`` per key, behind a watermark on ``time``;
-    idle keys are dropped."""
-    order = [time, *(c for c in ("seq", "score") if c in stream.columns)]
-    names = [c.split()[0] for c in out.split(", ")]
+class Folded(StatefulProcessor):
+    """``fold(key, rows, state or None) -> (output rows, new state)`` per key and micro-batch. The one timer of a key
+    moves on with its newest row."""
+
+    def __init__(self, fold, order: list[str], time: str, names: list[str], kept: str):
+        self.fold, self.order, self.time, self.names, self.kept = fold, order, time, names, kept
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("folded", self.kept)
+        self.leaves = handle.getValueState("leaves", "at long")
 
-    def run(key, parts, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        newest = _sorted(rows, self.order)
+        # What is behind the watermark is late for good.
+        mark = timerValues.getCurrentWatermarkInMs()
+        millis = newest[self.time].map(lambda x: int(x.timestamp() * 1000))
+        newest = newest[millis >= mark].reset_index(drop=True)
+        if not len(newest):
             return
-        rows = _sorted(parts, order)
-        found, new = fold(key, rows, state.get if state.exists else None)
-        state.update(new)
-        state.setTimeoutTimestamp(max(int(rows[time].iloc[-1].timestamp() * 1000), state.getCurrentWatermarkMs()) + KEEP)
-        yield pd.DataFrame(found, columns=names)
+        found, state = self.fold(key, newest, self.value.get() if self.value.exists() else None)
+        self.value.update(state)
+        at = max(int(millis.max()), mark) + KEEP
+        if self.leaves.exists():
+            self.handle.deleteTimer(self.leaves.get()[0])
+        self.handle.registerTimer(at)
+        self.leaves.update((at,))
+        yield pd.DataFrame(found, columns=self.names)
 
-    return stream.withWatermark(time, delay).groupBy(*keys).applyInPandasWithState(run, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.value.clear()
+        self.leaves.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def _with_state(stream: DataFrame, keys, time: str, delay: str, out: str, kept: str, fold) -> DataFrame:
+    """``fold`` behind a watermark on ``time``; rows of one time in order of ``seq`` or ``score``."""
+    order = [time, *(c for c in ("seq", "score") if c in stream.columns)]
+    names = [c.split()[0] for c in out.split(", ")]
+    rocksdb(stream.sparkSession)
+    return stream.withWatermark(time, delay).groupBy(*keys).transformWithStateInPandas(Folded(fold, order, time, names, kept), outputStructType=out, outputMode="Append", timeMode="EventTime")
 
 
 def running_levels(bars: DataFrame, delay: str = "1 day") -> DataFrame:

@@ -13,6 +13,27 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tickloom.operators.sets import dedup_keep_last
 
 
+def write_in_order(df: DataFrame, path: str, order, rows: int) -> None:
+    """Parquet files of at most ``rows`` rows each in ``order``, which is also the order in which a stream reads them:
+    a file source goes by modification time, and files written in parallel are stamped as they end."""
+    df.withColumn("_at", order).repartitionByRange("_at").sortWithinPartitions("_at").drop("_at").write.option("maxRecordsPerFile", rows).parquet(path)
+    spark = df.sparkSession
+    hdfs = spark._jvm.org.apache.hadoop.fs
+    folder = hdfs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted(f.getPath().getName() for f in fs.listStatus(folder) if f.getPath().getName().endswith(".parquet"))
+    last = max((f.getModificationTime() for f in fs.listStatus(folder)), default=0)
+    for i, name in enumerate(files):
+        fs.setTimes(hdfs.Path(folder, name), last - len(files) + i, -1)
+
+
+def close_input(df: DataFrame, path: str, time: str, after: str) -> None:
+    """One more file with one row that is empty but for ``time``, ``after`` the newest row: it moves the watermark past
+    every window that is still open, so that these are written. Its own window never closes."""
+    end = df.agg((F.max(time) + F.expr(f"INTERVAL {after}")).alias(time)).where(F.col(time).isNotNull())
+    end.select(*[F.col(time) if c == time else F.lit(None).cast(t.dataType).alias(c) for c, t in ((f.name, f) for f in df.schema)]).coalesce(1).write.mode("append").parquet(path)
+
+
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
     """Parquet files of a folder or glob as a stream."""
     r = spark.readStream.schema(schema)
