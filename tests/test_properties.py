@@ -216,3 +216,47 @@ def test_bounded_and_whole_day_barriers_agree(make_bars):
     for start in (0, 1):
         assert key(lb.barrier_outcome(entries, bars, start, horizon=10_000)) == key(lb.barrier_outcome(entries, bars, start))
     assert key(lb.barrier_outcome(entries, bars, horizon=3)) != key(lb.barrier_outcome(entries, bars))
+
+
+def test_intervals_by_nodes_equal_plain_joins(spark):
+    """Random intervals, shorter than a leaf to longer than the tree; closed at both ends; nulls where nothing is."""
+    import random
+    from datetime import datetime, timedelta
+
+    rng = random.Random(8)
+    t0 = datetime(2024, 1, 2)
+    ms = lambda: t0 + timedelta(milliseconds=rng.randrange(200_000))
+    rows = [(rng.choice("AB"), ms(), rng.randrange(5), float(rng.randrange(100))) for _ in range(400)]
+    spans = []
+    for i in range(150):
+        s = rng.choice([ms(), rows[rng.randrange(400)][1], t0 + timedelta(seconds=rng.randrange(200))])
+        spans.append((i, rng.choice("ABC"), s, s + timedelta(milliseconds=rng.choice([0, 1, 300, 999, 1000, 7_003, 64_000, 190_000]))))
+    df = spark.createDataFrame(rows, "k string, ts timestamp, v int, p double")
+    iv = spark.createDataFrame(spans, "id int, k string, s timestamp, e timestamp")
+    parts = {"n": (F.count(F.lit(1)), F.sum), "top": (F.max("p"), F.max)}
+    final = [F.sum("n").alias("n"), F.max("top").alias("top"), F.max_by("v", F.struct("n", -F.col("v"))).alias("mode")]
+    got = {r.id: (r.n, r.top, r["mode"]) for r in joins.interval_aggregate(iv, df, ["k"], "s", "e", "ts", parts, final, ["id"], by=["v"], levels=5).collect()}
+    for i, k, s, e in spans:
+        inside = [(v, p) for q, ts, v, p in rows if q == k and s <= ts <= e]
+        values = [v for v, _ in inside]
+        want = (len(inside), max(p for _, p in inside), min(set(values), key=lambda v: (-values.count(v), v))) if inside else (None, None, None)
+        assert got[i] == want, (i, s, e)
+
+
+def test_running_totals_over_many_ranges(spark):
+    from tickloom.operators import evaluation as ev
+
+    rows = [(k, float((7 * i) % 101), i % 3 + 1) for k in "ab" for i in range(101)]
+    df = spark.createDataFrame(rows, "k string, x double, n int")
+    got = {(r.k, r.x): (r.n_below, r.n_all) for r in ev.cumulative_by(df, "x", ["n"], ["k"], part_rows=10).collect()}
+    assert got == {(k, x): (sum(m for q, y, m in rows if q == k and y < x), sum(m for q, _, m in rows if q == k)) for k, x, _ in rows}
+    assert ev.cumulative_by(df.limit(0), "x", ["n"], ["k"]).collect() == []
+
+
+def test_daily_table_needs_no_sorted_aggregation(spark):
+    from tickloom.plans.adapters import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    t.shared = lambda name, make: make()
+    plan = t.day()._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tickloom.functions import calendar as cal
 from tickloom.functions.windows import DAY_KEYS, by, last_rows, running, whole
+from tickloom.operators.blocks import over_blocks
 
 
 def bucket_start(ts: str, minutes: int):
@@ -41,11 +42,11 @@ def fill_empty_bars(bars: DataFrame, minutes: int = 1, keys=("symbol",)) -> Data
     """Add the empty buckets between consecutive bars: prices carry the last close row
     forward, sums are zero. The mean price is carried forward too, never backward.
 
-    Each bar spawns the gap up to its successor, so the only window is a `lead`.
+    Each bar spawns the gap up to its successor, found in blocks of the series that see one row ahead.
     """
     step = F.expr(f"INTERVAL {minutes} MINUTES")
-    w = by(keys)
-    nxt = bars.withColumn("_next", F.lead("dt").over(w))
+    placed = bars.withColumn("_on", F.to_date("dt"))
+    nxt = over_blocks(placed, keys, "_on", "dt", 0, lambda w: [{"_next": F.lead("dt").over(w)}], ahead=1).drop("_on")
     slots = F.when(
         F.col("_next").isNull() | (F.col("_next") <= F.col("dt") + step), F.array("dt")
     ).otherwise(F.sequence(F.col("dt"), F.col("_next") - step, step))
@@ -225,10 +226,11 @@ def checkpoint_rows(bars: DataFrame, every: int = 30, keys=DAY_KEYS) -> DataFram
     })
 
 
-def align_to_primary(primary: DataFrame, other: DataFrame, on: str, columns, limit: int = 2, keys=("symbol",)) -> DataFrame:
-    """Other series on the primary's dates, carried at most ``limit`` rows, common rows only."""
+def align_to_primary(primary: DataFrame, other: DataFrame, on: str, columns, limit: int = 2, keys=("symbol",), match=()) -> DataFrame:
+    """Other series on the primary's dates, carried at most ``limit`` rows, common rows only; ``match`` are the keys
+    that both sides have."""
     w = by(keys, on).rowsBetween(-limit, 0)
-    out = primary.join(other, on, "left")
+    out = primary.join(other, [*match, on], "left")
     out = out.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
     return out.dropna(subset=list(columns))
 

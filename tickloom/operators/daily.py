@@ -291,9 +291,10 @@ def macro_context(daily: DataFrame, others: DataFrame | None = None, keys=KEYS,
 
 # --- two series ---------------------------------------------------------------------------------
 
-def pair_returns(primary: DataFrame, other: DataFrame, day="day") -> DataFrame:
+def pair_returns(primary: DataFrame, other: DataFrame, day="day", on=()) -> DataFrame:
     """Aligned pair: other's close joined on the day as ``oclose``, one-row returns x and y."""
-    j = primary.join(other.select(day, F.col("close").alias("oclose")), day)
+    on = [*on, day]
+    j = primary.join(other.select(*on, F.col("close").alias("oclose")), on)
     w = w_day(day=day)
     return j.withColumns({"x": pct_change("close", w), "y": pct_change("oclose", w)})
 
@@ -314,11 +315,11 @@ def covar_over(x: Column, y: Column, f) -> Column:
     return F.covar_samp(x, y).over(f)
 
 
-def rolling_corr_beta(primary: DataFrame, other: DataFrame, windows=(10, 20, 60), day="day") -> DataFrame:
+def rolling_corr_beta(primary: DataFrame, other: DataFrame, windows=(10, 20, 60), day="day", on=()) -> DataFrame:
     """Rolling correlations, their shift and z, beta and its change, relative strength and
     the correlation with the other side's previous return."""
     w = w_day(day=day)
-    df = pair_returns(primary, other, day)
+    df = pair_returns(primary, other, day, on)
     df = df.withColumn("_y1", F.lag("y").over(w))
     df = df.withColumns({f"corr_{n}d": pair_rolling(corr_over, "x", "y", w, n, n // 2) for n in windows})
     short, long = f"corr_{windows[0]}d", f"corr_{windows[-1]}d"

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.functions.options import norm_cdf
+from tickloom.functions.scratch import stage_dir
 from tickloom.functions.windows import by, safe_div, whole
 from tickloom.operators.sets import hash_order
 
@@ -149,15 +150,26 @@ def horizon_baseline(daily: DataFrame, horizons: dict[str, int], atr: str, k: fl
     return m.filter(F.col("n") >= min_days)
 
 
+#: Rows of a range of values that one task sorts.
+PART_ROWS = 1 << 20
+
 # --- scores ---------------------------------------------------------------------------------------
 
-def cumulative_by(table: DataFrame, order: str, sums, keys=(), parts: int = 64) -> DataFrame:
+def cumulative_by(table: DataFrame, order: str, sums, keys=(), part_rows: int = PART_ROWS) -> DataFrame:
     """``table`` (one row per distinct order value) with ``<c>_below``: the total of c over
-    strictly smaller order values, and ``<c>_all``."""
+    strictly smaller order values, and ``<c>_all``.
+
+    Two levels: the table is written once, cut into ranges of (keys, order) of about ``part_rows`` rows, however many
+    values there are; running sums inside a range add to the totals of the ranges before it, one row each."""
     keys = list(keys)
-    cuts = table.groupBy(*keys).agg(F.percentile_approx(order, F.array(*[F.lit(i / parts) for i in range(1, parts)]), 1000).alias("_cuts"))
-    df = table.join(cuts, keys) if keys else table.crossJoin(F.broadcast(cuts))  # one row of at most 63 numbers
-    df = df.withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
+    spark = table.sparkSession
+    rough = stage_dir(spark, "values")
+    table.write.parquet(rough)
+    table = spark.read.schema(table.schema).parquet(rough)
+    parts = max(1, -(-table.count() // part_rows))
+    path = stage_dir(spark, "ranges")
+    table.repartitionByRange(parts, *keys, order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    df = spark.read.parquet(path)
     per = df.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
     before = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(*(keys or [F.lit(1)]))
@@ -377,6 +389,28 @@ def paired_day_bootstrap(days: DataFrame, n_boot: int = 200, keys=("symbol",)) -
     return s.groupBy(*keys).agg(*stats("wr", "wr"), *stats("pn", "pnl"))
 
 
+def paired_auc_bootstrap(days: DataFrame, scored: DataFrame, label: str, base: str, enhanced: str, n_boot: int = 200, keys=("symbol",)) -> DataFrame:
+    """``delta_auc``, its 2.5th and 97.5th percentile over replicates that resample days, as ``paired_day_bootstrap`` does.
+
+    ``days``: keys, trading_day, index, n_days. ``scored``: keys, trading_day, the label and both scores. Scores are
+    collapsed to (day, score) counts; a replicate weighs them by how often it drew the day, so rows are never copied,
+    and its AUC comes from weighted running counts. Replicates of one class only are left out."""
+    keys = list(keys)
+    draws = days.select(*keys, "n_days", F.col("index").alias("k")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    draws = draws.withColumn("index", F.pmod(hash_order(F.col("rep").cast("string"), F.col("k").cast("string")), F.col("n_days").cast("bigint")))
+    times = draws.groupBy(*keys, "rep", "index").agg(F.count(F.lit(1)).alias("times"))
+    # Replicate -1 is the sample itself.
+    times = times.unionByName(days.select(*keys, F.lit(-1).alias("rep"), F.col("index").cast("bigint").alias("index"), F.lit(1).cast("bigint").alias("times")))
+    run = F.explode(F.array(*[F.struct(F.lit(n).alias("run"), F.col(c).cast("double").alias("score")) for n, c in (("b", base), ("e", enhanced))])).alias("_r")
+    on = days.select(*keys, "trading_day", F.col("index").cast("bigint").alias("index"))
+    counts = scored.join(on, [*keys, "trading_day"]).select(*keys, "index", F.col(label).cast("bigint").alias("_y"), run).groupBy(*keys, "index", "_r.run", "_r.score").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("pos"))
+    weighted = times.join(counts, [*keys, "index"]).groupBy(*keys, "rep", "run", "score").agg(F.sum(F.col("n") * F.col("times")).alias("n"), F.sum(F.col("pos") * F.col("times")).alias("pos"))
+    auc = auc_from(cumulative_by(weighted, "score", ["n", "pos"], [*keys, "rep", "run"]), [*keys, "rep", "run"])
+    delta = auc.groupBy(*keys, "rep").agg((F.max(F.when(F.col("run") == "e", F.col("auc"))) - F.max(F.when(F.col("run") == "b", F.col("auc")))).alias("d"))
+    drawn = F.when(F.col("rep") >= 0, F.col("d"))
+    return delta.groupBy(*keys).agg(F.max(F.when(F.col("rep") < 0, F.col("d"))).alias("delta_auc"), F.percentile(drawn, 0.025).alias("delta_auc_ci_low"), F.percentile(drawn, 0.975).alias("delta_auc_ci_high"))
+
+
 def acceptance_gate(metrics: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """One 0/1 column per rule and their conjunction."""
     df = metrics.withColumns({f"pass_{k}": F.coalesce(c, F.lit(False)).cast("int") for k, c in rules.items()})

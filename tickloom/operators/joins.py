@@ -89,31 +89,57 @@ def asof_business_days(left: DataFrame, right: DataFrame, keys, left_day: str, r
     return out.withColumns({c: F.when(ok, F.col(c)) for c in (m, *values)})
 
 
-def explode_buckets(df: DataFrame, start: str, end: str, out: str = "_bucket", unit: str = "day") -> DataFrame:
-    """One copy of an interval per calendar bucket it overlaps."""
-    s = F.date_trunc(unit, F.col(start))
-    e = F.date_trunc(unit, F.col(end))
-    return df.withColumn(out, F.explode(F.sequence(s, e, F.expr(f"INTERVAL 1 {unit.upper()}"))))
+def dyadic_nodes(first: Column, end: Column, levels: int) -> Column:
+    """Aligned nodes (level, at) that tile the leaves [first, end): node ``at`` of a level covers the leaves
+    [at * 2^level, (at + 1) * 2^level). At most two nodes a level; on the last level all that are left."""
+    none = F.array().cast("array<struct<level:int,at:bigint>>")
+    node = lambda k, x: F.struct(F.lit(k).alias("level"), x.alias("at"))
+    found = []
+    for k in range(levels):
+        # Leaves covered so far end at multiples of 2^k: lo rounds up, hi rounds down.
+        lo = F.shiftright(first + ((1 << k) - 1), k)
+        hi = F.shiftright(end, k)
+        some = lo < hi
+        if k == levels - 1:
+            found.append(F.when(some, F.transform(F.sequence(lo, hi - 1), lambda x: node(levels - 1, x))).otherwise(none))
+            break
+        odd = lambda x: x.bitwiseAND(F.lit(1)) == 1
+        found.append(F.when(some & odd(lo), F.array(node(k, lo))).otherwise(none))
+        found.append(F.when(some & odd(hi), F.array(node(k, hi - 1))).otherwise(none))
+    return F.concat(*found)
 
 
 def interval_aggregate(
-    intervals: DataFrame, rows: DataFrame, keys, start: str, end: str, ts: str, aggs, interval_id, unit: str = "day",
+    intervals: DataFrame, rows: DataFrame, keys, start: str, end: str, ts: str, parts: dict, final, interval_id, by=(),
+    leaf: int = 1_000_000, levels: int = 16,
 ) -> DataFrame:
     """Aggregate the rows inside each closed interval.
 
-    Intervals are copied to the calendar buckets they touch, rows join on key and bucket,
-    and the partial aggregates of one interval meet again by its id. ``unit`` is the bucket
-    ("day", "hour", "minute"): near the usual interval length, so few candidates miss.
-    """
-    spread = explode_buckets(intervals, start, end, unit=unit)
-    marked = rows.withColumn("_bucket", F.date_trunc(unit, F.col(ts)))
-    hit = spread.join(marked, [*keys, "_bucket"]).filter(F.col(ts).between(F.col(start), F.col(end)))
-    return intervals.join(hit.groupBy(*interval_id).agg(*aggs), list(interval_id), "left")
-
-
-def mode_smallest(value: str) -> Column:
-    """Most frequent value, the smallest one on a tie (histogram in one aggregate)."""
-    return F.expr(f"mode({value}, true)")
+    Time is cut into leaves of ``leaf`` microseconds, and those into a binary tree of ``levels``. Rows are summed once per
+    node (and ``by`` columns, whose few values make a histogram); an interval adds up at most two nodes a level, and
+    looks at raw rows only in the two leaves that it covers in part. Work is linear in rows plus intervals times
+    levels, whatever the length of intervals and however many overlap.
+
+    ``parts``: {name: (aggregate over rows, aggregate that merges it)}; ``final`` are aggregates over the merged parts
+    of an interval, one row per ``by``. Intervals without rows have nulls."""
+    keys, by, interval_id = list(keys), list(by), list(interval_id)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    floor = lambda x: F.expr(f"(({x}) - pmod({x}, {leaf}L)) div {leaf}L")
+    merged = [merge(n).alias(n) for n, (_, merge) in parts.items()]
+    placed = rows.withColumn("_us", micros(ts)).withColumn("_leaf", floor("_us"))
+    leaves = placed.groupBy(*keys, *by, "_leaf").agg(*[make.alias(n) for n, (make, _) in parts.items()])
+    up = F.explode(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda k: F.struct(k.alias("level"), F.expr("_leaf").alias("leaf")))).alias("_up")
+    nodes = leaves.select(*keys, *by, *parts, up).select(*keys, *by, *parts, F.col("_up.level").alias("_level"), F.expr("shiftright(_up.leaf, _up.level)").alias("_at")).groupBy(*keys, *by, "_level", "_at").agg(*merged)
+    spans = intervals.select(*keys, *interval_id, micros(start).alias("_s"), micros(end).alias("_e")).where("_s <= _e")
+    spans = spans.withColumns({"_first": -floor("-_s"), "_end": floor("(_e + 1)")})
+    wanted = spans.select(*keys, *interval_id, F.explode(dyadic_nodes(F.col("_first"), F.col("_end"), levels)).alias("_n")).select(*keys, *interval_id, F.col("_n.level").alias("_level"), F.col("_n.at").alias("_at"))
+    inner = wanted.join(nodes, [*keys, "_level", "_at"]).select(*interval_id, *by, *parts)
+    # Leaves of the two ends that are not covered whole.
+    edges = F.filter(F.array_distinct(F.array(floor("_s"), floor("_e"))), lambda x: (x < F.col("_first")) | (x >= F.col("_end")))
+    edge = spans.withColumn("_leaf", F.explode(edges)).join(placed.select(*keys, "_leaf", *[c for c in placed.columns if c not in (*keys, "_leaf")]), [*keys, "_leaf"]).where("_us BETWEEN _s AND _e")
+    edge = edge.groupBy(*interval_id, *by).agg(*[make.alias(n) for n, (make, _) in parts.items()])
+    both = inner.unionByName(edge).groupBy(*interval_id, *by).agg(*merged)
+    return intervals.join(both.groupBy(*interval_id).agg(*final), interval_id, "left")
 
 
 def anti_join_missing_dates(wanted: DataFrame, cached: DataFrame, keys=("symbol", "day"), warmup: int = 0) -> DataFrame:

@@ -15,6 +15,7 @@ lineage when an executor is lost.
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -24,6 +25,13 @@ from tickloom.operators import bars
 BAR_MINUTES = 15
 
 
+def packed_line() -> F.Column:
+    """Order of lineitem rows as one decimal, which a hash aggregation can hold (a struct makes it a sort): order key in
+    13 digits, line number in 2, part key in 11, supplier key in 10."""
+    part = lambda c, zeros: F.col(c).cast("decimal(38,0)") * F.lit(Decimal(10**zeros))
+    return part("l_orderkey", 23) + part("l_linenumber", 21) + part("l_partkey", 10) + F.col("l_suppkey")
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -55,7 +63,7 @@ class Tables:
         rows = self.table("lineitem").select(
             F.col("l_returnflag").alias("symbol"), F.to_date("l_shipdate").alias("day"), price.alias("price"),
             F.col("l_quantity").alias("volume"),
-            F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity").alias("seq"),
+            packed_line().alias("seq"),
         )
         return self.shared("day", lambda: bars.daily_from_trades(rows))
 
@@ -86,6 +94,15 @@ class Tables:
         return chain.groupBy("trade_date").agg(F.median("strike").alias("spot"))
 
 
+#: The other series that every symbol is matched with.
+SERIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+def with_series(df):
+    """A copy of each row for every other series."""
+    return df.withColumn("series", F.explode(F.array(*map(F.lit, SERIES))))
+
+
 TICK = """
 tick AS (SELECT event_type AS symbol, ts, event_id AS seq, value AS price, (1 + user_id % 7)::DOUBLE AS volume,
   CASE WHEN event_id % 2 = 0 THEN 0.0 ELSE (1 + user_id % 7)::DOUBLE END AS bidvolume,
@@ -105,9 +122,9 @@ DAY = """
 trade AS (SELECT l_returnflag AS symbol, l_shipdate::DATE AS day, floor(l_extendedprice / l_quantity * 100::DOUBLE) / 100::DOUBLE AS price, l_quantity AS volume,
   l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem),
 day AS (SELECT symbol, day,
-  first(price ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, volume) AS open,
+  first(price ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS open,
   max(price) AS high, min(price) AS low,
-  last(price ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, volume) AS close,
+  last(price ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS close,
   sum(volume) AS volume FROM trade GROUP BY 1, 2)"""
 
 DAY2 = """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import calendar as cal
 from tickloom.functions.windows import by
 from tickloom.operators import bars
-from tickloom.plans.adapters import BAR, DAY, DAY2, TICK, with_
+from tickloom.plans.adapters import BAR, DAY, DAY2, TICK, with_, with_series
 from tickloom.plans.catalog import query
 
 LA = "America/Los_Angeles"
@@ -185,14 +185,14 @@ def _(t):
     return bars.checkpoint_rows(t.bar(), every=30)
 
 
-@query("align_instruments", "symbol day:d close:f other_close:f", with_(DAY, DAY2) + """
-, base AS (SELECT day, close AS other FROM day2 WHERE symbol = '1-URGENT'),
-j AS (SELECT d.symbol, d.day, d.close, b.other FROM day d LEFT JOIN base b ON b.day = d.day),
-f AS (SELECT symbol, day, close, coalesce(other, lag(other) OVER w, lag(other, 2) OVER w) AS other_close FROM j WINDOW w AS (PARTITION BY symbol ORDER BY day))
+@query("align_instruments", "symbol series day:d close:f other_close:f", with_(DAY, DAY2) + """
+, base AS (SELECT symbol AS series, day, close AS other FROM day2),
+j AS (SELECT d.symbol, d.series, d.day, d.close, b.other FROM (SELECT * FROM day, (SELECT DISTINCT series FROM base)) d LEFT JOIN base b ON b.series = d.series AND b.day = d.day),
+f AS (SELECT symbol, series, day, close, coalesce(other, lag(other) OVER w, lag(other, 2) OVER w) AS other_close FROM j WINDOW w AS (PARTITION BY symbol, series ORDER BY day))
 SELECT * FROM f WHERE other_close IS NOT NULL""")
 def _(t):
-    other = t.day2().filter("symbol = '1-URGENT'").select("day", F.col("close").alias("other_close"))
-    return bars.align_to_primary(t.day(), other, "day", ["other_close"], limit=2)
+    other = t.day2().select(F.col("symbol").alias("series"), "day", F.col("close").alias("other_close"))
+    return bars.align_to_primary(with_series(t.day()), other, "day", ["other_close"], limit=2, keys=("symbol", "series"), match=("series",))
 
 
 @query("prepare_targets_join", "symbol day:d ret1:f gap:f up_from_prev:f down_from_prev:f", with_(DAY) + """

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.windows import by, pct_change
 from tickloom.operators import daily as dl, joins
-from tickloom.plans.adapters import DAY, DAY2, with_
+from tickloom.plans.adapters import DAY, DAY2, with_, with_series
 from tickloom.plans.catalog import query
 from tickloom.plans.sqlkit import P, TR, YEAR, atr_sql, ema_sql, lag, pair, pct, roll, rsi_sql, z0
 
@@ -186,13 +186,15 @@ def _(t):
 
 
 PAIR = f"""
-ot AS (SELECT day, close AS oclose FROM day2 WHERE symbol = '1-URGENT'),
-pr0 AS (SELECT day.symbol, day.day, close, oclose FROM day JOIN ot ON ot.day = day.day),
+ot AS (SELECT symbol AS series, day, close AS oclose FROM day2),
+pr0 AS (SELECT day.symbol || ' ' || series AS symbol, day.day, close, oclose FROM day JOIN ot ON ot.day = day.day),
 pr AS (SELECT *, {pct('close')} AS x, {pct('oclose')} AS y FROM pr0)"""
 
 
-def other(t):
-    return t.day2().filter("symbol = '1-URGENT'")
+def pairs(t):
+    """Every symbol beside every other series, under one name for the pair."""
+    left = with_series(t.day()).withColumn("symbol", F.concat_ws(" ", "symbol", "series"))
+    return left, t.day2().withColumnRenamed("symbol", "series")
 
 
 @query("rolling_corr_beta", S + "corr_10d:f corr_20d:f corr_60d:f corr_shift:f corr_z:f beta_20d:f beta_change:f relstr_5d:f relstr_20d:f leadlag:f", with_(DAY, DAY2, PAIR) + f"""
@@ -201,7 +203,7 @@ def other(t):
 SELECT *, corr_10d - corr_60d AS corr_shift, (corr_10d - ({roll('avg', 'corr_10d', 60, 10)})) / nullif({roll('stddev_samp', 'corr_10d', 60, 10)}, 0) AS corr_z, beta_20d - {lag('beta_20d', 5)} AS beta_change,
  {pct('close', 5)} - {pct('oclose', 5)} AS relstr_5d, {pct('close', 20)} - {pct('oclose', 20)} AS relstr_20d, {pair('corr', 'x', 'y1', 20, 10)} AS leadlag FROM c""")
 def _(t):
-    return dl.rolling_corr_beta(t.day(), other(t))
+    return dl.rolling_corr_beta(*pairs(t), on=["series"])
 
 
 @query("corr_regime", S + "corr20:f sign_flip_10d:i momentum_10d:f pos_pct_60d:f regime_age:i", with_(DAY, DAY2, PAIR) + f"""
@@ -211,7 +213,7 @@ r AS (SELECT *, coalesce(sg <> ps, true)::INT AS chg, coalesce((corr20 > 0)::INT
 SELECT symbol, day, corr20, max(chg) OVER ({P} ROWS 9 PRECEDING) AS sign_flip_10d, corr20 - {lag('corr20', 10)} AS momentum_10d, {roll('avg', 'pos', 60, 10)} AS pos_pct_60d,
  rn - last_value(rs IGNORE NULLS) OVER ({P} ROWS UNBOUNDED PRECEDING) AS regime_age FROM r""")
 def _(t):
-    return dl.corr_regime(dl.pair_returns(t.day(), other(t)))
+    return dl.corr_regime(dl.pair_returns(*pairs(t), on=["series"]))
 
 
 def ext_sql(name, sym, scale):

@@ -62,12 +62,14 @@ def _(t):
 
 
 @query("first_k_with_gap", "symbol dt:t minute:i", with_(*TR).replace("WITH ", "WITH RECURSIVE ", 1) + """
-, c AS (SELECT symbol, trading_day, dt, minute FROM tr WHERE score >= .4 AND minute BETWEEN 390 AND 779),
-r AS (SELECT symbol, trading_day, min(minute) AS m, 1 AS k FROM c GROUP BY 1, 2 UNION ALL
- SELECT symbol, trading_day, m, k FROM (SELECT r.symbol, r.trading_day, min(c.minute) AS m, r.k + 1 AS k FROM r JOIN c ON c.symbol = r.symbol AND c.trading_day = r.trading_day AND c.minute >= r.m + 30 WHERE r.k < 4 GROUP BY r.symbol, r.trading_day, r.k))
-SELECT c.symbol, c.dt, c.minute FROM r JOIN c ON c.symbol = r.symbol AND c.trading_day = r.trading_day AND c.minute = r.m""")
+, c AS (SELECT symbol, trading_day, dt, minute FROM tr WHERE score >= .4),
+r AS (SELECT symbol, trading_day, min(dt) AS m, 1 AS k FROM c GROUP BY 1, 2 UNION ALL
+ SELECT symbol, trading_day, m, k FROM (SELECT r.symbol, r.trading_day, min(c.dt) AS m, r.k + 1 AS k FROM r JOIN c ON c.symbol = r.symbol AND c.trading_day = r.trading_day AND c.dt >= r.m + INTERVAL 30 MINUTES WHERE r.k < 4 GROUP BY r.symbol, r.trading_day, r.k))
+SELECT c.symbol, c.dt, c.minute FROM r JOIN c ON c.symbol = r.symbol AND c.trading_day = r.trading_day AND c.dt = r.m""")
 def _(t):
-    return sl.first_k_with_gap(trades(t).filter("minute BETWEEN 390 AND 779"), "score", 0.4, 30, 4)
+    # A trading day crosses midnight, so the gap is one of clock time.
+    clock = F.floor(F.unix_seconds(F.col("dt").cast("timestamp")) / 60).cast("int")
+    return sl.first_k_with_gap(trades(t).withColumn("clock", clock), "score", 0.4, 30, 4, minute="clock")
 
 
 @query("slot_cap", "symbol trading_day:d bar_no:i level direction:i", with_(*TR).replace("WITH ", "WITH RECURSIVE ", 1) + """
@@ -339,6 +341,21 @@ def _(t):
     return ev.paired_day_bootstrap(paired_days(t), 200)
 
 
+AUC = """
+ix AS (SELECT symbol, trading_day, i, nd FROM dy), sc AS (SELECT ix.symbol, i, y, unnest(['b', 'e']) AS run, unnest([base_score, score]) AS s FROM tr JOIN ix USING (symbol, trading_day)),
+dm AS (SELECT symbol, rep, j, count(*) AS times FROM dr GROUP BY 1, 2, 3 UNION ALL SELECT symbol, -1, i, 1 FROM ix),
+wt AS (SELECT sc.symbol, rep, run, s, sum(times) AS n, sum(times * y) AS pos FROM sc JOIN dm ON dm.symbol = sc.symbol AND dm.j = sc.i GROUP BY 1, 2, 3, 4),
+rk AS (SELECT *, sum(n - pos) OVER (PARTITION BY symbol, rep, run ORDER BY s) - (n - pos) AS below FROM wt),
+ra AS (SELECT symbol, rep, run, sum(pos * (below + (n - pos) / 2::DOUBLE)) / nullif(sum(pos) * sum(n - pos), 0) AS auc FROM rk GROUP BY 1, 2, 3),
+rd AS (SELECT symbol, rep, max(auc) FILTER (run = 'e') - max(auc) FILTER (run = 'b') AS d FROM ra GROUP BY 1, 2)"""
+
+
+@query("paired_auc_bootstrap", "symbol delta_auc:f delta_auc_ci_low:f delta_auc_ci_high:f", with_(*TR, BOOT, AUC) + """
+SELECT symbol, max(d) FILTER (rep < 0) AS delta_auc, quantile_cont(d, .025) FILTER (rep >= 0) AS delta_auc_ci_low, quantile_cont(d, .975) FILTER (rep >= 0) AS delta_auc_ci_high FROM rd GROUP BY 1""")
+def _(t):
+    return ev.paired_auc_bootstrap(paired_days(t), trades(t), "y", "base_score", "score", 200)
+
+
 @query("acceptance_gate", "symbol pass_min_trades:i pass_payoff:i pass_expectancy:i pass_incremental_ci:i pass_all:i", with_(*TR, BOOT) + """
 , m AS (SELECT symbol, count(*) AS n, avg(pnl) FILTER (pnl > 0) / nullif(-avg(pnl) FILTER (pnl < 0), 0) AS payoff, avg(pnl) AS e FROM tr WHERE score >= .5 GROUP BY 1),
 g AS (SELECT symbol, (n >= 100)::INT AS pass_min_trades, (payoff >= 1.2)::INT AS pass_payoff, (e >= 1)::INT AS pass_expectancy, (delta_pnl_ci_low > 0)::INT AS pass_incremental_ci FROM m JOIN boot USING (symbol))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.windows import by
 from tickloom.operators import bars, joins, sets
-from tickloom.plans.adapters import BAR, CHAIN, DAY, DAY2, TICK, with_
+from tickloom.plans.adapters import BAR, CHAIN, DAY, DAY2, TICK, with_, with_series
 from tickloom.plans.catalog import query
 
 HASH = "('0x' || substr(md5({0}), 1, 8))::BIGINT"
@@ -62,28 +62,28 @@ def _(t):
     return out
 
 
-ASOF_RIGHT = "ext AS (SELECT day, close AS ext_close FROM day2 WHERE symbol = '2-HIGH')"
+ASOF_RIGHT = "ext AS (SELECT symbol AS series, day, close AS ext_close FROM day2), lt AS (SELECT day.*, series FROM day, (SELECT DISTINCT series FROM ext))"
 
 
-@query("asof_ffill", "symbol day:d close:f matched_day:d ext_close:f", with_(DAY, DAY2, ASOF_RIGHT) + """
-SELECT d.symbol, d.day, d.close, e.day AS matched_day, e.ext_close FROM day d ASOF LEFT JOIN ext e ON d.day >= e.day""")
+@query("asof_ffill", "symbol series day:d close:f matched_day:d ext_close:f", with_(DAY, DAY2, ASOF_RIGHT) + """
+SELECT d.symbol, d.series, d.day, d.close, e.day AS matched_day, e.ext_close FROM lt d ASOF LEFT JOIN ext e ON d.series = e.series AND d.day >= e.day""")
 def _(t):
-    ext = t.day2().filter("symbol = '2-HIGH'").select(F.lit(1).alias("series"), "day", F.col("close").alias("ext_close"))
-    left = t.day().withColumn("series", F.lit(1))
+    ext = t.day2().select(F.col("symbol").alias("series"), "day", F.col("close").alias("ext_close"))
+    left = with_series(t.day())
     return joins.asof(left, ext, ["series"], "day", "day", ["ext_close"])
 
 
-@query("asof_bounded_bday", "symbol day:d matched_day:d ext_close:f", with_(DAY, DAY2, ASOF_RIGHT) + """
-, j AS (SELECT d.symbol, d.day, e.day AS m, e.ext_close FROM day d ASOF LEFT JOIN ext e ON d.day >= e.day),
+@query("asof_bounded_bday", "symbol series day:d matched_day:d ext_close:f", with_(DAY, DAY2, ASOF_RIGHT) + """
+, j AS (SELECT d.symbol, d.series, d.day, e.day AS m, e.ext_close FROM lt d ASOF LEFT JOIN ext e ON d.series = e.series AND d.day >= e.day),
 k AS (SELECT *, (SELECT count(*) FROM generate_series(m + 1, day, INTERVAL 1 DAY) g(x) WHERE isodow(x) < 6) AS bd FROM j)
-SELECT symbol, day, CASE WHEN bd <= 3 THEN m END AS matched_day, CASE WHEN bd <= 3 THEN ext_close END AS ext_close FROM k""")
+SELECT symbol, series, day, CASE WHEN bd <= 3 THEN m END AS matched_day, CASE WHEN bd <= 3 THEN ext_close END AS ext_close FROM k""")
 def _(t):
-    ext = t.day2().filter("symbol = '2-HIGH'").select(F.lit(1).alias("series"), "day", F.col("close").alias("ext_close"))
-    left = t.day().withColumn("series", F.lit(1))
+    ext = t.day2().select(F.col("symbol").alias("series"), "day", F.col("close").alias("ext_close"))
+    left = with_series(t.day())
     return joins.asof_business_days(left, ext, ["series"], "day", "day", ["ext_close"])
 
 
-SPAN = "span AS (SELECT event_id AS span_id, event_type AS symbol, ts AS s, ts + INTERVAL 6 HOURS AS e FROM events WHERE value > 150)"
+SPAN = "span AS (SELECT event_id AS span_id, event_type AS symbol, ts AS s, ts + INTERVAL 6 HOURS AS e FROM events)"
 
 
 @query("interval_join_agg", "span_id:i symbol any_big:i max_price:f n_ticks:i mode_volume:f", with_(TICK, SPAN) + """
@@ -93,11 +93,10 @@ m AS (SELECT span_id, first(volume ORDER BY n DESC, volume) AS mode_volume FROM
 SELECT h.span_id, symbol, max((price > 200)::INT) AS any_big, max(price) AS max_price, count(*) AS n_ticks, any_value(mode_volume) AS mode_volume
 FROM h JOIN m USING (span_id) GROUP BY 1, 2""")
 def _(t):
-    spans = t.tick().filter("price > 150").select(F.col("seq").alias("span_id"), "symbol", F.col("ts").alias("s"),
-                                                  (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("e"))
-    aggs = [F.bool_or(F.col("price") > 200).cast("int").alias("any_big"), F.max("price").alias("max_price"),
-            F.count(F.lit(1)).alias("n_ticks"), joins.mode_smallest("volume").alias("mode_volume")]
-    return joins.interval_aggregate(spans, t.tick(), ["symbol"], "s", "e", "ts", aggs, ["span_id"], unit="hour")
+    spans = t.tick().select(F.col("seq").alias("span_id"), "symbol", F.col("ts").alias("s"), (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("e"))
+    parts = {"n_ticks": (F.count(F.lit(1)), F.sum), "max_price": (F.max("price"), F.max)}
+    final = [F.max("max_price").alias("max_price"), (F.max("max_price") > 200).cast("int").alias("any_big"), F.sum("n_ticks").alias("n_ticks"), F.max_by("volume", F.struct("n_ticks", -F.col("volume"))).alias("mode_volume")]
+    return joins.interval_aggregate(spans, t.tick(), ["symbol"], "s", "e", "ts", parts, final, ["span_id"], by=["volume"])
 
 
 SPOT = "spot AS (SELECT trade_date, median(strike) AS spot FROM chain GROUP BY 1)"
@@ -119,11 +118,14 @@ SELECT g.trade_date, grid_i, level, sum(CASE WHEN strike > level THEN open_inter
 FROM g JOIN chain c USING (trade_date) GROUP BY 1, 2, 3""")
 def _(t):
     chain = t.chain()
-    grid = t.spot(chain).select("trade_date", "spot", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("grid_i")).withColumn(
-        "level", F.col("spot") * (0.95 + 0.1 * F.col("grid_i") / 20))
-    j = chain.select("trade_date", "strike", "open_interest").join(grid, "trade_date")
-    return j.groupBy("trade_date", "grid_i", "level").agg(
-        F.sum(F.when(F.col("strike") > F.col("level"), F.col("open_interest")).otherwise(0.0)).alias("oi_above"), F.count(F.lit(1)).alias("n"))
+    level = lambda i: F.col("spot") * (0.95 + 0.1 * i / 20)
+    # A contract counts for the levels below its strike, which are the first ones: only how many is summed by date.
+    below = F.size(F.filter(F.sequence(F.lit(0), F.lit(20)), lambda i: F.col("strike") > level(i)))
+    j = chain.select("trade_date", "strike", "open_interest").join(t.spot(chain), "trade_date").groupBy("trade_date", "spot", below.alias("below")).agg(F.sum("open_interest").alias("oi"), F.count(F.lit(1)).alias("n"))
+    per = j.groupBy("trade_date", "spot").agg(F.collect_list(F.struct("below", "oi")).alias("steps"), F.sum("n").alias("n"))
+    grid = per.withColumn("grid_i", F.explode(F.sequence(F.lit(0), F.lit(20))))
+    above = F.aggregate(F.filter("steps", lambda x: x["below"] > F.col("grid_i")), F.lit(0.0), lambda a, x: a + x["oi"])
+    return grid.select("trade_date", "grid_i", level(F.col("grid_i")).alias("level"), above.alias("oi_above"), "n")
 
 
 ACTIVE = "active AS (SELECT DISTINCT symbol, trading_day FROM bar WHERE high > 200)"
