@@ -30,6 +30,8 @@ class Space:
     """Arrays and queues of one sort: in memory, or in a folder of their own that goes with them."""
 
     def __init__(self, n: int, in_memory: int):
+        #: Positions take 4 bytes where they fit.
+        self.position = np.int32 if n < 2**31 else np.int64
         self.folder = tempfile.TemporaryDirectory(prefix="suffixes-") if n > in_memory else None
         self.made = 0
 
@@ -41,7 +43,7 @@ class Space:
 
     def queue(self) -> Queue:
         self.made += 1
-        return Queue(None if self.folder is None else os.path.join(self.folder.name, f"q{self.made}"))
+        return Queue(None if self.folder is None else os.path.join(self.folder.name, f"q{self.made}"), self.position)
 
     def close(self):
         if self.folder is not None:
@@ -53,14 +55,14 @@ class Queue:
 
     RECORD = np.dtype([("p", "<i8"), ("c", "u1")])
 
-    def __init__(self, path: str | None):
-        self.path, self.blocks, self.held = path, [], 0
+    def __init__(self, path: str | None, position=np.int64):
+        self.path, self.blocks, self.held, self.position = path, [], 0, position
         self.written = 0
 
     def push(self, p: np.ndarray, c: np.ndarray):
         if not len(p):
             return
-        self.blocks.append((p, c))
+        self.blocks.append((p.astype(self.position), c.copy()))
         self.held += len(p)
         if self.path is not None and self.held > QUEUE_MEMORY:
             out = np.empty(self.held, self.RECORD)
@@ -81,7 +83,7 @@ class Queue:
                 p, c = (np.concatenate(x) for x in zip(*self.blocks))
                 self.blocks, self.held = [], 0
                 for i in range(0, len(p), BLOCK):
-                    yield p[i: i + BLOCK], c[i: i + BLOCK]
+                    yield p[i: i + BLOCK].astype(np.int64), c[i: i + BLOCK]
 
 
 class Prefixes:
@@ -162,7 +164,7 @@ class Text:
 def induce(x: Text, seeds: np.ndarray, prefix: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order and common prefixes from LMS suffixes in order, with their prefixes within a symbol;
     without ``prefix`` the order alone."""
-    order, common = x.space.array(x.n, np.int64), x.space.array(x.n, np.uint8)
+    order, common = x.space.array(x.n, x.space.position), x.space.array(x.n, np.uint8)
     symbols, counts = len(x.size), np.zeros(len(x.size), np.int64)
     seed_symbol = x.t[seeds] if len(seeds) else np.zeros(0, np.int64)
     seed_at = np.searchsorted(seed_symbol, np.arange(symbols + 1))
@@ -239,10 +241,11 @@ def _sorted_lms(x: Text, length: int) -> np.ndarray:
         return lms
     by_symbol = lms[np.argsort(x.t[lms], kind="stable")]
     order, _ = induce(x, by_symbol, None)
-    place = x.space.array(x.n, np.int64)
+    place = x.space.array(x.n, x.space.position)
     place[lms] = np.arange(1, len(lms) + 1)
-    found = np.concatenate([place[order[i: i + BLOCK]] for i in range(0, x.n, BLOCK)])
-    found = found[found > 0] - 1
+    seen = (place[order[i: i + BLOCK]] for i in range(0, x.n, BLOCK))
+    found = np.concatenate([p[p > 0] for p in seen]).astype(np.int64) - 1
+    del order, place
     # Equal LMS substrings (up to and with the next LMS symbol) share a name; long ones differ by their start.
     width = np.minimum(np.append(lms[1:] + 1, x.n) - lms, length + 1)
     h = _hashes(x, lms, width)
@@ -293,6 +296,6 @@ def suffix_order(symbols: np.ndarray, length: int, in_memory: int = IN_MEMORY):
         lms = _sorted_lms(x, length)
         order, common = induce(x, lms, _prefixes(x, lms))
         for i in range(0, x.n, BLOCK):
-            yield np.array(order[i: i + BLOCK]), np.array(common[i: i + BLOCK])
+            yield np.array(order[i: i + BLOCK], np.int64), np.array(common[i: i + BLOCK])
     finally:
         space.close()
