@@ -6,10 +6,12 @@ a year), so windows partitioned by symbol stay small however many ticks stand be
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.functions.ema import with_ema
 from tickloom.functions.windows import by, clip, diff, last_rows, pct_change, rolling, running, safe_div, whole
+from tickloom.operators import scans
+from tickloom.operators.blocks import over_blocks
 
 KEYS = ("symbol",)
 
@@ -407,35 +409,21 @@ def leading_block(df: DataFrame, day="day") -> DataFrame:
 
 # --- change detection --------------------------------------------------------------------------
 
-def cusum(daily: DataFrame, column: str, drift: float = 0.5, lookback: int = 60, reset: float = 5.0, keys=KEYS, day="day") -> DataFrame:
-    """Two-sided CUSUM of rolling z-scores that restarts after exceeding ``reset``.
-
-    The reset makes the recursion order-dependent, so each symbol's daily series (bounded by
-    the calendar) is folded in one grouped pandas pass; z-scores are Spark windows.
-    """
-    w = w_day(keys, day)
+def cusum(daily: DataFrame, column: str, drift: float = 0.5, lookback: int = 60, reset: float = 5.0, keys=KEYS, day="day", block_rows: int = scans.BLOCK) -> DataFrame:
+    """Two-sided CUSUM of rolling z-scores that restarts after exceeding ``reset``: z-scores by
+    windows over blocks, the sums by a scan over blocks (``scans.resetting_sums``). A row without
+    z (the first one, or no spread) shows 0 and leaves the sums as they are."""
     half = lookback // 2
-    sd = rolling(F.stddev_samp, column, w, lookback, half)
-    z = F.when(sd >= 1e-10, (F.col(column) - rolling(F.avg, column, w, lookback, half)) / sd)
-    df = daily.select(*keys, day, F.when(F.row_number().over(w) > 1, z).alias("z"))
-
-    def fold(pdf):
-        pdf = pdf.sort_values(day, ignore_index=True)
-        pos, neg, up, dn = [], [], 0.0, 0.0
-        for z in pdf["z"].to_numpy():
-            if z != z:
-                pos.append(0.0)
-                neg.append(0.0)
-                continue
-            up, dn = max(0.0, up + z - drift), max(0.0, dn - z - drift)
-            pos.append(up)
-            neg.append(dn)
-            if max(up, dn) > reset:
-                up = dn = 0.0
-        return pdf.assign(cusum_pos=pos, cusum_neg=neg)
-
-    schema = T.StructType(df.schema.fields + [T.StructField("cusum_pos", T.DoubleType()), T.StructField("cusum_neg", T.DoubleType())])
-    out = df.groupBy(*keys).applyInPandas(fold, schema)
+
+    def z_of(w):
+        sd = rolling(F.stddev_samp, column, w, lookback, half)
+        z = F.when(sd >= 1e-10, (F.col(column) - rolling(F.avg, column, w, lookback, half)) / sd)
+        return [{"z": F.when(F.col("_pos") > 0, z), "_at": F.col("_pos")}]
+
+    src = daily.select(*keys, day, F.col(column).cast("double"), F.year(day).alias("_year"))
+    df = over_blocks(src, keys, "_year", day, lookback, z_of).select(*keys, day, "_at", "z")
+    out = scans.resetting_sums(df, keys, "_at", "z", drift, reset, block_rows)
+    out = out.select(*keys, day, "z", F.col("up").alias("cusum_pos"), F.col("down").alias("cusum_neg"))
     return out.withColumn("cusum_score", F.greatest("cusum_pos", "cusum_neg") / reset)
 
 

@@ -7,9 +7,10 @@ pairs, and one shuffle per series block.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.functions.windows import DAY_KEYS, by, last_rows, safe_div, whole
+from tickloom.operators import scans
 from tickloom.operators.blocks import over_series
 
 PATH = ("high", "low", "close")
@@ -273,40 +274,11 @@ def micro_regime(daily: DataFrame, threshold: float = 0.003, keys=("symbol",), d
     return daily.withColumn("micro_regime", F.when(nxt.isNull(), -1).when(nxt > threshold, 2).when(nxt < -threshold, 0).otherwise(1))
 
 
-def zigzag(daily: DataFrame, threshold: float = 0.05, keys=("symbol",), day="day") -> DataFrame:
-    """Turning points where price has reversed by ``threshold``: kind peak or trough.
-
-    Confirmation depends on everything since the last turn, so each symbol's daily closes
-    (bounded by the calendar) are walked once in a grouped pandas pass.
-    """
-    src = daily.select(*keys, day, "close")
-    schema = T.StructType([f for f in src.schema.fields] + [T.StructField("kind", T.StringType()), T.StructField("turn_no", T.IntegerType())])
-
-    def walk(pdf):
-        pdf = pdf.sort_values(day, ignore_index=True)
-        px = pdf["close"].to_numpy()
-        turns, hi, lo, seek, i = [], 0, 0, 0, 0
-        while i + 1 < len(px):
-            i += 1
-            if seek >= 0 and px[i] > px[hi]:
-                hi = i
-            if seek <= 0 and px[i] < px[lo]:
-                lo = i
-            first = seek == 0
-            if seek <= 0 and px[i] / px[lo] - 1.0 >= threshold:
-                turns.append((lo, "trough"))
-                seek, hi = 1, i
-            elif seek >= 0 and 1.0 - px[i] / px[hi] >= threshold:
-                turns.append((hi, "peak"))
-                seek, lo = -1, i
-            if first and turns:
-                i = turns[0][0]  # the walk resumes right after the first turn
-        out = pdf.iloc[[i for i, _ in turns]].copy()
-        out["kind"] = [k for _, k in turns]
-        out["turn_no"] = range(1, len(turns) + 1)
-        return out.astype({"turn_no": "int32"})
-
-    return src.groupBy(*keys).applyInPandas(walk, schema)
+def zigzag(daily: DataFrame, threshold: float = 0.05, keys=("symbol",), day="day", block_rows: int = scans.BLOCK) -> DataFrame:
+    """Turning points where price has reversed by ``threshold``: kind peak or trough. After the
+    first turn the walk resumes right behind it with the confirming row as its extreme. Runs as a
+    scan over blocks (``scans.turning_points``)."""
+    return scans.turning_points(daily, keys, F.year(day), day, "close", threshold, block_rows)
 
 
 def pct_regime(daily: DataFrame, detect: float = 0.05, bull: float = 0.10, bear: float = 0.07, keys=("symbol",), day="day") -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tickloom.functions.windows import by, clip, safe_div
-from tickloom.operators import selection as sl
+from tickloom.functions.windows import by, clip, diff, safe_div
+from tickloom.operators import scans, selection as sl
+from tickloom.operators.blocks import over_blocks
 
 
 def fit_stats(df: DataFrame, columns, keys=()) -> DataFrame:
@@ -110,40 +111,30 @@ def day_clusters(df: DataFrame, features, k: int = 4, seed: int = 42) -> DataFra
     return model.transform(scaled).drop("_raw", "_x", "probability")
 
 
-def wilder_rsi_adx(daily: DataFrame, period: int = 14, keys=("symbol",), day: str = "day") -> DataFrame:
-    """Wilder's RSI and ADX. The smoothing is a recursion without a finite window, so a
-    symbol's daily series (bounded by the calendar) is walked in one grouped pandas pass."""
-    src = daily.select(*keys, day, "high", "low", "close")
-    schema = T.StructType(src.schema.fields + [T.StructField("rsi", T.DoubleType()), T.StructField("adx", T.DoubleType())])
-
-    def walk(pdf):
-        import numpy as np
-        pdf = pdf.sort_values(day, ignore_index=True)
-        h, l, c = (pdf[x].to_numpy(float) for x in ("high", "low", "close"))
-        n = len(c)
-        rsi, adx = np.full(n, np.nan), np.full(n, np.nan)
-        d = np.diff(c)
-        up, dn = np.maximum(d, 0), np.maximum(-d, 0)
-        tr = np.maximum.reduce([h[1:] - l[1:], np.abs(h[1:] - c[:-1]), np.abs(l[1:] - c[:-1])])
-        hm, lm = np.diff(h), -np.diff(l)
-        pdm, ndm = np.where((hm > lm) & (hm > 0), hm, 0.0), np.where((lm > hm) & (lm > 0), lm, 0.0)
-        if n > period:
-            g, s = up[:period].mean(), dn[:period].mean()
-            t, p, m = tr[:period].sum(), pdm[:period].sum(), ndm[:period].sum()
-            dx = []
-            for i in range(period, n):
-                if i > period:
-                    g, s = (g * (period - 1) + up[i - 1]) / period, (s * (period - 1) + dn[i - 1]) / period
-                    t, p, m = t - t / period + tr[i - 1], p - p / period + pdm[i - 1], m - m / period + ndm[i - 1]
-                rsi[i] = 100.0 * g / (g + s) if g + s > 0 else 50.0
-                pi, mi = (p / t, m / t) if t > 0 else (0.0, 0.0)
-                dx.append(100.0 * abs(pi - mi) / (pi + mi) if pi + mi > 0 else 0.0)
-                if len(dx) == period:
-                    adx[i] = np.mean(dx)
-                elif len(dx) > period:
-                    adx[i] = (adx[i - 1] * (period - 1) + dx[-1]) / period
-        # Arrow turns NaN of a pandas column into null
-        return pdf.assign(rsi=rsi, adx=adx)
-
-    return src.groupBy(*keys).applyInPandas(walk, schema).withColumns(
-        {"rsi": F.coalesce("rsi", F.lit(50.0)), "adx": F.coalesce("adx", F.lit(0.0))})
+def wilder_rsi_adx(daily: DataFrame, period: int = 14, keys=("symbol",), day: str = "day", block_rows: int = scans.BLOCK) -> DataFrame:
+    """Wilder's RSI and ADX. Both smoothings are y = a y + b, where a is 1 while the first
+    ``period`` values are summed and (period - 1) / period from then on, so they run as scans over
+    blocks (``scans.affine``). RSI is 50 and ADX 0 until enough rows; missing prices add nothing."""
+    decay = (period - 1) / period
+    smooth = lambda since: F.when(F.col("_at") < since, 1.0).otherwise(decay)
+
+    def moves(w):
+        up, down = diff("high", w), -diff("low", w)
+        change, before = diff("close", w), F.lag("close").over(w)
+        ranges = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
+        return [{
+            "_at": F.col("_pos"), "_u": F.greatest(change, F.lit(0.0)) / period, "_d": F.greatest(-change, F.lit(0.0)) / period,
+            "_r": F.when(F.col("_pos") > 0, ranges), "_p": F.when((up > down) & (up > 0), up), "_n": F.when((down > up) & (down > 0), down),
+        }]
+
+    src = daily.select(*keys, day, *[F.col(c).cast("double").alias(c) for c in ("high", "low", "close")], F.year(day).alias("_year"))
+    df = over_blocks(src, keys, "_year", day, 1, moves).drop("_year").withColumn("_a", smooth(period + 1))
+    df = scans.affine(df, keys, "_at", "_a", {"_g": "_u", "_s": "_d", "_tr": "_r", "_pm": "_p", "_nm": "_n"}, block_rows)
+    plus, minus = (F.coalesce(F.when(F.col("_tr") > 0, F.col(c) / F.col("_tr")), F.lit(0.0)) for c in ("_pm", "_nm"))
+    dx = F.coalesce(100.0 * safe_div(F.abs(plus - minus), plus + minus), F.lit(0.0))
+    ready = F.col("_at") >= period
+    df = df.select(*keys, day, "high", "low", "close", "_at", F.when(ready, 100.0 * safe_div(F.col("_g"), F.col("_g") + F.col("_s"))).alias("_rsi"),
+                   F.when(ready, dx / period).alias("_dx"), smooth(2 * period).alias("_a"))
+    df = scans.affine(df, keys, "_at", "_a", {"_adx": "_dx"}, block_rows)
+    return df.select(*keys, day, "high", "low", "close", F.coalesce("_rsi", F.lit(50.0)).alias("rsi"),
+                     F.when(F.col("_at") >= 2 * period - 1, F.col("_adx")).otherwise(0.0).alias("adx"))
