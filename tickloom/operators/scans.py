@@ -22,11 +22,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def in_blocks(placed: DataFrame, keys, at: str, columns, block_rows: int = BLOCK) -> DataFrame:
+def in_blocks(placed: DataFrame, keys, at: str, columns, block_rows: int = BLOCK, also=()) -> DataFrame:
     """One row per block: its keys, ``block`` and ``rows``, structs of ``columns`` in order of
-    the position column ``at``."""
+    the position column ``at``; ``also`` are further aggregates."""
     rows = F.sort_array(F.collect_list(F.struct(at, *[c for c in columns if c != at and c not in keys])))
-    return placed.groupBy(*keys, F.floor(F.col(at) / block_rows).alias("block")).agg(rows.alias("rows"))
+    return placed.groupBy(*keys, F.floor(F.col(at) / block_rows).alias("block")).agg(rows.alias("rows"), *also)
 
 
 def with_start(blocks: DataFrame, keys, first: Column, summary: Column, apply) -> DataFrame:
@@ -187,9 +187,9 @@ def turning_points(df: DataFrame, keys, bucket: Column, order: str, price: str,
     firsts = seen.filter(up | down).groupBy(*keys).agg(F.min_by(confirmed, "_at").alias("_first"))
     rest = join_keys(placed, firsts, keys)
     opening = rest.filter(F.col("_at") == F.col("_first.back")).select(
-        *keys, "_bucket", F.col("_at").alias("_no"), F.col("_o"), F.col("_px"), F.when(F.col("_first.state.side") == 1, "trough").otherwise("peak").alias("kind"))
-    blocks = in_blocks(rest.filter(F.col("_at") > F.col("_first.back")), keys, "_at", ["_px", "_o", "_bucket"], block_rows)
-    blocks = join_keys(blocks, firsts, keys)
+        *keys, F.col("_at").alias("_no"), F.col("_o"), F.col("_px"), F.when(F.col("_first.state.side") == 1, "trough").otherwise("peak").alias("kind"))
+    # all rows of a series carry the same first turn
+    blocks = in_blocks(rest.filter(F.col("_at") > F.col("_first.back")), keys, "_at", ["_px", "_o"], block_rows, [F.first("_first").alias("_first")])
 
     def summary(side: int):
         """The block's own extreme on ``side``, the rows whose price is a new bound against the
@@ -223,13 +223,14 @@ def turning_points(df: DataFrame, keys, bucket: Column, order: str, price: str,
         return let(F.when(s["side"] == 1, both["_up"]).otherwise(both["_down"]), over)
 
     def turn(s, r):
-        return F.array(F.struct(r["_bucket"].alias("_bucket"), r["_at"].alias("_no"), s["o"].alias("_o"), s["px"].alias("_px"), F.when(s["side"] == 1, "peak").otherwise("trough").alias("kind")))
+        return F.array(F.struct(r["_at"].alias("_no"), s["o"].alias("_o"), s["px"].alias("_px"), F.when(s["side"] == 1, "peak").otherwise("trough").alias("kind")))
 
     blocks = blocks.withColumns({"_up": summary(1), "_down": summary(-1)})
     started = with_start(blocks, keys, F.first("_first.state"), F.struct(mapped("_up", 1), mapped("_down", -1)), apply)
     none = F.flatten(F.transform(F.slice("rows", 1, 0), lambda r: turn(F.col("start"), r)))
     turns = unroll("rows", F.col("start"), none, step, lambda s, before, r: F.when(s["side"] != before["side"], turn(before, r)).otherwise(none))
-    # numbered by the rows that confirm them; the first turn by itself, before the rows that follow it
+    # numbered by the rows that confirm them, the first turn by itself: it lies before the rows that
+    # follow it; only turns meet in this window
     found = opening.unionByName(started.select(*keys, F.inline(turns)))
-    found = with_position(found, keys, "_bucket", "_no", "_turn")
-    return found.select(*keys, F.col("_o").alias(order), F.col("_px").alias(price), "kind", (F.col("_turn") + 1).cast("int").alias("turn_no"))
+    number = F.row_number().over(by(keys, "_no")).cast("int")
+    return found.select(*keys, F.col("_o").alias(order), F.col("_px").alias(price), "kind", number.alias("turn_no"))
