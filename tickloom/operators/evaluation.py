@@ -347,6 +347,34 @@ def vol_regime_bucket(daily: DataFrame, column: str, keys=("symbol",), low: floa
     return daily.join(q, list(keys)).withColumn("vol_regime", F.when(c <= F.col("_lo"), "low").when(c >= F.col("_hi"), "high").otherwise("mid")).drop("_lo", "_hi")
 
 
+def range_asymmetry(daily: DataFrame, column: str, predicted: DataFrame | None = None, keys=("symbol",), day: str = "day", low: float = 0.2, high: float = 0.8, least: int = 10, least_predicted: int = 5) -> DataFrame:
+    """Room above and below the previous close, realized and, where ``predicted`` (keys, day,
+    pred_high, pred_low) is given, predicted: one row per series, source and regime with n,
+    avg_upside, avg_downside and bias = avg_downside - avg_upside.
+
+    Regimes are low_vol and high_vol strictly beyond the series' quantiles of ``column``, normal
+    otherwise (also where it is missing), and all. Regimes of fewer than ``least`` (or
+    ``least_predicted``) days are left out, all is not. n counts days, the averages those with a
+    previous close.
+    """
+    keys = list(keys)
+    q = daily.groupBy(*keys).agg(F.percentile(column, low).alias("_lo"), F.percentile(column, high).alias("_hi"))
+    c = F.col(column)
+    regime = F.when(c < F.col("_lo"), "low_vol").when(c > F.col("_hi"), "high_vol").otherwise("normal")
+    df = daily.withColumn("_pc", F.lag("close").over(by(keys, day))).join(q, keys).withColumn("_regime", regime)
+    sides = lambda source, top, bottom: F.struct(F.lit(source).alias("source"), (F.col(top) - F.col("_pc")).alias("up"), (F.col("_pc") - F.col(bottom)).alias("down"))
+    sources = [sides("realized", "high", "low")]
+    if predicted is not None:
+        df = df.join(predicted.select(*keys, day, F.lit(True).alias("_given"), "pred_high", "pred_low"), [*keys, day], "left")
+        sources.append(F.when(F.col("_given"), sides("predicted", "pred_high", "pred_low")))
+    # two sources and two regimes a day at most, summed where they arise
+    long = df.select(*keys, "_regime", F.explode(F.array(*sources)).alias("_s")).filter(F.col("_s").isNotNull())
+    long = long.select(*keys, "_s.*", F.explode(F.array(F.lit("all"), F.col("_regime"))).alias("regime"))
+    out = long.groupBy(*keys, "source", "regime").agg(F.count(F.lit(1)).alias("n"), F.avg("up").alias("avg_upside"), F.avg("down").alias("avg_downside"))
+    enough = F.col("n") >= F.when(F.col("source") == "realized", least).otherwise(least_predicted)
+    return out.filter((F.col("regime") == "all") | enough).withColumn("bias", F.col("avg_downside") - F.col("avg_upside"))
+
+
 def feature_correlations(df: DataFrame, features, target: str) -> DataFrame:
     """Pearson correlation of each feature with the target, in one aggregate."""
     one = df.agg(*[_corr(f, target).alias(f) for f in features])

@@ -243,6 +243,40 @@ def predicted_range_attach(bars: DataFrame, ranges: DataFrame, keys=DAY_KEYS) ->
     return df.withColumns({"pred_width": zero(width), "pred_pos": zero(safe_div(F.col("close") - F.col("pred_low"), width)), "pred_high": zero(F.col("pred_high")), "pred_low": zero(F.col("pred_low"))})
 
 
+def first_of_week(ranges: DataFrame, keys=("symbol",), day: str = "trading_day") -> DataFrame:
+    """The range predicted on a week's first row, for every day of that week that has one."""
+    week = F.to_date(F.date_trunc("week", day))
+    first = F.min_by(F.struct("pred_high", "pred_low"), day)
+    return ranges.groupBy(*keys, week.alias("week")).agg(first.alias("_r")).select(*keys, "week", "_r.pred_high", "_r.pred_low")
+
+
+def predicted_ranges_attach(bars: DataFrame, daily: DataFrame, weekly: DataFrame | None = None, rth: DataFrame | None = None, keys=("symbol",), day: str = "trading_day") -> DataFrame:
+    """Predicted ranges of several horizons on the bars, each given as (keys, day, pred_high, pred_low).
+
+    Adds pred_range_high, _low, _width, _pos with the suffix daily; width and position with the
+    suffix weekly, from the prediction of the week's first row (``first_of_week``); and
+    pred_rth_high, _low, _width. A bar without a prediction has zeros. The position in a range
+    without width is 0 for the day and 0.5 for the week.
+    """
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+
+    def attach(df, ranges, on):
+        return df.join(ranges.select(*on, F.col("pred_high").alias("_high"), F.col("pred_low").alias("_low")), on, "left")
+
+    high, low = F.col("_high"), F.col("_low")
+    width, keys = high - low, list(keys)
+    df = attach(bars, daily, [*keys, day])
+    df = df.withColumns({"pred_range_high_daily": zero(high), "pred_range_low_daily": zero(low), "pred_range_width_daily": zero(width), "pred_range_pos_daily": zero(safe_div(F.col("close") - low, width))}).drop("_high", "_low")
+    if weekly is not None:
+        df = attach(df.withColumn("week", F.to_date(F.date_trunc("week", day))), first_of_week(weekly, keys, day), [*keys, "week"])
+        pos = F.when(width > 0, (F.col("close") - low) / width).when(width.isNotNull(), 0.5)
+        df = df.withColumns({"pred_range_width_weekly": zero(width), "pred_range_pos_weekly": zero(pos)}).drop("_high", "_low", "week")
+    if rth is not None:
+        df = attach(df, rth, [*keys, day])
+        df = df.withColumns({"pred_rth_high": zero(high), "pred_rth_low": zero(low), "pred_rth_width": zero(width)}).drop("_high", "_low")
+    return df
+
+
 def swing_points(daily: DataFrame, lookback: int = 10, keys=("symbol",), day="day") -> DataFrame:
     """Highs and lows that are the extreme of ``lookback`` rows on both sides."""
     w = by(keys, day)

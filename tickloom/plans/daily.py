@@ -330,3 +330,20 @@ FROM y a JOIN y b ON a.symbol = b.symbol AND b.rn <= 500 GROUP BY 1, 2, 3""")
 def _(t):
     d = with_anomaly(t).withColumns({"g": (F.col("high") - F.col("low")) / F.col("close"), "v": F.col("volume")})
     return dl.robust_anomaly_score(d, ["r", "g", "v"], 500)
+
+
+def _fit(c):
+    return f"quantile_disc({c}, .5) AS m_{c}, quantile_disc({c}, .75) - quantile_disc({c}, .25) AS i_{c}"
+
+
+@query("walk_forward_anomaly", S + "fold:i anomaly_score:f anomaly_label:i anomaly_percentile:f", with_(DAY, RET) + f"""
+, f AS (SELECT symbol, day, r, (high - low) / close AS g, volume AS v, row_number() OVER ({P}) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM rt),
+b AS (SELECT *, k AS fold, 500 + k * ((n - 500) // 4) AS te, CASE WHEN k = 3 THEN n ELSE 500 + (k + 1) * ((n - 500) // 4) END AS xe FROM f, generate_series(0, 3) t(k)),
+st AS (SELECT symbol, fold, {_fit('r')}, {_fit('g')}, {_fit('v')} FROM b WHERE i < te GROUP BY 1, 2),
+x AS (SELECT b.*, (0 + coalesce(abs(r - m_r) / nullif(i_r, 0), 0) + coalesce(abs(g - m_g) / nullif(i_g, 0), 0) + coalesce(abs(v - m_v) / nullif(i_v, 0), 0)) / 3 AS raw FROM b JOIN st USING (symbol, fold)),
+a AS (SELECT symbol, fold, min(raw) AS lo, max(raw) AS hi, quantile_disc(raw, .95) AS lim, quantile_disc(raw, [x / 1024 for x in range(1, 1025)]) AS grid FROM x WHERE i < te GROUP BY 1, 2)
+SELECT symbol, day, fold, coalesce(greatest(least((raw - lo) / nullif(hi - lo, 0), 1), 0), 0) AS anomaly_score, (raw > lim)::INT AS anomaly_label, len(list_filter(grid, lambda g: g <= raw)) / 1024 AS anomaly_percentile
+FROM x JOIN a USING (symbol, fold) WHERE i >= te AND i < xe""")
+def _(t):
+    d = with_anomaly(t).withColumns({"g": (F.col("high") - F.col("low")) / F.col("close"), "v": F.col("volume")})
+    return dl.walk_forward_anomaly(d, ["r", "g", "v"], 4, 500)

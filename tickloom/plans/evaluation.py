@@ -194,6 +194,18 @@ def _(t):
     return ev.vol_regime_bucket(dl.atr(t.day(), 14), "atr_14")
 
 
+@query("range_asymmetry", "symbol source regime n:i avg_upside:f avg_downside:f bias:f", with_(DAY, atr_sql("a14", "day", 14)) + f"""
+, q AS (SELECT symbol, quantile_cont(atr, .2) AS lo, quantile_cont(atr, .8) AS hi FROM a14 GROUP BY 1),
+d AS (SELECT symbol, day, CASE WHEN atr < lo THEN 'low_vol' WHEN atr > hi THEN 'high_vol' ELSE 'normal' END AS regime, {lag('close')} AS pc, {lag('high')} AS ph, {lag('low')} AS pl, high, low FROM a14 JOIN q USING (symbol)),
+s AS (SELECT symbol, regime, 'realized' AS source, high - pc AS up, pc - low AS down, 10 AS least FROM d UNION ALL SELECT symbol, regime, 'predicted', ph - pc, pc - pl, 5 FROM d WHERE ph IS NOT NULL),
+r AS (SELECT * FROM s UNION ALL SELECT symbol, 'all', source, up, down, 0 FROM s)
+SELECT symbol, source, regime, count(*) AS n, avg(up) AS avg_upside, avg(down) AS avg_downside, avg(down) - avg(up) AS bias FROM r GROUP BY 1, 2, 3 HAVING count(*) >= max(least)""")
+def _(t):
+    w = by(("symbol",), "day")
+    guess = t.day().select("symbol", "day", F.lag("high").over(w).alias("pred_high"), F.lag("low").over(w).alias("pred_low")).filter("pred_high IS NOT NULL")
+    return ev.range_asymmetry(dl.atr(t.day(), 14), "atr_14", guess)
+
+
 # --- scores -----------------------------------------------------------------------------------------
 
 AUC = """

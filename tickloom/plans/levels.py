@@ -359,6 +359,21 @@ def _(t):
     return lb.predicted_range_attach(t.bar(), r)
 
 
+@query("predicted_ranges_attach", "symbol dt:t pred_range_high_daily:f pred_range_low_daily:f pred_range_width_daily:f pred_range_pos_daily:f pred_range_width_weekly:f pred_range_pos_weekly:f pred_rth_high:f pred_rth_low:f pred_rth_width:f", with_(BAR, PREV) + """
+, rp AS (SELECT symbol, trading_day, lag(h) OVER w AS rh, lag(l) OVER w AS rl FROM (SELECT symbol, trading_day, max(high) AS h, min(low) AS l FROM bar WHERE minute BETWEEN 390 AND 779 GROUP BY 1, 2) WINDOW w AS (PARTITION BY symbol ORDER BY trading_day)),
+lw AS (SELECT symbol, date_trunc('week', trading_day) AS week, trading_day, max(dh) OVER w AS h, min(dl) OVER w AS l FROM pd WINDOW w AS (PARTITION BY symbol ORDER BY trading_day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
+fw AS (SELECT symbol, week, h AS wh, l AS wl FROM lw QUALIFY row_number() OVER (PARTITION BY symbol, week ORDER BY trading_day) = 1)
+SELECT b.symbol, b.dt, coalesce(prev_high, 0) AS pred_range_high_daily, coalesce(prev_low, 0) AS pred_range_low_daily, coalesce(prev_high - prev_low, 0) AS pred_range_width_daily, coalesce((close - prev_low) / nullif(prev_high - prev_low, 0), 0) AS pred_range_pos_daily,
+ coalesce(wh - wl, 0) AS pred_range_width_weekly, coalesce(CASE WHEN wh > wl THEN (close - wl) / (wh - wl) WHEN wh IS NOT NULL THEN .5 END, 0) AS pred_range_pos_weekly, coalesce(rh, 0) AS pred_rth_high, coalesce(rl, 0) AS pred_rth_low, coalesce(rh - rl, 0) AS pred_rth_width
+FROM bar b LEFT JOIN prev USING (symbol, trading_day) LEFT JOIN rp USING (symbol, trading_day) LEFT JOIN fw ON fw.symbol = b.symbol AND fw.week = date_trunc('week', b.trading_day)""")
+def _(t):
+    days = t.bar().groupBy("symbol", "trading_day").agg(F.max("high").alias("high"), F.min("low").alias("low"))
+    before = by(("symbol",), "trading_day").rowsBetween(-5, -1)
+    weekly = days.select("symbol", "trading_day", F.max("high").over(before).alias("pred_high"), F.min("low").over(before).alias("pred_low"))
+    spans = {"pred_high": F.max("high"), "pred_low": F.min("low")}
+    return lb.predicted_ranges_attach(t.bar(), it.daily_shifted(t.bar(), spans), weekly, it.daily_shifted(t.bar(), spans, where=F.col("minute").between(390, 779)))
+
+
 SWING = f"sw AS (SELECT *, CASE WHEN count(*) OVER f = 21 AND high = max(high) OVER f THEN 1 ELSE 0 END AS swing_high, CASE WHEN count(*) OVER f = 21 AND low = min(low) OVER f THEN 1 ELSE 0 END AS swing_low FROM day WINDOW f AS ({P} ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING))"
 
 
