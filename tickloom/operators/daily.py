@@ -427,6 +427,12 @@ def cusum(daily: DataFrame, column: str, drift: float = 0.5, lookback: int = 60,
     return out.withColumn("cusum_score", F.greatest("cusum_pos", "cusum_neg") / reset)
 
 
+def cusum_columns(daily: DataFrame, keys=KEYS, day="day") -> DataFrame:
+    """``cusum`` of the daily return, beside the other columns."""
+    r = daily.withColumn("_r", F.coalesce(pct_change("close", w_day(keys, day)), F.lit(0.0)))
+    return join_keys(daily, cusum(r, "_r", keys=keys, day=day).drop("z"), [*keys, day])
+
+
 def ewma_z(daily: DataFrame, column: str, span: int = 20, baseline: int = 252, keys=KEYS, day="day") -> DataFrame:
     w = w_day(keys, day)
     df = with_ema(daily, {"ewma_value": (column, span, span // 2)}, keys, day)

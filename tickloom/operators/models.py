@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.functions.windows import by, clip, diff, safe_div
-from tickloom.operators import scans, selection as sl
+from tickloom.operators import folds, scans, selection as sl
 from tickloom.operators.blocks import over_blocks
 
 
@@ -90,17 +90,17 @@ def width_formula_multi(df: DataFrame, features, y: str, n_folds: int = 5, min_t
 
 def fold_models(df: DataFrame, features, label: str, n_folds: int = 3, min_train: int = 500, keys=("symbol",), day: str = "day", trees: int = 20, depth: int = 4) -> DataFrame:
     """Walk-forward random forests: class and probabilities of every test row. Each fit is a
-    distributed MLlib job over all series; the loop is over folds, a handful by design."""
-    folds = sl.walk_forward_folds(df.select(*keys, day), n_folds, min_train, keys, day)
-    data = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip").transform(df.select(*keys, day, *features, F.col(label).cast("double").alias("_y")))
-    data = data.join(folds, [*keys, day])
-    out = None
-    for f in range(n_folds):
-        part = data.filter(F.col("fold") == f)
-        model = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=42).fit(part.filter(F.col("role") == "train"))
-        p = model.transform(part.filter(F.col("role") == "test")).select(*keys, day, "fold", F.col("_y").cast("int").alias("actual"), F.col("prediction").cast("int").alias("predicted"), vector_to_array("probability").alias("probability"))
-        out = p if out is None else out.unionByName(p)
-    return out
+    distributed MLlib job over all series (``folds.fold_fit``)."""
+    cut = sl.walk_forward_folds(df.select(*keys, day), n_folds, min_train, keys, day)
+    data = df.select(*keys, day, *features, F.col(label).cast("double").alias("_y"))
+    vector = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip")
+
+    def fit(train):
+        model = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=42).fit(vector.transform(train))
+        return lambda test: model.transform(vector.transform(test)).select(
+            *keys, day, "fold", F.col("_y").cast("int").alias("actual"), F.col("prediction").cast("int").alias("predicted"), vector_to_array("probability").alias("probability"))
+
+    return folds.fold_fit(data, cut, n_folds, fit, keys, day)
 
 
 def day_clusters(df: DataFrame, features, k: int = 4, seed: int = 42) -> DataFrame:

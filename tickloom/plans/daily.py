@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.functions.windows import by, pct_change
-from tickloom.operators import daily as dl, joins
+from tickloom.operators import daily as dl, folds, joins, selection as sl
 from tickloom.plans.adapters import DAY, DAY2, with_, with_series
 from tickloom.plans.catalog import query
 from tickloom.plans.sqlkit import P, TR, YEAR, atr_sql, ema_sql, lag, pair, pct, roll, rsi_sql, z0
@@ -347,3 +347,21 @@ FROM x JOIN a USING (symbol, fold) WHERE i >= te AND i < xe""")
 def _(t):
     d = with_anomaly(t).withColumns({"g": (F.col("high") - F.col("low")) / F.col("close"), "v": F.col("volume")})
     return dl.walk_forward_anomaly(d, ["r", "g", "v"], 4, 500)
+
+
+@query("fold_lines", S + "fold:i pred:f n_train:i", with_(DAY, RET) + f"""
+, f AS (SELECT symbol, day, r, (high - low) / close AS g, row_number() OVER ({P}) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM rt),
+b AS (SELECT *, k AS fold, 500 + k * ((n - 500) // 4) AS te, CASE WHEN k = 3 THEN n ELSE 500 + (k + 1) * ((n - 500) // 4) END AS xe FROM f, generate_series(0, 3) t(k)),
+m AS (SELECT symbol, fold, regr_slope(g, abs(r)) AS s, regr_intercept(g, abs(r)) AS c, count(*) AS n_train FROM b WHERE i < te GROUP BY 1, 2)
+SELECT symbol, day, fold, c + s * abs(r) AS pred, n_train FROM b JOIN m USING (symbol, fold) WHERE i >= te AND i < xe""")
+def _(t):
+    d = with_anomaly(t).select("symbol", "day", F.abs("r").alias("x"), ((F.col("high") - F.col("low")) / F.col("close")).alias("y"))
+
+    def line(train, test):
+        dx = train["x"] - train["x"].mean()
+        slope = (dx * (train["y"] - train["y"].mean())).sum() / (dx * dx).sum()
+        pred = train["y"].mean() + slope * (test["x"] - train["x"].mean())
+        return test.assign(pred=pred, n_train=len(train))[["symbol", "day", "fold", "pred", "n_train"]]
+
+    cut = sl.walk_forward_folds(d.select("symbol", "day"), 4, 500)
+    return folds.fold_apply(d, cut, line, "symbol string, day date, fold int, pred double, n_train long")
