@@ -122,12 +122,12 @@ SELECT symbol, dt, s / 10 AS vol_at_level, s / tot AS vol_at_level_pct, (s / gre
  CASE WHEN nb > 2 AND m2 > 1e-18 THEN m3 / pow(m2, 1.5) ELSE 0 END AS profile_skew_at_level, abs(poc - lv) AS poc_distance, bl AS bid_vol_at_level, al AS ask_vol_at_level, bl - al AS delta_at_level, coalesce((bl - al) / nullif(bl + al, 0), 0) AS delta_at_level_z,
  vi AS vol_into_level, volume AS vol_at_rejection_bar, vr AS vol_ratio_rejection, di AS delta_into_level, (di * d < 0)::INT AS delta_flip_at_level FROM rn JOIN fl USING (symbol, dt) JOIN rf USING (symbol, dt) LEFT JOIN re USING (symbol, dt)""")
 def _(t):
-    return pf.profile_at_level(it.vwap_running(t.bar()), "vwap", S, 10.0)
+    return pf.profile_at_level(it.vwap_running(t.bar()), "vwap", S, 10.0, columns=[c for c in pf.RUNNING if c not in pf.SEARCHED])
 
 
 @query("hvn_lvn_distance", "symbol dt:t nearest_hvn_dist:f nearest_lvn_dist:f", with_(BAR, VWAP, RUNP) + "SELECT symbol, dt, hvn AS nearest_hvn_dist, lvn AS nearest_lvn_dist FROM rn")
 def _(t):
-    return pf.running_profile(it.vwap_running(t.bar()), "vwap", S, 10.0)
+    return pf.running_profile(it.vwap_running(t.bar()), "vwap", S, 10.0, columns=["nearest_hvn_dist", "nearest_lvn_dist"])
 
 
 RVA = """
@@ -141,7 +141,7 @@ rvf AS (SELECT symbol, dt, any_value(lv) AS lv, (any_value(lo + pi) - .5) * 5 AS
 
 @query("profile_va_contains", "symbol dt:t va_contains_level:i running_poc:f running_va_low:f running_va_high:f", REC(BAR, VWAP, RUNP, RVA) + "SELECT symbol, dt, (lv BETWEEN lo_px AND hi_px)::INT AS va_contains_level, poc AS running_poc, lo_px AS running_va_low, hi_px AS running_va_high FROM rvf")
 def _(t):
-    return pf.running_profile(it.vwap_running(t.bar()), "vwap", S, 10.0)
+    return pf.running_profile(it.vwap_running(t.bar()), "vwap", S, 10.0, columns=["va_contains_level", "running_poc", "running_va_low", "running_va_high"])
 
 
 @query("composite_profile", K + "bin:i w:f", with_(BAR, PROF) + """
@@ -265,7 +265,7 @@ def _(t):
     s = pf.day_profile_summary(t.bar(), S)
     prior = s.select("symbol", "trading_day", *[F.lag(c).over(w).alias(f"p_{c}") for c in ("close", "poc", "va_low", "va_high", "range")])
     m = pf.day_minute_features(t.bar(), prior, ib=20, ranges=(5, 15))
-    r = pf.running_profile(t.bar(), "close", S, 10.0).select("symbol", "dt", "running_poc", "running_va_low", "running_va_high")
+    r = pf.running_profile(t.bar(), "close", S, 10.0, columns=["running_poc", "running_va_low", "running_va_high"]).drop("trading_day")
     lo = F.col("close") - F.col("price_in_range") * F.col("running_range")
     j = m.join(r, ["symbol", "dt"]).withColumns({"poc_rel": (F.col("running_poc") - lo) / F.col("running_range"), "va_width_rel": (F.col("running_va_high") - F.col("running_va_low")) / F.col("running_range")})
     return pf.early_trend_score(j)
@@ -289,7 +289,7 @@ ev1 AS (SELECT ev0.*, bin - lo >= least(greatest(ceil((level_price - 10) / 5 - .
 SELECT symbol, dt, level, level_price, coalesce(sum(w) FILTER (near), 0) / 10 AS vol_at_level, coalesce(sum(w) FILTER (near), 0) / sum(w) AS vol_at_level_pct, abs(first((bin + .5) * 5 ORDER BY w DESC, bin) - level_price) AS poc_distance FROM ev1 GROUP BY 1, 2, 3, 4""")
 def _(t):
     ev = lv.breakout_triggers(leveled(t)).select("symbol", "dt", "level", "level_price").distinct()
-    return pf.event_feature_lookup(ev, t.bar(), S, 10.0)
+    return pf.event_feature_lookup(ev, t.bar(), S, 10.0, columns=["vol_at_level", "vol_at_level_pct", "poc_distance"])
 
 
 DVP = """

@@ -13,6 +13,8 @@ JOB_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Reading the Python stack for each column call takes longer than planning a wide query; errors then lack the Python line.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
