@@ -243,6 +243,19 @@ def test_intervals_by_nodes_equal_plain_joins(spark):
         assert got[i] == want, (i, s, e)
 
 
+
+def test_nodes_of_intervals_are_not_broadcast(spark, tmp_path):
+    """A file of intervals is small, their nodes are thirty times as many."""
+    spark.range(2000).selectExpr("id", "'A' AS k", "timestamp_seconds(1704067200 + id) AS s", "timestamp_seconds(1704088800 + id) AS e", "double(id % 3) AS p").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    parts = {"n": (F.count(F.lit(1)), F.sum)}
+    out = joins.interval_aggregate(df.select("id", "k", "s", "e"), df.select("k", F.col("s").alias("ts"), "p"), ["k"], "s", "e", "ts", parts, [F.sum("n").alias("n")], ["id"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    nodes = plan[plan.index("Union"):]
+    assert "BroadcastHashJoin" not in nodes and nodes.count("SortMergeJoin") >= 2
+    assert {r.id: r.n for r in out.collect()} == {i: 2000 - i for i in range(2000)}
+
+
 def test_running_totals_over_many_ranges(spark):
     from tickloom.operators import evaluation as ev
 

@@ -121,7 +121,10 @@ def interval_aggregate(
     levels, whatever the length of intervals and however many overlap.
 
     ``parts``: {name: (aggregate over rows, aggregate that merges it)}; ``final`` are aggregates over the merged parts
-    of an interval, one row per ``by``. Intervals without rows have nulls."""
+    of an interval, one row per ``by``. Intervals without rows have nulls.
+
+    The joins are merges: an interval becomes some thirty nodes by an ``explode`` that Catalyst counts as one row, so a
+    small file of intervals would be broadcast, and pass the driver, as its nodes."""
     keys, by, interval_id = list(keys), list(by), list(interval_id)
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     floor = lambda x: F.expr(f"(({x}) - pmod({x}, {leaf}L)) div {leaf}L")
@@ -133,10 +136,10 @@ def interval_aggregate(
     spans = intervals.select(*keys, *interval_id, micros(start).alias("_s"), micros(end).alias("_e")).where("_s <= _e")
     spans = spans.withColumns({"_first": -floor("-_s"), "_end": floor("(_e + 1)")})
     wanted = spans.select(*keys, *interval_id, F.explode(dyadic_nodes(F.col("_first"), F.col("_end"), levels)).alias("_n")).select(*keys, *interval_id, F.col("_n.level").alias("_level"), F.col("_n.at").alias("_at"))
-    inner = wanted.join(nodes, [*keys, "_level", "_at"]).select(*interval_id, *by, *parts)
+    inner = wanted.hint("merge").join(nodes, [*keys, "_level", "_at"]).select(*interval_id, *by, *parts)
     # Leaves of the two ends that are not covered whole.
     edges = F.filter(F.array_distinct(F.array(floor("_s"), floor("_e"))), lambda x: (x < F.col("_first")) | (x >= F.col("_end")))
-    edge = spans.withColumn("_leaf", F.explode(edges)).join(placed.select(*keys, "_leaf", *[c for c in placed.columns if c not in (*keys, "_leaf")]), [*keys, "_leaf"]).where("_us BETWEEN _s AND _e")
+    edge = spans.withColumn("_leaf", F.explode(edges)).hint("merge").join(placed.select(*keys, "_leaf", *[c for c in placed.columns if c not in (*keys, "_leaf")]), [*keys, "_leaf"]).where("_us BETWEEN _s AND _e")
     edge = edge.groupBy(*interval_id, *by).agg(*[make.alias(n) for n, (make, _) in parts.items()])
     both = inner.unionByName(edge).groupBy(*interval_id, *by).agg(*merged)
     return intervals.join(both.groupBy(*interval_id).agg(*final), interval_id, "left")
