@@ -158,3 +158,34 @@ def test_state_is_the_same_in_one_batch_and_in_many(spark, tmp_path):
     assert got[0] == got[1]
     times = {(r[0], r[2]): r[1] for r in rows}
     assert all(n == sum(s == x[0] and 0 <= (times[s, q] - x[1]).total_seconds() <= 600 for x in rows) for s, q, n, _ in got[0])
+
+
+def test_state_stays_in_one_store_a_core(spark, tmp_path):
+    """Tasks of all batches together grow with the rows, not also with the session's shuffle partitions."""
+    rows, df = ticks(spark, 60, 7)
+    st.write_in_order(df, str(tmp_path / "in"), F.col("ts"), 20)
+    own = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "61")
+    try:
+        stream = st.minute_bars(st.read_stream(spark, str(tmp_path / "in"), df.schema, 1))
+        st.run_upsert(stream, str(tmp_path / "out"), str(tmp_path / "ck"))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "61"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", own)
+    stores = [p.name for p in (tmp_path / "ck" / "state" / "0").iterdir() if p.name.isdigit()]
+    assert 0 < len(stores) <= spark.sparkContext.defaultParallelism < 61
+
+
+def test_a_batch_takes_several_files(spark, tmp_path, monkeypatch):
+    from types import SimpleNamespace
+
+    from tickloom.plans import streaming as plans
+
+    rows, df = ticks(spark, 170, 8)
+    monkeypatch.setattr(plans, "FILE_ROWS", 10)
+    seen = []
+    stream = plans.staged(SimpleNamespace(spark=spark), df, "ticks")[1]
+    q = stream.writeStream.foreachBatch(lambda b, i: seen.append(sorted(r.seq for r in b.collect()))).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert len(seen) < 5 and max(map(len, seen)) <= 10 * plans.BATCH_FILES
+    assert sum(seen, []) == list(range(170))

@@ -6,9 +6,11 @@ accepted up to the watermark; beyond it they are dropped and counted by Spark.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tickloom.operators.sets import dedup_keep_last
 
@@ -42,9 +44,31 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int |
     return r.parquet(path)
 
 
+@contextmanager
+def _one_store_a_core(spark: SparkSession) -> Iterator[None]:
+    """A stream that starts here keeps its state in no more partitions than there are cores. Each is a task, a commit
+    and a message to the driver in every micro-batch, rows or not, so their number must not grow with the input as
+    that of the batches does. The stream takes the setting when it starts; the session then has its own again."""
+    key = "spark.sql.shuffle.partitions"
+    own = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(own), max(spark.sparkContext.defaultParallelism, 1))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
+def drain(spark: SparkSession, writer: DataStreamWriter) -> StreamingQuery:
+    """Run a stream over all that is available, to its end."""
+    with _one_store_a_core(spark):
+        q = writer.trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
 def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append", fmt: str = "parquet") -> None:
     """Drain everything available into files. File sinks commit exactly once per batch."""
-    df.writeStream.format(fmt).option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    drain(df.sparkSession, df.writeStream.format(fmt).option("path", path).option("checkpointLocation", checkpoint).outputMode(mode))
 
 
 def run_upsert(df: DataFrame, path: str, checkpoint: str, mode: str = "update") -> None:
@@ -52,7 +76,7 @@ def run_upsert(df: DataFrame, path: str, checkpoint: str, mode: str = "update")
     which a retry overwrites, so a restart neither loses nor doubles rows."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-    df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    drain(df.sparkSession, df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(mode))
 
 
 def latest(spark: SparkSession, path: str, keys) -> DataFrame:
