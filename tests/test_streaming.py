@@ -189,3 +189,23 @@ def test_a_batch_takes_several_files(spark, tmp_path, monkeypatch):
     q.awaitTermination()
     assert len(seen) < 5 and max(map(len, seen)) <= 10 * plans.BATCH_FILES
     assert sum(seen, []) == list(range(170))
+
+
+def test_budget_over_batches_equals_a_plain_walk(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(s, f"2024-01-{d:02d}", at(d, 10) + dt.timedelta(seconds=7 * i), rng.choice([None, *[x / 20 for x in range(20)]])) for s in "XY" for d in (2, 3) for i in range(40)]
+    df = spark.createDataFrame(rows, "symbol string, trading_day string, ts timestamp, score double")
+    st.write_in_order(df, str(tmp_path / "in"), F.col("ts"), 25)
+    stream = st.read_stream(spark, str(tmp_path / "in"), df.schema, 2)
+    st.run_upsert(state.budget_accept(stream, 5, 20.0, 0.35, delay="5 days"), str(tmp_path / "out"), str(tmp_path / "ck"), "append")
+    want = []
+    for s in "XY":
+        for d in ("2024-01-02", "2024-01-03"):
+            taken, bar = 0, 0.35
+            for n, (_, _, ts, score) in enumerate(sorted((r for r in rows if r[:2] == (s, d)), key=lambda r: r[2]), 1):
+                lead = taken - 5 * min(n / 20, 1)
+                bar = min(max(bar + 0.02 * ((lead > 1) - (lead < -1)), 0.35), 0.95)
+                ok = int(taken < 5 and score is not None and score >= bar)
+                taken += ok
+                want.append((s, ts, round(bar, 9), ok))
+    assert as_set(st.latest(spark, str(tmp_path / "out"), ["symbol", "ts"]), ["symbol", "ts", "threshold", "accepted"]) == sorted(want)

@@ -33,6 +33,10 @@ def _sorted(parts: Iterator[pd.DataFrame], order) -> pd.DataFrame:
     return pd.concat(list(parts), ignore_index=True).sort_values(order, ignore_index=True)
 
 
+def _micros(times: pd.Series) -> np.ndarray:
+    return times.to_numpy("datetime64[us]").astype(np.int64)
+
+
 class Folded(StatefulProcessor):
     """``fold(key, rows, state or None) -> (output rows, new state)`` per key and micro-batch. The one timer of a key
     moves on with its newest row."""
@@ -49,7 +53,7 @@ class Folded(StatefulProcessor):
         newest = _sorted(rows, self.order)
         # What is behind the watermark is late for good.
         mark = timerValues.getCurrentWatermarkInMs()
-        millis = newest[self.time].map(lambda x: int(x.timestamp() * 1000))
+        millis = _micros(newest[self.time]) // 1000
         newest = newest[millis >= mark].reset_index(drop=True)
         if not len(newest):
             return
@@ -157,19 +161,26 @@ def budget_accept(signals: DataFrame, budget: int | dict, expected: float, base:
     def fold(key, rows, state):
         cap = budget.get(key[-1], 0) if isinstance(budget, dict) else budget
         day, seen, taken, bar = state or ("", 0, 0, base)
-        out = []
-        for r in rows.itertuples(index=False):
-            d = str(r.trading_day)
+        kept, bars, oks = [], [], []
+        low, high = float(base), float(top)
+        for i, (d, score) in enumerate(zip(map(str, rows["trading_day"]), rows["score"].astype(float).tolist())):
             if d < day:
                 continue
             if d > day:
                 day, seen, taken, bar = d, 0, 0, base
             seen += 1
-            lead = taken - cap * min(seen / max(expected, 1.0), 1.0)
-            bar = float(np.clip(bar + step * (int(lead > tolerance) - int(lead < -tolerance)), base, top)) if cap > 0 else base
-            accepted = cap <= 0 or (taken < cap and r.score >= bar)
+            if cap > 0:
+                lead = taken - cap * min(seen / max(expected, 1.0), 1.0)
+                bar = min(max(bar + step * ((lead > tolerance) - (lead < -tolerance)), low), high)
+                accepted = taken < cap and score >= bar
+            else:
+                bar, accepted = base, True
             taken += accepted
-            out.append((*key, r.ts, float(r.score), bar, int(accepted)))
-        return out, (day, seen, int(taken), float(bar))
+            kept.append(i)
+            bars.append(bar)
+            oks.append(int(accepted))
+        rows = rows.iloc[kept]
+        out = dict(zip(keys, key)) | {"ts": rows["ts"].to_numpy(), "score": rows["score"].to_numpy(float), "threshold": np.array(bars, float), "accepted": np.array(oks, np.int32)}
+        return pd.DataFrame(out, index=range(len(kept))), (day, seen, int(taken), float(bar))
 
     return _with_state(signals, keys, "ts", delay, "symbol string, " + "session string, " * by_session + "ts timestamp, score double, threshold double, accepted int", "day string, seen int, taken int, thr double", fold)
