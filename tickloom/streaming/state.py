@@ -133,7 +133,7 @@ def time_retention(ticks: DataFrame, seconds: int = 900, delay: str = "1 day") -
     Both numbers are differences of running totals over the sorted times."""
     def fold(key, rows, state):
         old_t, old_v = (np.asarray(x, float) for x in state) if state else (np.zeros(0), np.zeros(0))
-        now = rows["ts"].map(lambda x: x.timestamp()).to_numpy(float)
+        now = _micros(rows["ts"]) / 1e6
         if len(old_t):
             rows = rows[now >= old_t[-1] - seconds]
             now = now[now >= old_t[-1] - seconds]
@@ -146,7 +146,7 @@ def time_retention(ticks: DataFrame, seconds: int = 900, delay: str = "1 day") -
         keep = t >= t[-1] - seconds if len(t) else np.zeros(0, bool)
         return out, (t[keep].tolist(), v[keep].tolist())
 
-    return _with_state(ticks, ["symbol"], "ts", delay, "symbol string, ts timestamp, seq long, n_recent int, volume_recent double", "times array<double>, vols array<double>", fold)
+    return _with_state(ticks.select("symbol", "ts", "seq", "volume"), ["symbol"], "ts", delay, "symbol string, ts timestamp, seq long, n_recent int, volume_recent double", "times array<double>, vols array<double>", fold)
 
 
 def budget_accept(signals: DataFrame, budget: int | dict, expected: float, base: float, step: float = 0.02, tolerance: float = 1.0, top: float = 0.95, delay: str = "1 day") -> DataFrame:
