@@ -225,3 +225,22 @@ def test_classifier_matches_plain_gradient_steps():
     for i in range(7):
         for step in (1e-3, -1e-3):
             assert loss(at + step * np.eye(7)[i]) > loss(at) - 1e-6
+
+
+def test_secrets_turn_a_part_of_a_batch_into_strings_at_a_time(monkeypatch):
+    """Parts of a batch, a long text in one of its own, give the same spans and counts as the whole batch."""
+    import pyarrow as pa
+
+    texts = ["password = hunter2hunter2 and xK9fQ2mV7pLw3ZtR8bNc1YdS", None, "", "word " * 60, "AKIA" + "B7" * 10 + " é " + "0af3" * 10] * 6
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    got = []
+    for size in (1 << 20, 100):
+        monkeypatch.setattr(secrets, "PART_BYTES", size)
+        out = list(secrets._scan([batch.slice(0, 0), batch.slice(2), batch]))
+        assert len(out) == 2 if size > 100 else max(b.num_rows for b in out) < 6 and len(out) > 12
+        rows = [r for b in out for r in b.to_pylist()]
+        counts = {}
+        for c in (c for r in rows for c in r["counts"] or []):
+            counts[c["random"], c["pair"]] = counts.get((c["random"], c["pair"]), 0) + c["n"]
+        got.append(([(r["doc_id"], r["found"], r["tokens"]) for r in rows], counts))
+    assert got[0] == got[1] and len(got[0][0]) == 58

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tickloom.llm.staging import staged
@@ -28,6 +29,9 @@ LEAST_RUN = 20
 _RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}")
 LEAST_LLR = 1.0
 
+#: Bytes of text of which a worker has Python strings at a time; an Arrow batch may hold all rows of a task.
+PART_BYTES = 2 << 20
+
 N = len(ALPHABET)
 _CODE = np.full(256, N, np.int64)
 _CODE[list(ALPHABET.encode())] = np.arange(N)
@@ -112,27 +116,38 @@ class Model:
         return [(s, 3, e) for s, e, t in runs if self.per_character(t) >= LEAST_LLR]
 
 
+def _parts(b: pa.RecordBatch) -> list[pa.RecordBatch]:
+    """Consecutive rows of a batch, about ``PART_BYTES`` of text each, without copying."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = [0]
+    while cuts[-1] < len(ends):
+        i = cuts[-1]
+        cuts.append(max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PART_BYTES, side="right"))))
+    return [b.slice(i, j - i) for i, j in zip(cuts, cuts[1:])]
+
+
 def _scan(batches):
-    for b in batches:
-        texts = b.column("text")
-        found, tokens, random = [], [], np.zeros(N * N, np.int64)
-        for t in texts.to_pylist():
-            spans, hidden = base_spans(t or "")
-            found.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans])
-            tokens.append([{"start": s, "end": e, "token": x} for s, e, x in free_runs(t or "", spans)])
-            if hidden:
-                random += transitions(np.frombuffer("\n".join(hidden).encode(), np.uint8))
-        if not found:
-            continue
-        every = np.zeros(N * N, np.int64)
-        for _, part in slices(texts):
-            every += transitions(part.data, part.offsets[1:-1])
-        counts = [{"random": r, "pair": int(i), "n": int(c[i])} for r, c in ((True, random), (False, np.maximum(every - random, 0))) for i in np.flatnonzero(c)]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, _SPAN), pa.array(tokens, _TOKEN), pa.array([counts] + [None] * (len(found) - 1), _COUNT)], names=["doc_id", "found", "tokens", "counts"])
+    for whole in batches:
+        parts = _parts(whole)
+        random, every = np.zeros(N * N, np.int64), np.zeros(N * N, np.int64)
+        for at, b in enumerate(parts, 1):
+            found, tokens = [], []
+            for t in b.column("text").to_pylist():
+                spans, hidden = base_spans(t or "")
+                found.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans])
+                tokens.append([{"start": s, "end": e, "token": x} for s, e, x in free_runs(t or "", spans)])
+                if hidden:
+                    random += transitions(np.frombuffer("\n".join(hidden).encode(), np.uint8))
+            for _, part in slices(b.column("text")):
+                every += transitions(part.data, part.offsets[1:-1])
+            counts = None
+            if at == len(parts):
+                counts = [{"random": r, "pair": int(i), "n": int(c[i])} for r, c in ((True, random), (False, np.maximum(every - random, 0))) for i in np.flatnonzero(c)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, _SPAN), pa.array(tokens, _TOKEN), pa.array([counts] + [None] * (len(found) - 1), _COUNT)], names=["doc_id", "found", "tokens", "counts"])
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Fixed spans and candidate runs per document, with the transition counts of a batch on its first row."""
+    """Fixed spans and candidate runs per document, with the transition counts of a batch on one of its rows."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     return staged(docs.select("doc_id", "text").mapInArrow(_scan, f"doc_id {kind}, {SCANNED}"), "secrets")
 
@@ -170,7 +185,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     model = fit(scan(docs))
 
     def clean(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in _parts(whole)):
             out = []
             for t in b.column("text").to_pylist():
                 if t:
@@ -184,8 +199,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
                     t = "".join(parts) + t[at:] if spans else t
                 out.append(t)
             i = b.schema.get_field_index("text")
-            b = b.set_column(i, b.schema.field(i), pa.array(out, b.schema.field(i).type))
-            yield b
+            yield b.set_column(i, b.schema.field(i), pa.array(out, b.schema.field(i).type))
 
     out = docs.mapInArrow(clean, docs.schema)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars")) if "n_chars" in docs.columns else out
