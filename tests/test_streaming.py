@@ -6,6 +6,7 @@ import datetime as dt
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators import bars, intraday as it
@@ -209,3 +210,14 @@ def test_budget_over_batches_equals_a_plain_walk(spark, tmp_path):
                 taken += ok
                 want.append((s, ts, round(bar, 9), ok))
     assert as_set(st.latest(spark, str(tmp_path / "out"), ["symbol", "ts"]), ["symbol", "ts", "threshold", "accepted"]) == sorted(want)
+
+
+def test_a_tick_without_volume_spoils_no_other_and_one_without_time_is_not_passed_over(spark, tmp_path):
+    tick = lambda s, m, v: ("A", m if m is None else at(2, 10) + dt.timedelta(minutes=m), s, 1.0, v, 1.0, 0.0)
+    rows = [tick(1, 0, 1.0), tick(2, 1, None), tick(3, 2, 2.0), tick(4, 60, None)]
+    run = lambda rows, n: st.run_upsert(state.time_retention(in_batches(spark, str(tmp_path / f"in{n}"), [rows], TICK)), str(tmp_path / f"out{n}"), str(tmp_path / f"ck{n}"), "append")
+    run(rows, 0)
+    got = {r.seq: (r.n_recent, r.volume_recent) for r in spark.read.parquet(str(tmp_path / "out0")).fillna(-1.0).replace(float("nan"), -1.0).collect()}
+    assert got == {1: (1, 1.0), 2: (2, 1.0), 3: (3, 3.0), 4: (1, -1.0)}
+    with pytest.raises(Exception, match="without time"):
+        run([*rows, tick(5, None, 1.0)], 1)

@@ -34,6 +34,8 @@ def _sorted(parts: Iterator[pd.DataFrame], order) -> pd.DataFrame:
 
 
 def _micros(times: pd.Series) -> np.ndarray:
+    if times.isna().any():
+        raise ValueError("a row without time has no place in a stream")
     return times.to_numpy("datetime64[us]").astype(np.int64)
 
 
@@ -130,7 +132,7 @@ def level_side(touches: DataFrame, flip_confirm: float, delay: str = "1 day") ->
 def time_retention(ticks: DataFrame, seconds: int = 900, delay: str = "1 day") -> DataFrame:
     """Count and volume of the ticks of the ``seconds`` up to each tick. The state is the ticks of that span
     before the newest one; a tick that comes later than that is dropped, others take their place in time.
-    Both numbers are differences of running totals over the sorted times."""
+    Both numbers are differences of running totals over the sorted times; a tick without volume adds none."""
     def fold(key, rows, state):
         old_t, old_v = (np.asarray(x, float) for x in state) if state else (np.zeros(0), np.zeros(0))
         now = _micros(rows["ts"]) / 1e6
@@ -140,9 +142,10 @@ def time_retention(ticks: DataFrame, seconds: int = 900, delay: str = "1 day") -
         t, v = np.append(old_t, now), np.append(old_v, rows["volume"].to_numpy(float))
         o = np.argsort(t, kind="stable")
         t, v = t[o], v[o]
-        total = np.append(0.0, np.cumsum(v))
+        known = ~np.isnan(v)
+        total, n = np.append(0.0, np.cumsum(np.where(known, v, 0.0))), np.append(0, np.cumsum(known))
         lo, hi = np.searchsorted(t, now - seconds, side="left"), np.searchsorted(t, now, side="right")
-        out = pd.DataFrame({"symbol": key[0], "ts": rows["ts"].to_numpy(), "seq": rows["seq"].to_numpy(), "n_recent": hi - lo, "volume_recent": total[hi] - total[lo]})
+        out = pd.DataFrame({"symbol": key[0], "ts": rows["ts"].to_numpy(), "seq": rows["seq"].to_numpy(), "n_recent": hi - lo, "volume_recent": np.where(n[hi] > n[lo], total[hi] - total[lo], NAN)})
         keep = t >= t[-1] - seconds if len(t) else np.zeros(0, bool)
         return out, (t[keep].tolist(), v[keep].tolist())
 
