@@ -202,7 +202,7 @@ def test_pipeline_packs_token_ids(spark):
 def test_queries_match_sql(spark, name):
     duckdb = importlib.import_module("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     rel = con.execute(queries.SQL[name])
     names = [d[0] for d in rel.description]
@@ -213,7 +213,7 @@ def test_queries_match_sql(spark, name):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 11)) and "pipeline" in queries.QUERIES
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 14)) and "pipeline" in queries.QUERIES
     assert near_dedup.SIMILARITY == (75, 100)
 
 
