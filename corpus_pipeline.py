@@ -13,6 +13,9 @@ stage's result to the shared folder and reads it again as the next one's documen
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -20,12 +23,28 @@ from tickloom.llm import mixing, near_dedup, packing, secrets, toxicity
 from tickloom.llm.queries import TOKENIZER
 from tickloom.llm.staging import staged
 
+#: Bytes of an Arrow batch. Spark's bounds are 10,000 rows and 64 MB, of which every core of an executor holds several
+#: copies: vectors that double as they fill, the stream, and the worker's batches in and out.
+BATCH_BYTES = 4 << 20
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def bounded(stage: Stage) -> Stage:
+    """The session's Arrow batches hold BATCH_BYTES (or one longer row) from here on; what a stage returns runs after it."""
+    @wraps(stage)
+    def bounded_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+    return bounded_stage
+
 
+@bounded
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scored = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.where("predicted = 0").select(*docs.columns)
 
 
+@bounded
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Only the ids that go are joined to the texts."""
     gone = near_dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
@@ -34,10 +53,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+@bounded
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secrets.redact(docs)
 
 
+@bounded
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies are decided on sizes alone and joined to the texts once; the row travels as one struct, whatever its
     columns are called."""
@@ -48,6 +69,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sized.join(takes, same).select("row", F.explode(F.expr("sequence(1, copies)"))).select("row.*")
 
 
+@bounded
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path(TOKENIZER), with_ids=True)
 

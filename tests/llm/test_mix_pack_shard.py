@@ -259,3 +259,41 @@ def test_shards_do_not_depend_on_the_order_of_arrival(spark, make_docs):
     got = [sorted((r.doc_id, r.shard, r.slot) for r in sharding.shards(df).collect()) for _ in range(2)]
     assert got[0] == got[1]
     assert sorted(r[1:] for r in got[0]) == sorted((p % 24, p // 24) for p in range(300))
+
+
+def test_pack_holds_a_part_of_a_batch_at_a_time(monkeypatch):
+    """Parts of a batch, a long text in one of its own, give the same tokens and pieces as the whole batch."""
+    import pyarrow as pa
+
+    texts = ["one two three four", None, "", "word " * 900, "a"] * 6
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    got = []
+    for size in (1 << 20, 40):
+        monkeypatch.setattr(packing, "PART_BYTES", size)
+        tokenized = list(packing._tokenized([batch.slice(0, 0), batch.slice(2), batch], PATH, 3))
+        cut = list(packing._cut(tokenized[:1] if size > 40 else [pa.Table.from_batches(tokenized).combine_chunks().to_batches()[0]], {3: 100}, 64, True))
+        assert (len(tokenized) == 2 and len(cut) == 1) if size > 40 else (len(tokenized) > 12 and len(cut) > 12 and max(b.num_rows for b in tokenized) < 6)
+        got.append(([r for b in tokenized for r in b.to_pylist()], [r for b in cut for r in b.to_pylist()]))
+    assert got[0][0] == got[1][0] and len(got[0][0]) == 2 * len(texts) - 2
+    assert got[1][1][:len(got[0][1])] == got[0][1] and sum(r["length"] for r in got[1][1]) == sum(r["n_tokens"] for r in got[1][0])
+
+
+def test_pipeline_bounds_the_bytes_of_a_batch(spark):
+    """After any stage that goes through Python, a task's rows come in batches of few MB, not all in one."""
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    large = spark.range(0, 60, 1, 1).selectExpr("id AS doc_id", "repeat('ab ', 70000) AS text")
+    docs = spark.createDataFrame([(1, "some text", "en", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    try:
+        for stage in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.redact_secrets, corpus_pipeline.mix_sources, corpus_pipeline.pack):
+            spark.conf.unset(key)
+            stage(spark, docs, "")
+            found = [r.n for r in large.mapInArrow(sizes, "n long").collect()]
+            assert sum(found) > 12_000_000 and max(found) <= corpus_pipeline.BATCH_BYTES + 250_000
+    finally:
+        spark.conf.unset(key)

@@ -18,10 +18,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tickloom.llm.staging import staged
+from tickloom.llm.words import small_batches
 
 WINDOW = 1024
 END = 0
 
+#: Bytes of text, or of ids, of which a worker has Python objects at a time; an Arrow batch may hold all rows of a task.
+PART_BYTES = 1 << 20
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
@@ -69,22 +73,26 @@ def tokenize(path: str, end: int = END):
 TOKENS = "part int, before long, n_tokens long, ids binary"
 
 
+def _tokenized(batches, path: str, part: int):
+    ids, before = tokenize(path), 0
+    for b in small_batches(batches, PART_BYTES):
+        lengths, packed = [], []
+        for t in b.column("text").to_pylist():
+            x = ids(t)
+            lengths.append(len(x))
+            packed.append((b"\2" + x.astype("<u2").tobytes()) if x.max() < 1 << 16 else (b"\4" + x.tobytes()))
+        n = np.array(lengths, np.int64)
+        starts = before + np.cumsum(n) - n
+        before += int(n.sum())
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(starts), pa.array(n), pa.array(packed, pa.binary())], names=["doc_id", "part", "before", "n_tokens", "ids"])
+
+
 def tokens(docs: DataFrame, path: str) -> DataFrame:
     """Pass 1: ``(doc_id, part, before, n_tokens, ids)``, written to a stage table. Ids are 2 bytes wide where they fit."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        ids, part, before = tokenize(path), TaskContext.get().partitionId(), 0
-        for b in batches:
-            lengths, packed = [], []
-            for t in b.column("text").to_pylist():
-                x = ids(t)
-                lengths.append(len(x))
-                packed.append((b"\2" + x.astype("<u2").tobytes()) if x.max() < 1 << 16 else (b"\4" + x.tobytes()))
-            n = np.array(lengths, np.int64)
-            starts = before + np.cumsum(n) - n
-            before += int(n.sum())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(starts), pa.array(n), pa.array(packed, pa.binary())], names=["doc_id", "part", "before", "n_tokens", "ids"])
+        return _tokenized(batches, path, TaskContext.get().partitionId())
 
     return staged(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {TOKENS}"), "tokens")
 
@@ -93,6 +101,27 @@ def unpacked(ids: bytes) -> np.ndarray:
     return np.frombuffer(ids, "<u2" if ids[0] == 2 else "<u4", offset=1)
 
 
+def _cut(batches, base: dict[int, int], window: int, with_ids: bool):
+    """Rows of pass 1 at the window borders; ``base``: the tokens before each partition."""
+    for b in small_batches(batches, PART_BYTES, "ids"):
+        cols = {c: [] for c in ("row", "start", "length", "crc", "total", "seq", "offset", "ids")}
+        for i, (part, before, n, ids) in enumerate(zip(*(b.column(c).to_pylist() for c in ("part", "before", "n_tokens", "ids")))):
+            at, x = base[part] + before, unpacked(ids).astype("<u4")
+            s = 0
+            while s < n:
+                seq, offset = divmod(at + s, window)
+                length = min(window - offset, n - s)
+                piece = x[s: s + length]
+                for c, v in zip(cols, (i, s, length, zlib.crc32(piece.tobytes()), n, seq, offset, piece if with_ids else None)):
+                    cols[c].append(v)
+                s += length
+        arrays = [b.column("doc_id").take(pa.array(cols["row"], pa.int64())), *(pa.array(cols[c], pa.int64()) for c in ("start", "length", "crc", "total", "seq", "offset"))]
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        if with_ids:
+            arrays, names = [*arrays, pa.array(cols["ids"], pa.list_(pa.int32()))], [*names, "ids"]
+        yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+
 def pack(docs: DataFrame, path: str, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, if asked
     for, ``ids``. Every document has at least its end token; repeated rows are packed each; an empty table has
@@ -105,23 +134,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, with_ids: bool = Fals
         total += totals[part]
 
     def cut(batches):
-        for b in batches:
-            cols = {c: [] for c in ("row", "start", "length", "crc", "total", "seq", "offset", "ids")}
-            for i, (part, before, n, ids) in enumerate(zip(*(b.column(c).to_pylist() for c in ("part", "before", "n_tokens", "ids")))):
-                at, x = base[part] + before, unpacked(ids).astype("<u4")
-                s = 0
-                while s < n:
-                    seq, offset = divmod(at + s, window)
-                    length = min(window - offset, n - s)
-                    piece = x[s: s + length]
-                    for c, v in zip(cols, (i, s, length, zlib.crc32(piece.tobytes()), n, seq, offset, piece if with_ids else None)):
-                        cols[c].append(v)
-                    s += length
-            arrays = [b.column("doc_id").take(pa.array(cols["row"], pa.int64())), *(pa.array(cols[c], pa.int64()) for c in ("start", "length", "crc", "total", "seq", "offset"))]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-            if with_ids:
-                arrays, names = [*arrays, pa.array(cols["ids"], pa.list_(pa.int32()))], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+        return _cut(batches, base, window, with_ids)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
