@@ -297,3 +297,42 @@ def test_pipeline_bounds_the_bytes_of_a_batch(spark):
             assert sum(found) > 12_000_000 and max(found) <= corpus_pipeline.BATCH_BYTES + 250_000
     finally:
         spark.conf.unset(key)
+
+
+def test_cover_tree_splits_only_where_points_are_close():
+    """Vectors without structure made a node each, at a distance pass a node."""
+    rng = np.random.default_rng(3)
+    assert len(topk.CoverTree(rng.normal(size=(2000, 64))).lo) == 1
+    centres = rng.normal(size=(12, 64)) * 9
+    t = topk.CoverTree(centres[np.arange(2400) % 12] + rng.normal(size=(2400, 64)) * 0.01)
+    assert t.last[0] - t.first[0] == 12 and (t.hi - t.lo)[1:13].tolist() == [200] * 12
+
+
+def test_top_k_sends_queries_once_a_group(spark, monkeypatch):
+    """Not once a block: 60 blocks of 50 vectors are held by a few tasks, which get every query once."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.integers(-9, 9, 4).astype(float).tolist()) for i in range(3000)]
+    sent = []
+    monkeypatch.setattr(topk, "GROUPS", 3)
+    dealt = type(spark.range(0)).repartitionById
+    monkeypatch.setattr(type(spark.range(0)), "repartitionById", lambda df, *a: sent.append(df.groupBy("kind").count().collect()) or dealt(df, *a))
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2), data_block=50, query_block=60)
+    assert sorted(map(tuple, got.collect())) == brute_top(rows)
+    assert dict(sent[0])[1] <= 2 * 3
+
+
+@pytest.mark.parametrize("twin", [None, 7])
+def test_top_k_of_many_equal_vectors(spark, twin):
+    """More ties than fit, in one block and over several, also with a repeated id."""
+    rows = [(i, [1.0, 2.0, 0.5]) for i in range(700)] + [(1000 + i, [float(i % 3), 1.0, -2.0]) for i in range(300)] + [(twin, [9.0, 9.0, 9.0])] * 3
+    for block in (64, topk.DATA_BLOCK):
+        got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2), data_block=block, query_block=30)
+        assert sorted(map(tuple, got.collect())) == brute_top(rows)
+
+
+def test_top_k_of_long_vectors_is_exact(spark):
+    """Sums beyond 2^24, where 4-byte floats are no longer exact, in the same block as short vectors."""
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.integers(-20000, 20000, 6) if i % 2 else rng.integers(-3, 3, 6)).astype(float).tolist()) for i in range(400)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2), data_block=100)
+    assert sorted(map(tuple, got.collect())) == brute_top(rows)
