@@ -217,3 +217,50 @@ def test_segments_of_long_texts_cover_every_string():
     cores = lambda spans: sorted({(p, c) for s, e, c in spans for p in range(s, e - repeats.LENGTH + 1)})
     assert cores(cut) == cores(whole) and [p for p, _ in cores(whole)] == list(range(3000 - 49))
     assert len(cut) > len(whole)
+
+
+def test_segments_that_share_their_core_alone_are_not_sorted(monkeypatch):
+    """Their share grows with the text. What goes into the sort is no longer than the pieces two documents can share."""
+    rng = random.Random(7)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n)).encode()
+    core, common = letters(18), letters(60)
+    bodies = [letters(32) + core + letters(32) for _ in range(200)] + [letters(30) + common + letters(30) for _ in range(2)] + [common[5:] + letters(10)]
+    n, sizes = len(bodies), []
+    order = repeats.suffix_order
+    monkeypatch.setattr(repeats, "suffix_order", lambda x, *a: sizes.append(len(x)) or order(x, *a))
+    ids = list(range(n))
+    rows = repeats._batch(repeats._SPANS, ids, ids, [100] * n, [0] * n, [1] * n, bodies)
+    (found,) = repeats._sort_shards(repeats.IN_MEMORY)(iter([rows.slice(0, 90), rows.slice(90, 0), rows.slice(90)]))
+    assert sum(sizes) <= 2 * 61
+    assert sorted(zip(*(c.to_pylist() for c in found.columns))) == [(201, 201, 130, 190), (202, 202, 100, 155)]
+
+
+def test_shards_end_between_cores(monkeypatch):
+    rows, shards = [(c, 10 * c + i) for c, n in enumerate((1, 1, 5, 1, 2, 1, 1, 1)) for i in range(n)], []
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 200)
+    monkeypatch.setattr(repeats, "_repeated", lambda docs, *a: shards.append(docs.tolist()) or [docs[:0]] * 4)
+    core, doc = zip(*rows)
+    zero = [0] * len(rows)
+    b = repeats._batch(repeats._SPANS, doc, zero, zero, zero, core, [b"x" * 60] * len(rows))
+    for step in (1, 3, len(rows)):
+        shards.clear()
+        list(repeats._sort_shards(1)(b.slice(i, step) for i in range(0, len(rows), step)))
+        assert shards == [[0, 10, 20, 21, 22, 23, 24], [30, 40, 41, 50], [60, 70]]
+
+
+@pytest.mark.parametrize("held", [1, 7, 1 << 16])
+def test_fates_of_segments_in_any_order(monkeypatch, held):
+    """Rows of a core come in any order and over several batches."""
+    monkeypatch.setattr(repeats, "HELD_ROWS", held)
+    rng = np.random.default_rng(held)
+    for _ in range(60):
+        n = int(rng.integers(0, 60))
+        core = np.sort(rng.integers(0, 6, n))
+        seg, doc, step = core * 10 + rng.integers(0, 3, n), rng.integers(0, 5, n), int(rng.integers(1, 9))
+        batches = [repeats._batch(repeats._SEGMENTS, *(c[i: i + step] for c in (core, seg, doc))) for i in range(0, n, step)]
+        got = [r for b in repeats._judge(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns))]
+        want = set()
+        for s in set(seg.tolist()):
+            d, least = set(doc[seg == s].tolist()), int(doc[seg == s].min())
+            want |= {(x, s, True) for x in d - {least}} | ({(least, s, False)} if len(set(seg[core == s // 10])) > 1 else set())
+        assert set(got) == want and len([r for r in got if not r[2]]) == len([r for r in want if not r[2]])

@@ -74,6 +74,12 @@ def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def window_hashes(prefix: np.ndarray, width: int) -> np.ndarray:
+    """``span_hashes`` of the spans of ``width`` bytes from every place on."""
+    down = _Powers.upto(len(prefix))[1]
+    return mix((prefix[width:] - prefix[:-width]) * down[: len(prefix) - width] + np.uint64(width))
+
+
 def segments(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """starts[i], starts[i]+1, ... (counts[i] numbers) for every i, one after the other."""
     total = int(counts.sum())
